@@ -116,11 +116,13 @@ def max_earlier_sim(
     normalize: bool = True,
     settle_at: float | None = None,
     largest: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(keys, id, order, max_earlier_sim)``: the largest similarity of each item to any
+    """``(keys, id, order, carry, max_earlier_sim)``: the largest similarity of each item to any
     item earlier in its group, 0 for the first and never below 0.
 
-    ``order_col`` must number the rows of a cluster (1, 2, ... or any distinct positions).
+    ``order_col`` must number the rows of a cluster from 1; a group of ``keys`` may be a
+    run of a cluster.  ``carry`` names narrow columns to pass through.
     Vectors are normalized first; ``normalize=False`` gives the raw inner product.
     ``settle_at`` stops the search for an item once that similarity is found, the result
     then being at least ``settle_at`` rather than the exact maximum.
@@ -129,15 +131,16 @@ def max_earlier_sim(
     if settle_at is None:
         settle_at = UNIT_CEILING if normalize else float("inf")
     rows = df.select(
-        *keys, F.col(id_col), F.col(order_col).alias("_pos"), F.col(vec_col).alias("_vec")
+        *keys, id_col, F.col(order_col).alias("_pos"), *carry, F.col(vec_col).alias("_vec")
     )
-    narrow = [*keys, id_col, "_pos"]
+    narrow = [*keys, id_col, "_pos", *carry]
 
     def finish(out: DataFrame) -> DataFrame:
         return out.select(
             *keys,
             id_col,
             F.col("_pos").alias(order_col),
+            *carry,
             F.col("_best").alias("max_earlier_sim"),
         )
 
