@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from vecprune.operators.kernels import to_lists, unit_rows
 
-# ASCII white space, spelled out because engines differ in what \s covers.
-BLANKS = r"[ \t\n\r\f\x0B]+"
+# Words whose bucket a task remembers; most words of a text have been seen before.
+REMEMBERED_WORDS = 1_000_000
 
 
 def embed(
@@ -40,17 +41,36 @@ def embed(
     return df.select(id_col, content_col).mapInArrow(run, f"`{id_col}` {id_type}, embedding array<float>")
 
 
+class _Buckets(dict):
+    """Bucket of a word, remembered after the first time."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED_WORDS:
+            self.clear()
+        bucket = int.from_bytes(hashlib.md5(word).digest()[:4], "big") % self.dim
+        self[word] = bucket
+        return bucket
+
+
 def _bag_counts(dim: int, normalize: bool):
-    def run(buckets: pa.Array) -> pa.Array:
-        if isinstance(buckets, pa.ChunkedArray):
-            buckets = buckets.combine_chunks()
-        lengths = np.diff(buckets.offsets.to_numpy())
-        rows = np.repeat(np.arange(len(buckets), dtype=np.int64), lengths)
-        cells = rows * dim + buckets.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(cells, minlength=len(buckets) * dim).reshape(-1, dim)
-        if normalize:
-            return to_lists(unit_rows(counts.astype(np.float64)))
-        return to_lists(counts).cast(pa.list_(pa.float32()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = _Buckets(dim)
+        for texts in batches:
+            counts = np.zeros((len(texts), dim))
+            for row, text in enumerate(texts):
+                # bytes.split cuts at ASCII white space only.
+                words = text.as_py().split()
+                if words:
+                    found = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
+                    counts[row] = np.bincount(found, minlength=dim)
+            if normalize:
+                yield to_lists(unit_rows(counts))
+            else:
+                yield to_lists(counts).cast(pa.list_(pa.float32()))
 
     return F.arrow_udf(run, "array<double>" if normalize else "array<float>")
 
@@ -61,15 +81,10 @@ def hash_encoder(
     """Add ``embedding``: counts of the lower-case words of the whole text, each word in
     bucket ``first 8 hex digits of md5 mod dim``.
 
-    Narrow, so it never shuffles: the JVM cuts and hashes, an Arrow kernel counts.  With
-    ``normalize=False`` the plain counts come as floats, exact and half the size; every
-    operator that compares vectors normalizes them itself.
+    Narrow, so it never shuffles; batches are bounded in bytes by
+    ``spark.sql.execution.arrow.maxBytesPerBatch``.  With ``normalize=False`` the plain
+    counts come as floats, exact and half the size; every operator that compares vectors
+    normalizes them itself.
     """
-    words = F.filter(F.split(F.lower(F.col(text_col)), BLANKS), lambda w: w != "")
-    buckets = F.transform(
-        F.coalesce(words, F.array().cast("array<string>")),
-        lambda w: (
-            F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
-        ).cast("int"),
-    )
-    return df.withColumn("embedding", _bag_counts(dim, normalize)(buckets))
+    text = F.coalesce(F.lower(F.col(text_col)), F.lit("")).cast("binary")
+    return df.withColumn("embedding", _bag_counts(dim, normalize)(text))
