@@ -24,6 +24,7 @@ from vecprune.operators.prune import prune_table, select_pruned
 from vecprune.operators.rank import rank_within_cluster
 from vecprune.plans.catalog import QUERIES
 from vecprune.session import ship_package
+from vecprune.sources.readers import spread_scan
 from vecprune.staging import stage_table
 
 HEADLINE = [
@@ -51,10 +52,11 @@ def run_all(df) -> None:
 def job_steps(spark, sf_dir, timed) -> None:
     """The whole job, each step timed on the stored result of the step before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "item_id")
+    texts = spread_scan(docs)
     vectors = timed(
         "job_encode",
         lambda: stage_table(
-            hash_encoder(docs, "text", DIM, normalize=False).select("item_id", "embedding"), "bench"
+            hash_encoder(texts, "text", DIM, normalize=False).select("item_id", "embedding"), "bench"
         ),
     )
     cents = timed("job_train", lambda: fit_kmeans(vectors, CLUSTERS, ROUNDS, SEED))

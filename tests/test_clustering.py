@@ -126,3 +126,29 @@ def test_reports(vectors):
     assert pruning["sweep"].count() == 2
     removed = pruning["eps_report"].where("eps = 0.7").agg(F.sum("num_duplicates")).first()[0]
     assert removed == pruning["items"].where("eps_0_7").count()
+
+
+def test_bad_vectors_stop_the_kernels(spark):
+    cents = spark.createDataFrame([(0, [1.0, 0.0])], "cluster_id int, centroid array<double>")
+    for bad in (None, [1.0], [float("nan"), 1.0]):
+        rows = [(0, [1.0, 2.0]), (1, bad), (2, [0.5, 1.0])]
+        df = spark.createDataFrame(rows, "item_id long, embedding array<float>").coalesce(1)
+        with pytest.raises(Exception, match="split_valid"):
+            assign(df, cents).collect()
+
+
+def test_training_sample_is_bounded_and_repeatable(vectors):
+    small = fit_kmeans(vectors, 3, 5, 1, max_points_per_centroid=20)
+    again = fit_kmeans(vectors, 3, 5, 1, max_points_per_centroid=20)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, again.collect()))
+    assert assign(vectors, small).where("cluster_id is not null").count() == 500
+
+
+def test_stage_tables_can_be_dropped(spark):
+    from vecprune.staging import drop_stages, stage_table, table_exists
+
+    staged = stage_table(spark.range(3), "drop")
+    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
+    assert table_exists(spark, folder)
+    drop_stages(spark)
+    assert not table_exists(spark, folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,38 +32,68 @@ def centroid_shape(centroids: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _nearest(ids, matrix, metric: str):
-    """Arrow UDF returning the best of these centroids for each vector."""
-    spark_ids, spark_matrix = ids, matrix
-
-    def run(vectors: pa.Array) -> pa.Array:
-        cluster_ids, cents = spark_ids.value, spark_matrix.value
-        found = np.zeros(len(vectors), dtype=np.int32)
-        score = np.zeros(len(vectors))
+def _pick(x: np.ndarray, cents: np.ndarray, half_norms: np.ndarray | None) -> np.ndarray:
+    """Index of the closest centroid of each row in double precision, the first one of
+    those within the tie."""
+    closeness = x @ cents.T
+    if half_norms is not None:
+        closeness -= half_norms
+    top = closeness.max(axis=1, keepdims=True)
+    return np.argmax(closeness >= top - TIE, axis=1)
+
+
+def _pick_fast(x, cents, half_norms, cents32, half_norms32, largest) -> np.ndarray:
+    """The same result at single-precision speed: rows whose best centroid is not clear
+    beyond the rounding error of the fast product are searched again."""
+    closeness = x.astype(np.float32) @ cents32.T
+    size = np.sqrt(np.einsum("ij,ij->i", x, x)) * largest
+    if half_norms is not None:
+        closeness -= half_norms32
+        size = size + half_norms.max()
+    pick = closeness.argmax(axis=1)
+    top = closeness[np.arange(len(x)), pick]
+    # Twice the worst rounding error of a sum of products, for both of the compared sums.
+    margin = (x.shape[1] + 8) * 2.0**-23 * size
+    rivals = np.count_nonzero(closeness >= (top - margin)[:, None], axis=1)
+    unclear = np.flatnonzero(rivals > 1)
+    if len(unclear):
+        pick[unclear] = _pick(x[unclear], cents, half_norms)
+    return pick
+
+
+def _nearest(shared_ids, shared_matrix, metric: str):
+    """Arrow UDF returning the best of the broadcast centroids for each vector."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cluster_ids, cents = shared_ids.value, shared_matrix.value
+        norms = np.einsum("ij,ij->i", cents, cents)
+        half_norms = 0.5 * norms if metric == "l2" else None
+        half_norms32 = half_norms.astype(np.float32) if metric == "l2" else None
+        cents32 = cents.astype(np.float32)
+        largest = float(np.sqrt(norms.max()))
         step = max(1, SCORE_CELLS // len(cents))
-        half_norms = 0.5 * np.einsum("ij,ij->i", cents, cents) if metric == "l2" else None
-        for lo in range(0, len(vectors), step):
-            x = to_matrix(vectors.slice(lo, step))
-            if metric == "cosine":
-                x = unit_rows(x)
-            closeness = x @ cents.T
-            if metric == "l2":
-                closeness -= half_norms
-            top = closeness.max(axis=1, keepdims=True)
-            # Centroids are sorted by id, so the first one within the tie is the lowest.
-            pick = np.argmax(closeness >= top - TIE, axis=1)
-            chosen = cents[pick]
-            if metric == "l2":
-                gap = x - chosen
-                score[lo : lo + step] = np.einsum("ij,ij->i", gap, gap)
-            else:
-                score[lo : lo + step] = np.einsum("ij,ij->i", x, chosen)
-            found[lo : lo + step] = cluster_ids[pick]
-        return pa.StructArray.from_arrays(
-            [pa.array(found), pa.array(score)], names=["cluster_id", "score"]
-        )
-
-    return F.arrow_udf(run, "cluster_id int, score double")
+        for vectors in batches:
+            found = np.zeros(len(vectors), dtype=np.int32)
+            score = np.zeros(len(vectors))
+            for lo in range(0, len(vectors), step):
+                x = to_matrix(vectors.slice(lo, step))
+                if metric == "cosine":
+                    x = unit_rows(x)
+                pick = _pick_fast(x, cents, half_norms, cents32, half_norms32, largest)
+                chosen = cents[pick]
+                if metric == "l2":
+                    gap = x - chosen
+                    score[lo : lo + step] = np.einsum("ij,ij->i", gap, gap)
+                else:
+                    score[lo : lo + step] = np.einsum("ij,ij->i", x, chosen)
+                found[lo : lo + step] = cluster_ids[pick]
+            yield pa.StructArray.from_arrays(
+                [pa.array(found), pa.array(score)], names=["cluster_id", "score"]
+            )
+
+    # Declared nondeterministic so that a filter on the result is not pushed below it, which
+    # would search twice.
+    return F.arrow_udf(run, "cluster_id int, score double").asNondeterministic()
 
 
 def _collect_block(centroids: DataFrame, metric: str):

@@ -72,7 +72,10 @@ def _bag_counts(dim: int, normalize: bool):
             else:
                 yield to_lists(counts).cast(pa.list_(pa.float32()))
 
-    return F.arrow_udf(run, "array<double>" if normalize else "array<float>")
+    # Declared nondeterministic so that no optimizer rule (a filter on the result, an
+    # explode of it) makes Spark encode a text twice.
+    udf = F.arrow_udf(run, "array<double>" if normalize else "array<float>")
+    return udf.asNondeterministic()
 
 
 def hash_encoder(

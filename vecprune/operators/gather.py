@@ -56,7 +56,10 @@ def resolve_files(
     is_number = wanted.rlike("^[0-9]+$")
     # 18 digits fit a BIGINT; longer numbers are beyond any file count.
     number = F.when(is_number & (F.length(wanted) <= 18), wanted).cast("bigint")
-    by_number = ids.withColumn("_no", number).join(
+    # Names get numbers that no file has, all different, rather than one common NULL: they
+    # would meet in a single task.
+    spread = -1 - F.pmod(F.xxhash64(wanted), F.lit(1 << 40))
+    by_number = ids.withColumn("_no", F.coalesce(number, spread)).join(
         files.select(F.col("file_no").alias("_no"), F.col("name").alias("_numbered")), "_no", "left"
     )
     named = F.when(~is_number, with_default_ext(wanted, ext))

@@ -10,15 +10,21 @@ STRIPE = 256
 
 
 def to_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """List column without NULLs as a float64 matrix."""
+    """List column as a float64 matrix.  A missing, odd-sized or not finite vector is an
+    error here; ``split_valid`` sets such rows aside beforehand."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):  # more than one chunk is left by old Arrow
+        if isinstance(column, pa.ChunkedArray):  # too large for one chunk
             column = pa.concat_arrays(column.chunks)
     if len(column) == 0:
         return np.zeros((0, 0))
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1).astype(np.float64)
+    widths = np.diff(column.offsets.to_numpy())
+    if column.null_count or widths.min() != widths.max():
+        raise ValueError("vectors are missing or differ in length: apply split_valid first")
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not np.isfinite(values).all():
+        raise ValueError("vectors hold values that are not finite: apply split_valid first")
+    return values.reshape(len(column), -1)
 
 
 def to_lists(matrix: np.ndarray) -> pa.ListArray:

@@ -10,10 +10,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecprune.functions.hashing import seeded_hash
 from vecprune.functions.vectors import as_double, l2_normalize, squared_norm
 from vecprune.operators.assign import assign
 from vecprune.staging import stage_table, table_exists
 
+# Fixed value: training points per centroid.
+MAX_POINTS_PER_CENTROID = 256
+HASH_STEPS = 10**12
+
 CENTROID_SCHEMA = "cluster_id int, centroid array<double>"
 
 
@@ -24,14 +29,24 @@ def fit_kmeans(
     seed: int = 1234,
     spherical: bool = True,
     *,
+    id_col: str = "item_id",
     vec_col: str = "embedding",
+    max_points_per_centroid: int | None = MAX_POINTS_PER_CENTROID,
 ) -> DataFrame:
-    """Train on every row and return the centroid table (it may have fewer than ``k`` rows).
+    """Train and return the centroid table (it may have fewer than ``k`` rows).
 
-    Spherical training ignores zero vectors, which have no direction; ``assign`` still
-    gives them a cluster.
+    Like the reference's trainer this looks at ``max_points_per_centroid`` points per
+    centroid, chosen by a seeded hash of the id; ``None`` trains on every row.  It only
+    places the centroids: ``assign`` gives every row a cluster.  Spherical training skips
+    zero vectors, which have no direction.
     """
-    vectors = df.select(F.col(vec_col).alias("_v"))
+    vectors = df
+    if max_points_per_centroid is not None:
+        wanted, rows = k * max_points_per_centroid, df.count()
+        if rows > wanted:
+            cut = int(HASH_STEPS * wanted / rows)
+            vectors = df.where(seeded_hash(seed, id_col) % HASH_STEPS < cut)
+    vectors = vectors.select(F.col(vec_col).alias("_v"))
     if spherical:
         vectors = vectors.where(squared_norm("_v") > 0.0)
     model = KMeans(

@@ -11,7 +11,7 @@ from vecprune.staging import stage_table
 
 # A window sorts one group in one task (spilling); beyond this many rows in the largest
 # group the order is taken from a range sort that cuts groups across tasks.
-HOT_ROWS = 4_000_000
+HOT_ROWS = 1_000_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecprune.functions.hashing import seeded_hash
@@ -21,9 +21,11 @@ from vecprune.functions.names import eps_column
 from vecprune.functions.vectors import as_double, dot, l2_normalize, squared_norm
 from vecprune.operators.assign import CENTROID_BYTES
 from vecprune.operators.kernels import STRIPE, to_matrix, unit_rows
+from vecprune.operators.ordinal import largest_group
 from vecprune.operators.prune import BLOCK
 from vecprune.operators.rank import with_group_size
 from vecprune.options import check_eps
+from vecprune.staging import stage_table
 
 GRAM_ROWS = 16384
 
@@ -85,19 +87,56 @@ def extreme_sims(
     vec_col: str = "embedding",
     block: int = BLOCK,
     normalize: bool = True,
+    largest: int | None = None,
 ) -> DataFrame:
     """``(keys, id, max_sim, min_sim)``: largest and smallest similarity to another member.
     The zero diagonal counts, so the maximum is at least and the minimum at most 0; both
     are NULL for an item that is alone.
 
     Rows are salted into blocks of about ``block`` rows by a hash of the id, and each pair
-    of blocks of a group is one task group.
+    of blocks of a group is one task group.  If some group exceeds a block, exact copies
+    are compared once, whatever their number.
     """
     keys = list(keys)
-    rows = with_group_size(
-        df.select(*keys, id_col, F.col(vec_col).alias("_vec")), keys, "_n"
-    ).withColumn("_nb", F.expr(f"(_n + {block} - 1) div {block}"))
-    salted = rows.withColumn("_blk", seeded_hash(0, id_col) % F.col("_nb"))
+    rows = df.select(*keys, id_col, F.col(vec_col).alias("_vec"))
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= block:
+        extremes = _extremes_of(rows, keys, id_col, block, normalize)
+        return extremes.select(*keys, id_col, *_high_and_low(F.col("_n") == 1, None))
+
+    # The copies are counted where they lie, before the vectors are shuffled.
+    rows = rows.withColumn("_print", F.xxhash64("_vec"))
+    same = [*keys, "_print", "_vec"]
+    distinct = stage_table(
+        rows.groupBy(*same).agg(F.count(F.lit(1)).alias("_copies"), F.min(id_col).alias(id_col)),
+        "distinct",
+    )
+    extremes = _extremes_of(distinct.drop("_copies", "_print"), keys, id_col, block, normalize)
+    found = distinct.join(extremes, [*keys, id_col]).drop(id_col)
+    # A hot vector makes one side of this join skewed, which AQE splits.
+    back = rows.join(found, same)
+    own = squared_norm(l2_normalize("_vec") if normalize else as_double("_vec"))
+    alone = (F.col("_n") == 1) & (F.col("_copies") == 1)
+    return back.select(*keys, id_col, *_high_and_low(alone, F.when(F.col("_copies") > 1, own)))
+
+
+def _high_and_low(alone: Column, among_copies: Column | None) -> list[Column]:
+    """The two results, NULL for an item that is alone."""
+    high, low = F.col("_max"), F.col("_min")
+    if among_copies is not None:
+        high = F.greatest(high, among_copies)
+    return [F.when(~alone, high).alias("max_sim"), F.when(~alone, low).alias("min_sim")]
+
+
+def _extremes_of(
+    rows: DataFrame, keys: list[str], id_col: str, block: int, normalize: bool
+) -> DataFrame:
+    """``(keys, id, _n, _max, _min)`` over all pairs of blocks of each group."""
+    sized = with_group_size(rows, keys, "_n").withColumn(
+        "_nb", F.expr(f"(_n + {block} - 1) div {block}")
+    )
+    salted = sized.withColumn("_blk", seeded_hash(0, id_col) % F.col("_nb"))
     pairs = salted.withColumn("_other", F.explode(F.expr("sequence(0L, _nb - 1)"))).select(
         *keys,
         id_col,
@@ -112,17 +151,7 @@ def extreme_sims(
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     ddl = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _max double, _min double"
     partial = pairs.groupBy(*keys, "_bi", "_bj").applyInArrow(_extremes(keep, normalize), ddl)
-    alone = F.col("_n") == 1
-    return (
-        partial.groupBy(*keep)
-        .agg(F.max("_max").alias("_max"), F.min("_min").alias("_min"))
-        .select(
-            *keys,
-            id_col,
-            F.when(~alone, F.col("_max")).alias("max_sim"),
-            F.when(~alone, F.col("_min")).alias("min_sim"),
-        )
-    )
+    return partial.groupBy(*keep).agg(F.max("_max").alias("_max"), F.min("_min").alias("_min"))
 
 
 def _moments(keys: list[str], normalize: bool):

@@ -46,7 +46,7 @@ class DedupOptions:
     which: str = "hard"
     keep_hard: bool = True
     max_cluster_size: int | None = None
-    block: int = 4096
+    block: int = 8192
 
     def __post_init__(self) -> None:
         check_metric(self.metric, self.spherical)

@@ -6,7 +6,6 @@ its length class; every query reads its tables whole.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +15,20 @@ from vecprune.functions import names, vectors
 from vecprune.operators import encode, evaluate, gather, manifest, prune, rank, sampling, sizes, stats
 from vecprune.operators.assign import assign, dist_to_centroid, join_centroids
 from vecprune.operators.kmeans import fit_kmeans, lloyd, mean_centroids
+from vecprune.operators.ordinal import largest_group
 from vecprune.operators.validate import repeated_keys, split_valid
 from vecprune.options import DedupOptions
-from vecprune.plans.dedup import cluster_items, dedup, dedup_given_clusters
+from vecprune.plans.dedup import (
+    cluster_items,
+    dedup,
+    dedup_given_clusters,
+    ordered_clusters,
+    prune_clusters,
+)
 from vecprune.plans.reports import prune_report
 from vecprune.session import ship_package
 from vecprune.sources import readers, writers
-from vecprune.staging import stage_root, stage_table
+from vecprune.staging import stage_path, stage_table
 
 EPS = (0.5, 0.6, 0.7)
 DOC_EPS = (0.03, 0.05)
@@ -66,16 +72,28 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist_to_centroid(_members(spark, sf_dir), _centroids(spark, sf_dir))
 
 
+def _largest(spark: SparkSession, sf_dir: str) -> int:
+    """Counted on the bare members, once for the ranking and the pruning."""
+    return largest_group(_members(spark, sf_dir), ["cluster_id"])
+
+
 def _ranked(spark: SparkSession, sf_dir: str, keep_hard: bool = True) -> DataFrame:
-    return rank.rank_within_cluster(_measured(spark, sf_dir), keep_hard)
+    largest = _largest(spark, sf_dir)
+    return rank.rank_within_cluster(_measured(spark, sf_dir), keep_hard, largest=largest)
 
 
 def _ordered(spark: SparkSession, sf_dir: str, which: str = "hard") -> DataFrame:
-    return rank.order_policy(_ranked(spark, sf_dir), which, SEED)
+    options = DedupOptions(which=which, seed=SEED)
+    return ordered_clusters(_measured(spark, sf_dir), options, largest=_largest(spark, sf_dir))
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prune.prune_table(_ordered(spark, sf_dir), EPS)
+    options = DedupOptions(eps_list=EPS)
+    return prune_clusters(_measured(spark, sf_dir), options, largest=_largest(spark, sf_dir))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.spread_scan(_table(spark, sf_dir, "documents"))
 
 
 def _length_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +306,7 @@ def dedup_given_clusters_easy(spark, sf_dir):
 @query
 def resume_skip(spark, sf_dir):
     """Half of the clusters in a first run, the rest in a second one that skips them."""
-    path = f"{stage_root(spark)}/vecprune-stages/pruning-{uuid.uuid4().hex}"
+    path = stage_path(spark, "pruning")
     ordered = _ordered(spark, sf_dir)
 
     def run(rows):
@@ -611,8 +629,11 @@ def manifest_counts(spark, sf_dir):
 
 @query
 def hash_encode(spark, sf_dir):
-    encoded = encode.hash_encoder(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return _elements(encoded, "doc_id", "embedding").where("value > 0")
+    encoded = encode.hash_encoder(_texts(spark, sf_dir).select("doc_id", "text"))
+    cells = encoded.select("doc_id", F.posexplode("embedding").alias("i", "value"))
+    return cells.where("value > 0").select(
+        "doc_id", F.col("i").cast("bigint").alias("i"), _r("value").alias("value")
+    )
 
 
 def _count_encoder():
@@ -624,16 +645,16 @@ def _count_encoder():
 
 @query
 def embed_documents(spark, sf_dir):
-    documents = _table(spark, sf_dir, "documents")
+    documents = _texts(spark, sf_dir)
     return _elements(encode.embed(documents, "doc_id", "text", _count_encoder), "doc_id", "embedding")
 
 
 def _language_clusters(spark, sf_dir):
     code = (F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))).cast("int")
-    documents = _table(spark, sf_dir, "documents").select(
+    documents = _texts(spark, sf_dir).select(
         F.col("doc_id").alias("item_id"), code.alias("cluster_id"), "text"
     )
-    return encode.hash_encoder(documents, normalize=False).drop("text")
+    return stage_table(encode.hash_encoder(documents, normalize=False).drop("text"), "encoded")
 
 
 @query
@@ -649,5 +670,5 @@ def dedup_documents_by_lang(spark, sf_dir):
 @query
 def dedup_full(spark, sf_dir):
     options = DedupOptions(k=8, niter=20, seed=SEED, eps_list=DOC_EPS)
-    kept = dedup(_table(spark, sf_dir, "documents"), options, id_col="doc_id", eps=0.05)
+    kept = dedup(_texts(spark, sf_dir), options, id_col="doc_id", eps=0.05)
     return kept.select("doc_id", "lang", "n_chars")

@@ -39,6 +39,14 @@ def read_embeddings(
     return table
 
 
+def spread_scan(table: DataFrame) -> DataFrame:
+    """A freshly read table over all cores, for steps that cost far more CPU than reading,
+    such as encoding.  Only a scan with fewer splits than there are cores is shuffled, so
+    never one of a size that matters."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def _numbered_records(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Fixed-width records of a headerless file with their number in the file."""
     records = spark.sparkContext.binaryRecords(path, width).zipWithIndex()

@@ -34,10 +34,23 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[sc.applicationId]
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path for a stage table of this application."""
+    folder = f"vecprune-stages/{spark.sparkContext.applicationId}"
+    return f"{stage_root(spark)}/{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables of this application, once its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stage_path(spark, "x")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the stage root and return it as a scan."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/vecprune-stages/{label}-{uuid.uuid4().hex}"
+    path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
