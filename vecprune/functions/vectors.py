@@ -36,9 +36,13 @@ def _bind(value: Column, body) -> Column:
 
 def l2_normalize(v: Column | str) -> Column:
     """Unit-length copy of ``v`` as doubles; a zero vector stays zero."""
-    norm = F.sqrt(squared_norm(v))
-    safe = F.when(norm == 0.0, F.lit(1.0)).otherwise(norm)
-    return _bind(safe, lambda n: F.transform(as_double(v), lambda x: x / n))
+    return _bind(
+        F.sqrt(squared_norm(v)),
+        lambda norm: _bind(
+            F.when(norm == 0.0, F.lit(1.0)).otherwise(norm),
+            lambda n: F.transform(as_double(v), lambda x: x / n),
+        ),
+    )
 
 
 def cosine_sim(a: Column | str, b: Column | str) -> Column:

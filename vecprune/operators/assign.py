@@ -20,6 +20,7 @@ CENTROID_BYTES = 256 << 20
 SCORE_CELLS = 4_000_000
 # Scores closer than this are a tie, which goes to the lowest cluster id.
 TIE = 1e-12
+NO_CENTROID = "an item belongs to a cluster that has no centroid"
 
 
 def centroid_shape(centroids: DataFrame) -> tuple[int, int]:
@@ -167,6 +168,24 @@ def join_centroids(
     return df.join(side, "cluster_id")
 
 
+def _own_distance(shared_ids, shared_matrix, metric: str):
+    """Arrow UDF: distance of each vector to the broadcast centroid of its cluster."""
+
+    def run(vectors: pa.Array, clusters: pa.Array) -> pa.Array:
+        ids, cents = shared_ids.value, shared_matrix.value
+        wanted = clusters.to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+        if (ids[at] != wanted).any():
+            raise ValueError(NO_CENTROID)
+        x = to_matrix(vectors)
+        if metric == "l2":
+            gap = x - cents[at]
+            return pa.array(np.einsum("ij,ij->i", gap, gap))
+        return pa.array(1.0 - np.einsum("ij,ij->i", unit_rows(x), cents[at]))
+
+    return F.arrow_udf(run, "double").asNondeterministic()
+
+
 def dist_to_centroid(
     df: DataFrame,
     centroids: DataFrame | None = None,
@@ -174,19 +193,30 @@ def dist_to_centroid(
     *,
     spherical: bool = True,
     vec_col: str = "embedding",
+    limit_bytes: int = CENTROID_BYTES,
 ) -> DataFrame:
     """Add ``dist``, the distance to the own centroid.
 
     Without ``centroids`` it is derived from the stored ``score`` (a similarity for
     spherical clustering, otherwise already a squared distance); with them it is computed:
-    ``1 - cosine``, or the squared L2 distance.
+    ``1 - cosine``, or the squared L2 distance.  Centroids are broadcast if they were
+    measured to fit ``limit_bytes``, else joined.
     """
     check_metric(metric, spherical)
     if centroids is None:
         return df.withColumn("dist", 1.0 - F.col("score") if spherical else F.col("score"))
+    number, dim = centroid_shape(centroids)
+    if number * dim * 8 <= limit_bytes:
+        sc = df.sparkSession.sparkContext
+        ids, matrix = _collect_block(centroids, "l2" if metric == "l2" else "cosine")
+        distance = _own_distance(sc.broadcast(ids), sc.broadcast(matrix), metric)
+        return df.withColumn("dist", distance(F.col(vec_col), F.col("cluster_id")))
+    joined = df.join(centroids.select("cluster_id", "centroid"), "cluster_id", "left")
     measure = l2_sq if metric == "l2" else cosine_dist
-    joined = join_centroids(df, centroids)
-    return joined.withColumn("dist", measure(vec_col, "centroid")).drop("centroid")
+    checked = F.when(F.col("centroid").isNull(), F.raise_error(F.lit(NO_CENTROID))).otherwise(
+        measure(vec_col, "centroid")
+    )
+    return joined.withColumn("dist", checked).drop("centroid")
 
 
 def load_or_assign(path: str, df: DataFrame, centroids: DataFrame, metric: str = "cosine", **options):

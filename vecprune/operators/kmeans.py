@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecprune.functions.hashing import seeded_hash
 from vecprune.functions.vectors import as_double, l2_normalize, squared_norm
 from vecprune.operators.assign import assign
+from vecprune.operators.sums import vector_sums
 from vecprune.staging import stage_table, table_exists
 
 # Fixed value: training points per centroid.
@@ -65,16 +65,13 @@ def mean_centroids(
     df: DataFrame, spherical: bool = True, *, cluster_col: str = "cluster_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """Centroid table of given clusters: the mean of the (normalized) vectors, itself
-    normalized for spherical clustering.  Sums are combined before the shuffle."""
-    vec = l2_normalize(vec_col) if spherical else as_double(vec_col)
-    means = (
-        df.select(F.col(cluster_col).cast("int").alias("cluster_id"), array_to_vector(vec).alias("_v"))
-        .groupBy("cluster_id")
-        .agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))
+    normalized for spherical clustering.  Tasks add up their rows before the shuffle."""
+    rows = df.select(F.col(cluster_col).cast("int").alias("cluster_id"), vec_col)
+    sums = vector_sums(rows, ["cluster_id"], vec_col, normalize=spherical)
+    mean = F.transform("_sum", lambda x: x / F.col("_n"))
+    return sums.select(
+        "cluster_id", (l2_normalize("_sum") if spherical else mean).alias("centroid")
     )
-    if spherical:
-        means = means.withColumn("centroid", l2_normalize("centroid"))
-    return means
 
 
 def lloyd(

@@ -24,6 +24,7 @@ from vecprune.operators.kernels import STRIPE, to_matrix, unit_rows
 from vecprune.operators.ordinal import largest_group
 from vecprune.operators.prune import BLOCK
 from vecprune.operators.rank import with_group_size
+from vecprune.operators.sums import vector_sums
 from vecprune.options import check_eps
 from vecprune.staging import stage_table
 
@@ -44,10 +45,7 @@ def avg_sim_to_others(
     """
     keys = list(keys)
     unit = df.withColumn("_u", l2_normalize(vec_col) if normalize else as_double(vec_col))
-    sums = unit.groupBy(*keys).agg(
-        vector_to_array(Summarizer.sum(array_to_vector("_u"))).alias("_sum"),
-        F.count(F.lit(1)).alias("_n"),
-    )
+    sums = stage_table(vector_sums(df, keys, vec_col, normalize), "sums")
     groups, dim = sums.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_sum")), F.lit(0))).first()
     side = F.broadcast(sums) if groups * dim * 8 <= limit_bytes else sums
     others = (dot("_u", "_sum") - squared_norm("_u")) / F.nullif(F.col("_n") - 1, F.lit(0))

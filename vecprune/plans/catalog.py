@@ -139,6 +139,19 @@ def l2_to_centroid(spark, sf_dir):
     return rows.select("item_id", _r("dist").alias("dist"))
 
 
+@query
+def l2_to_centroid_joined(spark, sf_dir):
+    """Centroids too large for a broadcast (here: by a limit of 0 bytes) are joined."""
+    rows = dist_to_centroid(
+        _members(spark, sf_dir),
+        _centroids(spark, sf_dir, spherical=False),
+        "l2",
+        spherical=False,
+        limit_bytes=0,
+    )
+    return rows.select("item_id", _r("dist").alias("dist"))
+
+
 @query
 def valid_vectors(spark, sf_dir):
     usable, rejects = split_valid(_members(spark, sf_dir))

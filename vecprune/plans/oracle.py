@@ -220,6 +220,8 @@ SELECT item_id, {_r("list_dot_product(e, c)")} AS dot FROM unit JOIN cent USING
     "cosine_to_centroid": f"""WITH {_ITEMS},{_MEAN}
 SELECT item_id, {_r(_COS)} AS sim, {_r("1 - " + _COS)} AS dist FROM unit JOIN cent USING (cluster_id)""",
     "l2_to_centroid": f"""WITH {_ITEMS},{_MEAN}
+SELECT item_id, {_r(_L2.format(a="e", b="c"))} AS dist FROM unit JOIN cent USING (cluster_id)""",
+    "l2_to_centroid_joined": f"""WITH {_ITEMS},{_MEAN}
 SELECT item_id, {_r(_L2.format(a="e", b="c"))} AS dist FROM unit JOIN cent USING (cluster_id)""",
     "valid_vectors": """SELECT 'usable' AS kind, count(*) AS n FROM embeddings WHERE len(embedding) = 64
 UNION ALL SELECT 'rejected', count(*) FROM embeddings
