@@ -152,3 +152,39 @@ def test_stage_tables_can_be_dropped(spark):
     assert table_exists(spark, folder)
     drop_stages(spark)
     assert not table_exists(spark, folder)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+@pytest.mark.parametrize("scale", [1.0, 1000.0])
+def test_search_is_exact_among_close_centroids(spark, metric, scale):
+    """Centroids that single precision cannot tell apart."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(4, 12))
+    cents = np.concatenate([base, base + 1e-8 * rng.normal(size=(4, 12)), base[:2]]) * scale
+    table = spark.createDataFrame(
+        [(i, c.tolist()) for i, c in enumerate(cents)], "cluster_id int, centroid array<double>"
+    )
+    x = rng.normal(size=(200, 12)).astype(np.float32)
+    rows = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<float>"
+    )
+    got = {r.item_id: r.cluster_id for r in assign(rows, table, metric).collect()}
+    x = x.astype(np.float64)
+    if metric == "cosine":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        cents = cents / np.linalg.norm(cents, axis=1)[:, None]
+    closeness = x @ cents.T - (0.5 * (cents**2).sum(axis=1) if metric == "l2" else 0)
+    for i, row in enumerate(closeness):
+        # Equal up to double rounding counts as a tie.
+        assert row[got[i]] >= row.max() - 1e-9
+        assert got[i] < 8
+
+
+def test_items_need_a_centroid(items, spark):
+    from vecprune.operators.assign import dist_to_centroid
+
+    cents = spark.createDataFrame([(0, [1.0, 0.0])], "cluster_id int, centroid array<double>")
+    rows = items([(0, 0, [1.0, 0.0]), (1, 5, [1.0, 0.0])])
+    for limit in (0, 1 << 20):
+        with pytest.raises(Exception, match="has no centroid"):
+            dist_to_centroid(rows, cents, limit_bytes=limit).collect()

@@ -86,12 +86,12 @@ def test_sorted_clusters_as_text(spark, tmp_path):
 @pytest.mark.parametrize("fmt", ["parquet", "tsv"])
 def test_write_sorted(spark, ranked, tmp_path, fmt):
     path = str(tmp_path / fmt)
+    ranked = ranked.withColumn("path", F.concat(F.lit('"a\\ '), "path", F.lit('"')))
     writers.write_sorted(ranked, path, fmt, buckets=2)
     if fmt == "parquet":
         back = spark.read.parquet(path).select("item_id", "path", "dist", "cluster_id")
     else:
-        schema = "item_id long, path string, dist double, cluster_id int"
-        back = spark.read.schema(schema).csv(path, sep="\t").select("item_id", "path", "dist", "cluster_id")
+        back = readers.read_sorted_clusters(spark, path, columns=4)
     assert rows_of(back) == rows_of(ranked.select("item_id", "path", "dist", "cluster_id"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vecprune.functions.hashing import seeded_hash
 from vecprune.operators.ordinal import ordinal
 from vecprune.operators.sizes import cluster_sizes, one_cluster, top_clusters
+from vecprune.staging import stage_table
 
 # A preview sample up to this many rows is broadcast to the dataset scan.
 PREVIEW_ROWS = 1_000_000
@@ -64,7 +65,8 @@ def preview(
         n_clusters = 1
     few = n_clusters <= PREVIEW_ROWS
     picked = members.join(F.broadcast(chosen) if few else chosen, "cluster_id")
-    sample = sample_per_cluster(picked, per_cluster, seed)
+    # A few rows per cluster, used twice: stored rather than drawn again.
+    sample = stage_table(sample_per_cluster(picked, per_cluster, seed), "sample")
     return preview_rows(sample, dataset, max_rows=n_clusters * per_cluster)
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from vecprune.functions import names, vectors
 from vecprune.operators import encode, evaluate, gather, manifest, prune, rank, sampling, sizes, stats
-from vecprune.operators.assign import assign, dist_to_centroid, join_centroids
-from vecprune.operators.kmeans import fit_kmeans, lloyd, mean_centroids
+from vecprune.operators.assign import assign, dist_to_centroid, join_centroids, load_or_assign
+from vecprune.operators.kmeans import fit_kmeans, lloyd, load_or_fit, mean_centroids
 from vecprune.operators.ordinal import largest_group
 from vecprune.operators.validate import repeated_keys, split_valid
 from vecprune.options import DedupOptions
@@ -104,7 +104,7 @@ def _length_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _elements(df: DataFrame, key: str, array_col: str) -> DataFrame:
     return df.select(key, F.posexplode(array_col).alias("i", "value")).select(
-        key, F.col("i").cast("bigint").alias("i"), _r("value").alias("value")
+        key, F.col("i").cast("bigint").alias("i"), _r(F.col("value").cast("double")).alias("value")
     )
 
 
@@ -637,6 +637,96 @@ def manifest_counts(spark, sf_dir):
     return manifest.manifest_counts(_manifest(spark, sf_dir))
 
 
+# -- written and read back ----------------------------------------------------------------
+
+
+@query
+def read_embeddings(spark, sf_dir):
+    rows = readers.read_embeddings(spark, f"{sf_dir}/embeddings.parquet", "vec_id", dim=64)
+    return rows.select("item_id", F.size("embedding").alias("dim"))
+
+
+@query
+def written_sorted_clusters(spark, sf_dir):
+    path = stage_path(spark, "sorted")
+    ranked = _ranked(spark, sf_dir).withColumn("path", names.output_name("item_id"))
+    writers.write_sorted(ranked, path, "tsv", buckets=4)
+    rows = readers.read_sorted_clusters(spark, path, columns=4)
+    return rows.select("item_id", "path", "cluster_id", _r("dist").alias("dist"))
+
+
+@query
+def written_id_list(spark, sf_dir):
+    path = stage_path(spark, "ids")
+    kept = prune.select_pruned(_pruned(spark, sf_dir), 0.7)
+    writers.write_id_list(kept.select(F.col("item_id").alias("path")), path)
+    return readers.read_id_list(spark, path)
+
+
+@query
+def written_dataset(spark, sf_dir):
+    """A split dataset with a binary column; the reader takes the training split."""
+    path = stage_path(spark, "dataset")
+    pages = sampling.train_test_split(_table(spark, sf_dir, "pages"), 0.8, SEED, id_col="page_id")
+    writers.write_dataset(pages.withColumn("html", F.encode("html", "utf-8")), path)
+    rows = readers.read_dataset(spark, path)
+    return rows.select("page_id", "url", F.md5("html").alias("payload"))
+
+
+@query
+def written_clusters(spark, sf_dir):
+    path = stage_path(spark, "clusters")
+    centroids = _centroids(spark, sf_dir)
+    writers.write_clusters(assign(_members(spark, sf_dir), centroids), centroids, path)
+    found = spark.read.parquet(f"{path}/assignments")
+    return found.select("item_id", "cluster_id", _r("score").alias("score"))
+
+
+@query
+def reused_assignments(spark, sf_dir):
+    """Centroids and assignments computed once, then taken from where they were saved."""
+    path = stage_path(spark, "reuse")
+    members = _members(spark, sf_dir)
+    for _ in range(2):
+        centroids = load_or_fit(f"{path}/centroids", members, mean_centroids)
+        found = load_or_assign(f"{path}/assignments", members, centroids)
+    return found.select("item_id", "cluster_id", _r("score").alias("score"))
+
+
+@query
+def written_ranked_members(spark, sf_dir):
+    path = stage_path(spark, "ranked")
+    writers.write_ranked_members(_length_classes(spark, sf_dir), path, buckets=8)
+    return spark.read.parquet(path).select("item_id", "cluster_id", "size_rank")
+
+
+@query
+def written_size_list(spark, sf_dir):
+    path = stage_path(spark, "summary")
+    writers.write_summary(_length_classes(spark, sf_dir), path)
+    schema = "cluster_id int, cluster_size bigint"
+    return spark.read.csv(f"{path}/clusters_by_size", sep="\t", schema=schema)
+
+
+@query
+def written_stats(spark, sf_dir):
+    path = stage_path(spark, "stats")
+    report = prune_report(_ordered(spark, sf_dir), EPS)
+    writers.write_stats(report["items"], report["clusters"], report["eps_report"], path)
+    rows = spark.read.parquet(f"{path}/eps_report")
+    return rows.withColumn("duplicates_ratio", _r("duplicates_ratio"))
+
+
+@query
+def resolved_columns(spark, sf_dir):
+    """The id under one of its usual names, the payload found by a part of its name."""
+    pages = _table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("idx"), F.col("url").alias("My_Image_Url")
+    )
+    image = readers.image_column(pages)
+    return readers.with_item_id(pages).select("item_id", F.col(image).alias("image"))
+
+
 # -- encoding and whole jobs --------------------------------------------------------------
 
 

@@ -409,6 +409,27 @@ SELECT item_id, cluster_id, 'image_' || item_id || '_class' || cluster_id || '.j
        m > 1 - 0.7::DOUBLE AS eps_0_7 FROM sims""",
     "fetch_manifest": f"WITH {_MANIFEST} SELECT page_id, url, name, status FROM manifest",
     "manifest_counts": f"WITH {_MANIFEST} SELECT status, count(*) AS n FROM manifest GROUP BY status",
+    # written and read back
+    "read_embeddings": """SELECT vec_id AS item_id, CAST(len(embedding) AS INTEGER) AS dim
+FROM embeddings""",
+    "written_sorted_clusters": f"""WITH {_MEASURED}
+SELECT item_id, 'image_' || item_id || '.jpg' AS path, cluster_id, {_r("dist")} AS dist FROM measured""",
+    "written_id_list": f"WITH {_sims()} SELECT item_id FROM sims WHERE m <= 1 - 0.7::DOUBLE",
+    "written_dataset": f"""SELECT page_id, url, md5(html) AS payload FROM pages
+WHERE {_hash(SEED, "page_id")} % 1000000 < 800000""",
+    "written_clusters": _assign(_COS, "DESC", _CENT),
+    "reused_assignments": _assign(_COS, "DESC", _CENT),
+    "written_ranked_members": f"""WITH {_LENGTH}
+SELECT item_id, cluster_id, size_rank FROM cls JOIN (
+  SELECT cluster_id, row_number() OVER (ORDER BY n DESC, first) - 1 AS size_rank
+  FROM (SELECT cluster_id, count(*) AS n, min(item_id) AS first FROM cls GROUP BY cluster_id))
+USING (cluster_id)""",
+    "written_size_list": f"WITH {_LENGTH} SELECT * FROM sizes",
+    "written_stats": f"""WITH {_sims()}
+SELECT eps, cluster_id, count(*) AS cluster_size, count(*) FILTER (m > 1 - eps) AS num_duplicates,
+       {_r("100.0::DOUBLE * count(*) FILTER (m > 1 - eps) / count(*)")} AS duplicates_ratio
+FROM sims, {_EPS} GROUP BY eps, cluster_id""",
+    "resolved_columns": "SELECT page_id AS item_id, url AS image FROM pages",
     # encoding and whole jobs
     "hash_encode": f"""WITH {_WORDS}
 SELECT doc_id, i, {_r("n / sqrt(sum(n * n) OVER (PARTITION BY doc_id))")} AS value FROM counts""",

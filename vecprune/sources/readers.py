@@ -99,18 +99,25 @@ def head_subset(df: DataFrame, n: int, order_col: str) -> DataFrame:
 
 
 def read_sorted_clusters(spark: SparkSession, path: str, columns: int = 3) -> DataFrame:
-    """``sorted_cluster_{id}.txt`` files as ``(item_id, path, dist, cluster_id)``; two-column
-    files have no path.  The cluster id comes from the file name."""
-    if columns not in (2, 3):
-        raise ValueError("a sorted cluster file has 2 or 3 columns")
-    schema = "item_id bigint, path string, dist double" if columns == 3 else "item_id bigint, dist double"
-    rows = spark.read.csv(path, sep="\t", schema=schema, quote="", pathGlobFilter="*cluster_*.txt")
-    file_name = F.col("_metadata.file_name")
-    cluster_id = F.regexp_extract(file_name, r"cluster_([0-9]+)\.txt$", 1).cast("int")
-    out = rows.select("*", cluster_id.alias("cluster_id"))
+    """Sorted clusters in text form as ``(item_id, path, dist, cluster_id)``.
+
+    ``sorted_cluster_{id}.txt`` files have 3 columns, or 2 without the path, and their
+    cluster id comes from the file name; tables of ``write_sorted`` have it as 4th column.
+    """
+    item, key, dist = "item_id bigint", "path string", "dist double"
+    schemas = {2: [item, dist], 3: [item, key, dist], 4: [item, key, dist, "cluster_id int"]}
+    if columns not in schemas:
+        raise ValueError("sorted clusters have 2, 3 or 4 columns")
+    reader = spark.read.schema(", ".join(schemas[columns]))
+    if columns == 4:
+        # One folder per bucket below the path; the bucket itself is of no interest.
+        rows = reader.option("recursiveFileLookup", True).csv(path, sep="\t", quote="")
+        return rows.select("item_id", "path", "dist", "cluster_id")
+    rows = reader.csv(path, sep="\t", quote="", pathGlobFilter="*cluster_*.txt")
+    cluster_id = F.regexp_extract(F.col("_metadata.file_name"), r"cluster_([0-9]+)\.txt$", 1)
     if columns == 2:
-        out = out.withColumn("path", F.lit(None).cast("string"))
-    return out.select("item_id", "path", "dist", "cluster_id")
+        rows = rows.withColumn("path", F.lit(None).cast("string"))
+    return rows.select("item_id", "path", "dist", cluster_id.cast("int").alias("cluster_id"))
 
 
 def read_id_list(spark: SparkSession, path: str, numeric_only: bool = True) -> DataFrame:

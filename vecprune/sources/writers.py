@@ -45,7 +45,9 @@ def write_sorted(
         rows.write.mode(mode).partitionBy("cluster_bucket").parquet(path)
     elif fmt == "tsv":
         columns = ["item_id", "path", "dist", "cluster_id", "cluster_bucket"]
-        rows.select(*columns).write.mode(mode).partitionBy("cluster_bucket").csv(path, sep="\t")
+        rows.select(*columns).write.mode(mode).partitionBy("cluster_bucket").csv(
+            path, sep="\t", quote="", escape=""
+        )
     else:
         raise ValueError(f"fmt must be 'parquet' or 'tsv', got {fmt!r}")
 
