@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecprune.functions.vectors import cosine_sim, l2_normalize
 from vecprune.operators.assign import assign, dist_to_centroid
-from vecprune.operators.prune import flag_duplicates, max_earlier_sim, prune_table, select_pruned
+from vecprune.operators.prune import flag_duplicates, prune_table, select_pruned
 from vecprune.operators.rank import order_policy, rank_within_cluster, split_clusters
 from vecprune.operators.sizes import cluster_sizes, size_histogram, size_summary
 from vecprune.operators.stats import (

@@ -25,7 +25,7 @@ from vecprune.plans.dedup import (
     ordered_clusters,
     prune_clusters,
 )
-from vecprune.plans.reports import prune_report
+from vecprune.plans.reports import cluster_report, prune_report
 from vecprune.session import ship_package
 from vecprune.sources import readers, writers
 from vecprune.staging import stage_path, stage_table
@@ -360,6 +360,11 @@ def rank_clusters(spark, sf_dir):
     return sizes.rank_clusters(_length_classes(spark, sf_dir))
 
 
+@query
+def cluster_report_clusters(spark, sf_dir):
+    return cluster_report(_length_classes(spark, sf_dir))["clusters"]
+
+
 @query
 def ranked_members(spark, sf_dir):
     return sizes.ranked_members(_length_classes(spark, sf_dir))
@@ -770,6 +775,17 @@ def dedup_documents_by_lang(spark, sf_dir):
     return gather.keep_items(documents, kept, id_col="doc_id", path_col=None).select("doc_id", "lang", "n_chars")
 
 
+@query
+def dedup_from_given_centroids(spark, sf_dir):
+    """The whole job on vectors with training that starts from the label means, so that it
+    has an exact answer."""
+    items = _members(spark, sf_dir).drop("cluster_id")
+    options = DedupOptions(eps_list=EPS, seed=SEED)
+    centroids = lloyd(items, _centroids(spark, sf_dir), 2)
+    pruned = prune_clusters(cluster_items(items, options, centroids), options)
+    return prune.select_pruned(pruned, 0.7).select("item_id", "cluster_id")
+
+
 @query
 def dedup_full(spark, sf_dir):
     options = DedupOptions(k=8, niter=20, seed=SEED, eps_list=DOC_EPS)

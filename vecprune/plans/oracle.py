@@ -296,6 +296,9 @@ SELECT CAST(b AS INTEGER) AS size_bin, count(cluster_size) AS n_clusters
 FROM (SELECT unnest(range(1, 12)) AS b) LEFT JOIN sizes ON least(cluster_size, 11) = b GROUP BY b""",
     "rank_clusters": f"""WITH {_LENGTH}
 SELECT cluster_id, n AS cluster_size, row_number() OVER (ORDER BY n DESC, first) - 1 AS size_rank
+FROM (SELECT cluster_id, count(*) AS n, min(item_id) AS first FROM cls GROUP BY cluster_id)""",
+    "cluster_report_clusters": f"""WITH {_LENGTH}
+SELECT cluster_id, n AS cluster_size, row_number() OVER (ORDER BY n DESC, first) - 1 AS size_rank
 FROM (SELECT cluster_id, count(*) AS n, min(item_id) AS first FROM cls GROUP BY cluster_id)""",
     "ranked_members": f"""WITH {_LENGTH}
 SELECT item_id, cluster_id, size_rank FROM cls JOIN (
@@ -439,6 +442,21 @@ SELECT doc_id, i, {_r("n / sqrt(sum(n * n) OVER (PARTITION BY doc_id))")} AS val
 unit AS (
   SELECT doc_id, list_transform(e, lambda x: CAST(x / sqrt(list_dot_product(e, e)) AS FLOAT)::DOUBLE) AS u FROM raw)
 {_elements("unit", "doc_id", "u")}""",
+    "dedup_from_given_centroids": f"""WITH {_ITEMS},{_CENT},{_UNIT0},
+{_round_of("cent", "r1", "u", "list_dot_product(u, c)", "DESC", True)},
+{_round_of("r1", "r2", "u", "list_dot_product(u, c)", "DESC", True)},
+placed AS (
+  SELECT item_id, u, cluster_id, 1 - s AS dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, cluster_id) AS rn
+    FROM (SELECT item_id, u, r2.cluster_id, list_dot_product(u, c) AS s FROM unit0, r2))
+  WHERE rn = 1),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(dist, 9) DESC, item_id) AS order_pos
+  FROM placed)
+SELECT item_id, cluster_id FROM ordered b WHERE NOT EXISTS (
+  SELECT 1 FROM ordered a
+  WHERE a.cluster_id = b.cluster_id AND a.order_pos < b.order_pos
+    AND list_dot_product(a.u, b.u) > 1 - 0.7::DOUBLE)""",
     "dedup_documents_by_lang": f"""WITH {_DOCS},
 removed AS (
   SELECT DISTINCT b.item_id FROM ordered a JOIN ordered b
