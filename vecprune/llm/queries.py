@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from vecprune.llm.bpe import op8_byte_bpe
 from vecprune.llm.repetition import OP1_SQL, op1_repetition
 
 QUERIES = {
     "op1_repetition": op1_repetition,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE = {
