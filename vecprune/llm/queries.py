@@ -5,6 +5,7 @@ from __future__ import annotations
 from vecprune.llm.bpe import op8_byte_bpe
 from vecprune.llm.decontaminate import op7_decontaminate
 from vecprune.llm.langid import op5_language
+from vecprune.llm.lm import op9_attention_scores
 from vecprune.llm.pii import op6_pii
 from vecprune.llm.repetition import OP1_SQL, op1_repetition
 from vecprune.llm.simhash import op2_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_attention_scores": op9_attention_scores,
 }
 
 ORACLE = {
