@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vecprune.llm.anchors import op4_anchors
 from vecprune.llm.bpe import op8_byte_bpe
 from vecprune.llm.decontaminate import op7_decontaminate
 from vecprune.llm.langid import op5_language
@@ -9,10 +10,13 @@ from vecprune.llm.lm import op9_attention_scores
 from vecprune.llm.pii import op6_pii
 from vecprune.llm.repetition import OP1_SQL, op1_repetition
 from vecprune.llm.simhash import op2_simhash
+from vecprune.llm.suffix import op3_suffix
 
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_simhash": op2_simhash,
+    "op3_suffix": op3_suffix,
+    "op4_anchors": op4_anchors,
     "op5_language": op5_language,
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
