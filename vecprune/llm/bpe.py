@@ -194,10 +194,7 @@ def encode_documents(
     """Documents with ``ids`` (array of int)."""
 
     def ids(coder: Encoder, texts: list[str]) -> dict:
-        blobs = [coder.encode_text(t) for t in texts]
-        ends = np.cumsum([0, *(len(b) // 4 for b in blobs)])
-        flat = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32)
-        return {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
+        return {"ids": _id_lists([coder.encode_text(t) for t in texts])}
 
     return _mapped(docs, ranks_path, pattern, id_col, text_col, "ids array<int>", ids)
 
@@ -221,27 +218,31 @@ def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> D
 
 
 def token_digests(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
-    """Digests of the ids of each document and of the bytes decoded from them."""
+    """Digests of the ids of each document and of the bytes decoded from them; the ids on demand."""
 
     def digests(coder: Encoder, texts: list[str]) -> dict:
-        counts, ids_sha, decoded_sha = [], [], []
-        for text in texts:
-            ids = coder.encode_text(text)
-            counts.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            decoded_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-        return {
-            "n_tokens": pa.array(counts, pa.int64()),
-            "ids_sha256": pa.array(ids_sha, pa.string()),
+        blobs = [coder.encode_text(text) for text in texts]
+        decoded_sha = [hashlib.sha256(coder.decode(ids)).hexdigest() for ids in blobs]
+        out = {
+            "n_tokens": pa.array([len(ids) // 4 for ids in blobs], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(ids).hexdigest() for ids in blobs], pa.string()),
             "decoded_sha256": pa.array(decoded_sha, pa.string()),
         }
+        return out | {"ids": _id_lists(blobs)} if with_ids else out
 
-    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _mapped(docs, ranks_path, pattern, id_col, text_col, columns, digests)
 
 
+def _id_lists(blobs: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(b) // 4 for b in blobs)])
+    flat = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def _mapped(docs, ranks_path, pattern, id_col, text_col, columns, make) -> DataFrame:
     ship_package(docs.sparkSession)
     content = read_ranks(ranks_path)

@@ -8,6 +8,7 @@ from vecprune.llm.decontaminate import op7_decontaminate
 from vecprune.llm.langid import op5_language
 from vecprune.llm.lm import op9_attention_scores
 from vecprune.llm.pii import op6_pii
+from vecprune.llm.quotes import OP10_SQL, op10_quotes
 from vecprune.llm.repetition import OP1_SQL, op1_repetition
 from vecprune.llm.simhash import op2_simhash
 from vecprune.llm.suffix import op3_suffix
@@ -22,8 +23,10 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_attention_scores": op9_attention_scores,
+    "op10_quotes": op10_quotes,
 }
 
 ORACLE = {
     "op1_repetition": OP1_SQL,
+    "op10_quotes": OP10_SQL,
 }
