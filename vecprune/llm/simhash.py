@@ -145,37 +145,49 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS
-) -> DataFrame:
-    """One row per document: id, ``print`` (long) and ``component_id``."""
+def _printed(docs: DataFrame, columns: list[str], text_col: str, size: int, name: str) -> DataFrame:
+    """The columns and the fingerprint as a long column."""
     ship_package(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text_col):
                 values = fingerprints(part.column(text_col), size).view(np.int64)
-                yield add_columns(part, [id_col], print=values)
+                yield add_columns(part, columns, **{name: values})
+
+    schema = docs.select(*columns).schema.add(name, "long")
+    return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(kernel, schema)
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    marked = docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {kind}, print long")
-    marked = stage_table(marked.withColumn("node", F.xxhash64("print")), "prints")
-    nodes = stage_table(marked.groupBy("print", "node").agg(F.min(id_col).alias("first")), "nodes")
+def _labelled(firsts: DataFrame) -> DataFrame:
+    """``(print, first)`` with ``node`` and the ``label`` of its component."""
+    nodes = stage_table(firsts.withColumn("node", F.xxhash64("print")), "nodes")
     labels = stage_table(components(near_links(nodes)), "labels")
-    grown = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS
+) -> DataFrame:
+    """One row per document: id, ``print`` (long) and ``component_id``."""
+    marked = stage_table(_printed(docs, [id_col], text_col, size, "print"), "prints")
+    grown = _labelled(marked.groupBy("print").agg(F.min(id_col).alias("first")))
     first = grown.groupBy("label").agg(F.min("first").alias("component_id"))
     named = grown.join(first, "label").select("print", "component_id")
     return marked.join(named, "print").select(id_col, "print", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without those that have a smaller id in their component; all columns stay.
+    """One row of each component, that with the smallest id (NULL last); all columns stay.
 
-    Rows that repeat an id within a component stay together.
+    Of rows that share this id one stays.
     """
-    found = near_duplicates(docs, id_col, text_col).select(id_col, "component_id")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    rows = _printed(docs, docs.columns, text_col, SHINGLE_WORDS, "_simhash")
+    rows = stage_table(rows.withColumn("_row", F.monotonically_increasing_id()), "printed")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row").alias("row"))
+    grown = _labelled(rows.groupBy(F.col("_simhash").alias("print")).agg(F.min(order).alias("first")))
+    kept = grown.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
