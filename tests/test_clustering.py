@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecprune.operators.assign import assign
+from vecprune.operators.assign import assign, dist_to_centroid, join_centroids
 from vecprune.operators.encode import embed, hash_encoder
-from vecprune.operators.kmeans import fit_kmeans, lloyd, mean_centroids
+from vecprune.operators.gather import attach_embeddings, attach_keys
+from vecprune.operators.kmeans import first_centroids, fit_kmeans, lloyd, mean_centroids
 from vecprune.options import DedupOptions
-from vecprune.plans.dedup import cluster_items, dedup
+from vecprune.plans.dedup import cluster_items, dedup, dedup_given_clusters
 from vecprune.plans.reports import cluster_report, prune_report
 from vecprune.operators.rank import order_policy, rank_within_cluster
 
@@ -75,11 +76,11 @@ def test_whole_job_keeps_one_of_each_copy(spark):
     docs = spark.read.parquet(DOCS)
     twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000))
     options = DedupOptions(k=4, niter=5, eps_list=(0.001, 0.05))
-    kept = dedup(twice, options, id_col="doc_id", eps=0.001).select("doc_id", "text")
+    kept = dedup(twice, options, id_col="doc_id", eps=0.001).rows.select("doc_id", "text")
     texts = [r.text for r in kept.collect()]
     assert 0 < len(texts) <= docs.select("text").distinct().count()
     assert len(texts) == len(set(texts))
-    fewer = dedup(twice, options, id_col="doc_id", eps=0.05)
+    fewer = dedup(twice, options, id_col="doc_id", eps=0.05).rows
     assert fewer.count() <= len(texts)
 
 
@@ -93,7 +94,7 @@ def test_whole_job_with_parts_and_an_encoder(spark, which):
     options = DedupOptions(
         k=3, niter=3, eps_list=(0.0001,), which=which, max_cluster_size=16, block=8, spherical=False, metric="l2"
     )
-    kept = dedup(docs, options, id_col="doc_id", make_encoder=make_encoder)
+    kept = dedup(docs, options, id_col="doc_id", make_encoder=make_encoder).rows
     assert 0 < kept.count() < docs.count()
 
 
@@ -137,11 +138,90 @@ def test_bad_vectors_stop_the_kernels(spark):
             assign(df, cents).collect()
 
 
-def test_training_sample_is_bounded_and_repeatable(vectors):
-    small = fit_kmeans(vectors, 3, 5, 1, max_points_per_centroid=20)
-    again = fit_kmeans(vectors, 3, 5, 1, max_points_per_centroid=20)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, again.collect()))
-    assert assign(vectors, small).where("cluster_id is not null").count() == 500
+@pytest.mark.parametrize("copies", [0, 400])
+def test_training_starts_from_different_vectors(spark, copies):
+    """Copies don't count twice, however many of the lowest hashes they have."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.standard_normal(3)]) for i in range(40)]
+    rows += [(1000 + i, [1.0, 2.0, 3.0]) for i in range(copies)] + [(5000, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "item_id long, embedding array<float>").repartition(5)
+    for k in (5, 40, 60):
+        starts = first_centroids(df, k, 3).collect()
+        different = 40 + (copies > 0)
+        assert sorted(r.cluster_id for r in starts) == list(range(min(k, different)))
+        assert len({tuple(np.round(r.centroid, 9)) for r in starts}) == min(k, different)
+    some = {r.cluster_id: tuple(r.centroid) for r in first_centroids(df, 5, 3).collect()}
+    more = {r.cluster_id: tuple(r.centroid) for r in first_centroids(df, 40, 3).collect()}
+    assert all(more[i] == some[i] for i in some)
+
+
+def test_cosine_cannot_be_derived_from_plain_scores(vectors):
+    cents = fit_kmeans(vectors, 4, 2, 1, spherical=False)
+    with pytest.raises(ValueError, match="cosine"):
+        dist_to_centroid(assign(vectors, cents, "l2"), None, "cosine", spherical=False)
+
+
+def test_blocks_of_centroids_agree_with_one(vectors):
+    cents = fit_kmeans(vectors, 9, 2, 1, spherical=False)
+    for metric in ("cosine", "ip", "l2"):
+        whole = {r.item_id: (r.cluster_id, round(r.score, 9)) for r in assign(vectors, cents, metric).collect()}
+        parts = assign(vectors, cents, metric, limit_bytes=1100)
+        assert {r.item_id: (r.cluster_id, round(r.score, 9)) for r in parts.collect()} == whole
+
+
+def test_bad_rows_do_not_end_a_job(spark):
+    good = [(i, 0, [float(i % 3), 1.0, 0.0]) for i in range(12)]
+    bad = [(20, 0, None), (21, 0, [1.0]), (22, 0, [float("nan"), 1.0, 0.0]), (23, None, [1.0, 0.0, 0.0])]
+    # The malformed row comes first.
+    df = spark.createDataFrame(bad[1:2] + good + bad, "item_id long, cluster_id int, embedding array<float>").coalesce(1)
+    rows, rejects = dedup_given_clusters(df, DedupOptions(eps_list=(0.01,)))
+    assert sorted(r.item_id for r in rows.collect()) == list(range(12))
+    reasons = {r.item_id: r.reason for r in rejects.collect()}
+    assert reasons == {20: "null", 21: "dimension", 22: "not finite", 23: "no cluster"}
+    ordered = df.withColumns({"dist": F.lit(0.5), "order_pos": F.col("item_id") + 1})
+    report = prune_report(ordered, [0.5])
+    assert report["items"].count() == 13 and report["rejects"].count() == 4
+    odd = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "item_id long, text string")
+
+    def make_encoder():
+        return lambda texts: np.array([[np.nan if t is None else len(t), 1.0] for t in texts])
+
+    kept, rejects = dedup(odd, DedupOptions(k=2, niter=1), make_encoder=make_encoder)
+    assert {r.item_id for r in kept.collect()} == {1, 3} and [r.item_id for r in rejects.collect()] == [2]
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_cluster_keys_of_other_types(spark, kind):
+    names = ["enx", "eny", None] if kind == "string" else [5_000_000_000, 5_000_000_000 + 2**32, None]
+    rows = [(i, names[i % 3], [1.0, 0.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, f"item_id long, k {kind}, embedding array<float>")
+    out, rejects = dedup_given_clusters(df, DedupOptions(eps_list=(0.01,)), cluster_col="k")
+    found = {r.item_id: (r.cluster_id, r.eps_0_01) for r in out.collect()}
+    assert {found[i][0] for i in (0, 3, 6)} == {0} and {found[i][0] for i in (1, 4, 7)} == {1}
+    assert sorted(i for i in found if not found[i][1]) == [0, 1]
+    assert {r.item_id for r in rejects.collect()} == {2, 5, 8}
+
+
+def test_joins_lose_nothing_silently(spark):
+    members = spark.createDataFrame([(1, 0), (2, 1)], "item_id long, cluster_id int")
+    vectors = spark.createDataFrame([(1, [1.0])], "item_id long, embedding array<float>")
+    with pytest.raises(Exception, match="no vector"):
+        attach_embeddings(members, vectors).collect()
+    keys = members.where("item_id = 1").withColumn("path", F.lit("x"))
+    with pytest.raises(Exception, match="no key"):
+        attach_keys(members, keys).collect()
+    cents = spark.createDataFrame([(0, [1.0])], "cluster_id int, centroid array<double>")
+    for limit in (0, 1 << 20):
+        with pytest.raises(Exception, match="no centroid"):
+            join_centroids(members, cents, limit_bytes=limit).collect()
+
+
+def test_ranks_are_the_same_at_every_scale(spark):
+    rows = [(i, 0, d) for i, d in enumerate([1e-12, 5e-11, 3e-10, 0.25, 0.25 + 1e-15, 0.0])]
+    df = spark.createDataFrame(rows, "item_id long, cluster_id int, dist double")
+    for hot in (1, 1000):
+        pos = {r.item_id: r.pos for r in rank_within_cluster(df, hot_rows=hot).collect()}
+        assert pos == {3: 1, 4: 2, 2: 3, 1: 4, 0: 5, 5: 6}
 
 
 def test_stage_tables_can_be_dropped(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecprune.functions.vectors import cosine_sim, l2_normalize
 from vecprune.operators.assign import assign, dist_to_centroid
-from vecprune.operators.prune import flag_duplicates, prune_table, select_pruned
+from vecprune.operators.prune import flag_duplicates, max_earlier_sim, prune_table, select_pruned
 from vecprune.operators.rank import order_policy, rank_within_cluster, split_clusters
 from vecprune.operators.sizes import cluster_sizes, size_histogram, size_summary
 from vecprune.operators.stats import (
@@ -43,8 +43,9 @@ def by_id(df, column):
     ],
 )
 def test_chain_in_distance_order(chain, which, removed, sims):
-    pruned = dedup_given_clusters(chain, DedupOptions(eps_list=(0.03,), which=which)).cache()
-    assert by_id(pruned, "max_earlier_sim") == pytest.approx(sims, abs=1e-6)
+    pruned = dedup_given_clusters(chain, DedupOptions(eps_list=(0.03,), which=which)).rows.cache()
+    ordered = chain.join(pruned.select("item_id", "order_pos"), "item_id")
+    assert by_id(max_earlier_sim(ordered), "max_earlier_sim") == pytest.approx(sims, abs=1e-6)
     assert {r.item_id for r in select_pruned(pruned, 0.03, kept=False).collect()} == removed
     assert {r.item_id for r in select_pruned(pruned, 0.03).collect()} == {0, 1, 2} - removed
 
@@ -74,9 +75,9 @@ def test_chain_statistics(chain):
 
 def test_alone_in_its_cluster(items):
     one = items([(7, 3, [0.6, 0.8])])
-    pruned = dedup_given_clusters(one, DedupOptions(eps_list=(1e-6, 0.5, 1.0)))
+    pruned = dedup_given_clusters(one, DedupOptions(eps_list=(1e-6, 0.5, 1.0))).rows
     row = pruned.first()
-    assert row.max_earlier_sim == 0.0
+    assert max_earlier_sim(one.withColumn("order_pos", F.lit(1))).first().max_earlier_sim == 0.0
     assert not (row["eps_1e_06"] if "eps_1e_06" in pruned.columns else row["eps_1em06"])
     assert not row["eps_0_5"] and not row["eps_1_0"]
     assert avg_sim_to_others(one).first().avg_sim_to_others is None
@@ -95,7 +96,7 @@ def test_copies_opposites_and_zero(items):
         ]
     ).withColumn("order_pos", F.col("item_id") % 2 + 1)
     pruned = prune_table(rows, [1e-6, 1.0])
-    assert by_id(pruned, "max_earlier_sim") == pytest.approx(
+    assert by_id(max_earlier_sim(rows), "max_earlier_sim") == pytest.approx(
         {0: 0.0, 1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}, abs=1e-9
     )
     assert by_id(pruned, "eps_1_0") == {0: False, 1: True, 2: False, 3: False, 4: False, 5: False}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vecprune.operators.assign import assign, load_or_assign
 from vecprune.operators.kmeans import load_or_fit, mean_centroids
+from vecprune.operators.gather import resolve_files
 from vecprune.operators.prune import prune_table
 from vecprune.operators.rank import order_policy, rank_within_cluster
 from vecprune.sources import readers, writers
@@ -144,10 +145,27 @@ def test_pruning_resumes_without_redoing(spark, ranked, tmp_path):
     writers.write_pruning(ranked, path, prune, ranges=2)
     assert seen == [{1}, {0}, {2}]
     whole = prune_table(ranked, [0.3]).select("item_id", "cluster_id", "eps_0_3")
-    back = spark.read.parquet(path).select("item_id", "cluster_id", "eps_0_3")
+    # Rows of a step that failed before its marker don't count, and their clusters are redone.
+    stale = prune_table(ranked, [0.3]).withColumn("_run", F.lit("failed"))
+    stale.write.mode("append").parquet(f"{path}/rows")
+    writers.write_pruning(ranked, path, prune)
+    assert seen[3] == set()
+    back = writers.read_pruning(spark, path).select("item_id", "cluster_id", "eps_0_3")
     assert rows_of(back) == rows_of(whole)
 
 
+def test_id_list_with_long_numbers(spark, tmp_path):
+    (tmp_path / "ids.txt").write_text("7\n99999999999999999999\n\n x \n 12 \n")
+    ids = readers.read_id_list(spark, str(tmp_path / "ids.txt"))
+    assert sorted(r.item_id for r in ids.collect()) == [7, 12]
+
+
+def test_files_of_one_name_are_one_source(spark):
+    ids = spark.createDataFrame([("a.jpg",)], "id string")
+    files = spark.createDataFrame([(0, "a.jpg"), (1, "a.jpg")], "file_no long, name string")
+    assert [r.status for r in resolve_files(ids, files).collect()] == ["found"]
+
+
 def test_saved_centroids_and_assignments_are_reused(spark, ranked, tmp_path):
     calls = []
 

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecprune.functions.vectors import cosine_dist, l2_sq
+from vecprune.functions.vectors import as_double, cosine_dist, l2_sq
 from vecprune.operators.kernels import to_matrix, unit_rows
 from vecprune.options import check_metric
-from vecprune.staging import stage_table, table_exists
+from vecprune.staging import table_exists
 
 # Centroids up to this size are broadcast whole; larger sets go block by block.
 CENTROID_BYTES = 256 << 20
@@ -20,6 +20,8 @@ CENTROID_BYTES = 256 << 20
 SCORE_CELLS = 4_000_000
 # Scores closer than this are a tie, which goes to the lowest cluster id.
 TIE = 1e-12
+# Cosine distances below this are rounding noise of their own direction.
+NO_DISTANCE = 1e-14
 NO_CENTROID = "an item belongs to a cluster that has no centroid"
 
 
@@ -62,32 +64,49 @@ def _pick_fast(x, cents, half_norms, cents32, half_norms32, largest) -> np.ndarr
     return pick
 
 
-def _nearest(shared_ids, shared_matrix, metric: str):
-    """Arrow UDF returning the best of the broadcast centroids for each vector."""
+def _merge(found, score, picked, value, metric: str) -> None:
+    """Take over what a further block of centroids has found, where it is better."""
+    gain = score - value if metric == "l2" else value - score
+    better = (gain > TIE) | ((np.abs(gain) <= TIE) & (picked < found))
+    found[better], score[better] = picked[better], value[better]
+
+
+def _nearest(shared: list, metric: str):
+    """Arrow UDF returning the best of the broadcast centroids for each vector.  Centroids come
+    in blocks, which every batch is multiplied with one after the other."""
+
+    def blocks():
+        for ids, matrix in shared:
+            cluster_ids, cents = ids.value, matrix.value
+            norms = np.einsum("ij,ij->i", cents, cents)
+            half_norms = 0.5 * norms if metric == "l2" else None
+            half_norms32 = half_norms.astype(np.float32) if metric == "l2" else None
+            largest = float(np.sqrt(norms.max()))
+            yield cluster_ids, cents, half_norms, cents.astype(np.float32), half_norms32, largest
+
+    def search(x, block):
+        cluster_ids, cents, *rest = block
+        pick = _pick_fast(x, cents, *rest)
+        chosen = cents[pick]
+        if metric == "l2":
+            gap = x - chosen
+            return cluster_ids[pick], np.einsum("ij,ij->i", gap, gap)
+        return cluster_ids[pick], np.einsum("ij,ij->i", x, chosen)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cluster_ids, cents = shared_ids.value, shared_matrix.value
-        norms = np.einsum("ij,ij->i", cents, cents)
-        half_norms = 0.5 * norms if metric == "l2" else None
-        half_norms32 = half_norms.astype(np.float32) if metric == "l2" else None
-        cents32 = cents.astype(np.float32)
-        largest = float(np.sqrt(norms.max()))
-        step = max(1, SCORE_CELLS // len(cents))
+        # One block is prepared once per task, several ones anew for each batch.
+        kept = list(blocks()) if len(shared) == 1 else None
         for vectors in batches:
-            found = np.zeros(len(vectors), dtype=np.int32)
-            score = np.zeros(len(vectors))
-            for lo in range(0, len(vectors), step):
-                x = to_matrix(vectors.slice(lo, step))
-                if metric == "cosine":
-                    x = unit_rows(x)
-                pick = _pick_fast(x, cents, half_norms, cents32, half_norms32, largest)
-                chosen = cents[pick]
-                if metric == "l2":
-                    gap = x - chosen
-                    score[lo : lo + step] = np.einsum("ij,ij->i", gap, gap)
-                else:
-                    score[lo : lo + step] = np.einsum("ij,ij->i", x, chosen)
-                found[lo : lo + step] = cluster_ids[pick]
+            found = np.full(len(vectors), np.iinfo(np.int32).max, dtype=np.int32)
+            score = np.full(len(vectors), np.inf if metric == "l2" else -np.inf)
+            for block in kept or blocks():
+                step = max(1, SCORE_CELLS // len(block[1]))
+                for lo in range(0, len(vectors), step):
+                    x = to_matrix(vectors.slice(lo, step))
+                    if metric == "cosine":
+                        x = unit_rows(x)
+                    part = slice(lo, lo + step)
+                    _merge(found[part], score[part], *search(x, block), metric)
             yield pa.StructArray.from_arrays(
                 [pa.array(found), pa.array(score)], names=["cluster_id", "score"]
             )
@@ -98,18 +117,13 @@ def _nearest(shared_ids, shared_matrix, metric: str):
 
 
 def _collect_block(centroids: DataFrame, metric: str):
-    rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").collect()
-    ids = np.array([r[0] for r in rows], dtype=np.int32)
-    matrix = np.array([r[1] for r in rows], dtype=np.float64)
+    table = centroids.select("cluster_id", as_double("centroid").alias("centroid")).toArrow()
+    table = table.sort_by("cluster_id").combine_chunks()
+    ids = table.column("cluster_id").to_numpy().astype(np.int32)
+    matrix = to_matrix(table.column("centroid"))
     return ids, unit_rows(matrix) if metric == "cosine" else matrix
 
 
-def _better(new: Column, old: Column, metric: str) -> Column:
-    gain = old["score"] - new["score"] if metric == "l2" else new["score"] - old["score"]
-    lower_id = new["cluster_id"] < old["cluster_id"]
-    return (gain > TIE) | ((F.abs(gain) <= TIE) & lower_id)
-
-
 def assign(
     df: DataFrame,
     centroids: DataFrame,
@@ -123,49 +137,36 @@ def assign(
     ``cosine`` normalizes both sides, ``ip`` is the raw inner product, ``l2`` the squared
     distance.  Ties go to the lowest cluster id.  No (item, centroid) row is ever made:
     each Arrow batch is multiplied with the broadcast centroids.  Centroids larger than
-    ``limit_bytes`` are taken block by block, with the items staged in between.
+    ``limit_bytes`` go in several broadcasts; the items are read once in any case.
     """
     check_metric(metric)
     sc = df.sparkSession.sparkContext
     number, dim = centroid_shape(centroids)
     n_blocks = -(-number * dim * 8 // limit_bytes)
-    if n_blocks > 1:
-        centroids = stage_table(centroids.select("cluster_id", "centroid"), "centroids")
-    out = df
+    shared = []
     for b in range(n_blocks):
         part = centroids
         if n_blocks > 1:
             part = centroids.where(F.pmod(F.hash("cluster_id"), F.lit(n_blocks)) == b)
-        if n_blocks > 1 and part.isEmpty():
-            continue
         ids, matrix = _collect_block(part, metric)
-        shared = sc.broadcast(ids), sc.broadcast(matrix)
-        found = _nearest(*shared, metric)(F.col(vec_col))
-        if "_near" not in out.columns:
-            out = out.withColumn("_near", found)
-        else:
-            new, old = F.col("_new"), F.col("_near")
-            out = out.withColumn("_new", found).withColumn(
-                "_near", F.when(_better(new, old, metric), new).otherwise(old)
-            ).drop("_new")
-        if n_blocks > 1:
-            out = stage_table(out, "assign")
-            for part_of_block in shared:
-                part_of_block.unpersist()
+        if len(ids):
+            shared.append((sc.broadcast(ids), sc.broadcast(matrix)))
     names = [c for c in df.columns if c not in ("cluster_id", "score")]
+    out = df.withColumn("_near", _nearest(shared, metric)(F.col(vec_col)))
     return out.select(*names, "_near.cluster_id", "_near.score")
 
 
 def join_centroids(
     df: DataFrame, centroids: DataFrame, *, limit_bytes: int = CENTROID_BYTES
 ) -> DataFrame:
-    """Each row with the ``centroid`` of its cluster; broadcast if it was measured to fit,
-    else a shuffle join whose hot clusters AQE splits."""
+    """Each row with the ``centroid`` of its cluster, and an error if there is none; broadcast
+    if it was measured to fit, else a shuffle join whose hot clusters AQE splits."""
     number, dim = centroid_shape(centroids)
     side = centroids.select("cluster_id", "centroid")
     if number * dim * 8 <= limit_bytes:
         side = F.broadcast(side)
-    return df.join(side, "cluster_id")
+    own = F.when(F.col("centroid").isNull(), F.raise_error(F.lit(NO_CENTROID))).otherwise(F.col("centroid"))
+    return df.join(side, "cluster_id", "left").withColumn("centroid", own)
 
 
 def _own_distance(shared_ids, shared_matrix, metric: str):
@@ -197,26 +198,37 @@ def dist_to_centroid(
 ) -> DataFrame:
     """Add ``dist``, the distance to the own centroid.
 
-    Without ``centroids`` it is derived from the stored ``score`` (a similarity for
-    spherical clustering, otherwise already a squared distance); with them it is computed:
+    Without ``centroids`` it is derived from the stored ``score``: a similarity for spherical
+    clustering, otherwise a squared distance, from which no cosine follows.  With them it is
+    computed:
     ``1 - cosine``, or the squared L2 distance.  Centroids are broadcast if they were
     measured to fit ``limit_bytes``, else joined.
     """
     check_metric(metric, spherical)
     if centroids is None:
-        return df.withColumn("dist", 1.0 - F.col("score") if spherical else F.col("score"))
+        if not spherical and metric != "l2":
+            raise ValueError("a cosine distance cannot be derived from the score of plain k-means")
+        return df.withColumn("dist", _clean(1.0 - F.col("score")) if spherical else F.col("score"))
     number, dim = centroid_shape(centroids)
     if number * dim * 8 <= limit_bytes:
         sc = df.sparkSession.sparkContext
         ids, matrix = _collect_block(centroids, "l2" if metric == "l2" else "cosine")
         distance = _own_distance(sc.broadcast(ids), sc.broadcast(matrix), metric)
-        return df.withColumn("dist", distance(F.col(vec_col), F.col("cluster_id")))
+        dist = distance(F.col(vec_col), F.col("cluster_id"))
+        if metric == "l2":
+            return df.withColumn("dist", dist)
+        return df.withColumn("_dist", dist).withColumn("dist", _clean(F.col("_dist"))).drop("_dist")
     joined = df.join(centroids.select("cluster_id", "centroid"), "cluster_id", "left")
     measure = l2_sq if metric == "l2" else cosine_dist
     checked = F.when(F.col("centroid").isNull(), F.raise_error(F.lit(NO_CENTROID))).otherwise(
         measure(vec_col, "centroid")
     )
-    return joined.withColumn("dist", checked).drop("centroid")
+    return joined.withColumn("dist", checked if metric == "l2" else _clean(checked)).drop("centroid")
+
+
+def _clean(dist: Column) -> Column:
+    """A cosine distance without the rounding noise around 0, which differs by kernel."""
+    return F.when(F.abs(dist) < NO_DISTANCE, F.lit(0.0)).otherwise(dist)
 
 
 def load_or_assign(path: str, df: DataFrame, centroids: DataFrame, metric: str = "cosine", **options):

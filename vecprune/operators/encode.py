@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,32 +42,30 @@ def embed(
     return df.select(id_col, content_col).mapInArrow(run, f"`{id_col}` {id_type}, embedding array<float>")
 
 
-class _Buckets(dict):
-    """Bucket of a word, remembered after the first time."""
-
-    def __init__(self, dim: int):
-        super().__init__()
-        self.dim = dim
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        bucket = int.from_bytes(hashlib.md5(word).digest()[:4], "big") % self.dim
-        self[word] = bucket
-        return bucket
+def _bucket(word: str, dim: int) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim
 
 
 def _bag_counts(dim: int, normalize: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets = _Buckets(dim)
+        known: dict[str, int] = {}
         for texts in batches:
-            counts = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                # bytes.split cuts at ASCII white space only.
-                words = text.as_py().split()
-                if words:
-                    found = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
-                    counts[row] = np.bincount(found, minlength=dim)
+            split = pc.ascii_split_whitespace(texts)
+            words = split.flatten().dictionary_encode()
+            # Only the different words of a batch are looked at one by one.
+            distinct = words.dictionary.to_pylist()
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+            for word in distinct:
+                if word not in known:
+                    known[word] = _bucket(word, dim)
+            bucket = np.array([known[w] for w in distinct], np.int64)
+            counted = np.array([w != "" for w in distinct], bool)
+            code = words.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+            real = counted[code] if len(code) else np.zeros(0, bool)
+            cells = row[real] * dim + bucket[code[real]] if len(code) else np.zeros(0, np.int64)
+            counts = np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float64)
             if normalize:
                 yield to_lists(unit_rows(counts))
             else:
@@ -89,5 +88,5 @@ def hash_encoder(
     counts come as floats, exact and half the size; every operator that compares vectors
     normalizes them itself.
     """
-    text = F.coalesce(F.lower(F.col(text_col)), F.lit("")).cast("binary")
+    text = F.coalesce(F.lower(F.col(text_col)), F.lit(""))
     return df.withColumn("embedding", _bag_counts(dim, normalize)(text))

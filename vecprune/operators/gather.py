@@ -6,17 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecprune.functions.names import base_name, output_name, with_default_ext
+from vecprune.operators.joins import join_on_keys
+
+
+def _checked(rows: DataFrame, found: str, what: str) -> DataFrame:
+    """``rows`` without the marker ``found``; a row without it ends the job."""
+    lost = F.raise_error(F.lit(what))
+    marker = F.when(F.col(found).isNull(), lost).otherwise(F.col(found))
+    # The marker is part of the filter, so that it is evaluated for every row.
+    return rows.where(marker).drop(found)
 
 
 def attach_embeddings(clusters: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Cluster members with their vectors, joined on the item id."""
-    return clusters.join(embeddings.select("item_id", "embedding"), "item_id")
+    """Cluster members with their vectors, joined on the item id.
+
+    A member without a vector is an error; ``missing_ids`` lists such members.
+    """
+    vectors = embeddings.select("item_id", "embedding", F.lit(True).alias("_found"))
+    rows = clusters.join(vectors, "item_id", "left")
+    return _checked(rows, "_found", "a cluster member has no vector")
 
 
 def attach_keys(pruned: DataFrame, ranked: DataFrame) -> DataFrame:
     """Pruning table with the keys of the ranked clusters.  Joined on the ids, so the order
-    of either table does not matter."""
-    return pruned.join(ranked.select("cluster_id", "item_id", "path"), ["cluster_id", "item_id"])
+    of either table does not matter; an item without a row in ``ranked`` is an error."""
+    keys = ranked.select("cluster_id", "item_id", "path", F.lit(True).alias("_found"))
+    rows = join_on_keys(pruned, keys, ["cluster_id", "item_id"], "left")
+    return _checked(rows, "_found", "an item of the pruning table has no key")
 
 
 def keep_items(
@@ -66,7 +82,8 @@ def resolve_files(
     if pattern is not None:
         named = F.when(is_number, output_name(wanted, pattern=pattern)).otherwise(named)
     candidate = F.coalesce("_numbered", named)
-    names = files.select(F.col("name").alias("source_file"), F.lit(True).alias("_exists"))
+    # Once each: folders may hold files of the same name.
+    names = files.select(F.col("name").alias("source_file")).distinct().withColumn("_exists", F.lit(True))
     checked = by_number.withColumn("source_file", candidate).join(names, "source_file", "left")
     found = F.col("_exists").isNotNull()
     target = F.when(is_number, F.col("source_file")).otherwise(base_name("source_file"))

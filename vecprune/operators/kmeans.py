@@ -4,22 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecprune.functions.hashing import seeded_hash
 from vecprune.functions.vectors import as_double, l2_normalize, squared_norm
 from vecprune.operators.assign import assign
 from vecprune.operators.sums import vector_sums
-from vecprune.staging import stage_table, table_exists
+from vecprune.staging import drop_stage, stage_table, table_exists
 
-# Fixed value: training points per centroid.
-MAX_POINTS_PER_CENTROID = 256
 HASH_STEPS = 10**12
 
-CENTROID_SCHEMA = "cluster_id int, centroid array<double>"
+
+def first_centroids(
+    df: DataFrame,
+    k: int,
+    seed: int = 1234,
+    spherical: bool = True,
+    *,
+    id_col: str = "item_id",
+    vec_col: str = "embedding",
+) -> DataFrame:
+    """``k`` different vectors to start from: those with the lowest seeded hash of an id (then
+    the lowest id), numbered from 0 in this order.  There are fewer if there are fewer
+    different vectors.  Spherical clustering skips zero vectors, which have no direction.
+
+    Only rows below a bound on the hash are compared with each other, as many as are expected
+    to hold ``k`` different vectors; the bound is raised until they do, so the answer does not
+    depend on it.
+    """
+    rows = df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
+    rows = rows.withColumn("_hash", seeded_hash(seed, "_id"))
+    if spherical:
+        rows = rows.where(squared_norm("_vec") > 0.0)
+    n, wanted = rows.count(), 4 * k
+    while True:
+        some = rows if wanted >= n else rows.where(F.col("_hash") % HASH_STEPS < HASH_STEPS * wanted // n)
+        order = F.struct(F.col("_hash") % HASH_STEPS, "_hash", "_id")
+        distinct = stage_table(some.groupBy("_vec").agg(F.min(order).alias("_order")), "starts")
+        if wanted >= n or distinct.count() >= k:
+            break
+        drop_stage(distinct)
+        wanted *= 4
+    # At most k rows are numbered, as many as there will be centroids.
+    chosen = distinct.orderBy("_order").limit(k)
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_order")) - 1
+    vector = l2_normalize("_vec") if spherical else as_double("_vec")
+    return stage_table(
+        chosen.select(number.cast("int").alias("cluster_id"), vector.alias("centroid")), "centroids"
+    )
 
 
 def fit_kmeans(
@@ -31,34 +64,14 @@ def fit_kmeans(
     *,
     id_col: str = "item_id",
     vec_col: str = "embedding",
-    max_points_per_centroid: int | None = MAX_POINTS_PER_CENTROID,
 ) -> DataFrame:
-    """Train and return the centroid table (it may have fewer than ``k`` rows).
+    """Train on every row and return the centroid table (it may have fewer than ``k`` rows).
 
-    Like the reference's trainer this looks at ``max_points_per_centroid`` points per
-    centroid, chosen by a seeded hash of the id; ``None`` trains on every row.  It only
-    places the centroids: ``assign`` gives every row a cluster.  Spherical training skips
-    zero vectors, which have no direction.
+    ``first_centroids`` and then ``niter`` rounds of ``lloyd``: no random choice but the seeded
+    hash, and nothing on the driver that grows faster than the centroids.
     """
-    vectors = df
-    if max_points_per_centroid is not None:
-        wanted, rows = k * max_points_per_centroid, df.count()
-        if rows > wanted:
-            cut = int(HASH_STEPS * wanted / rows)
-            vectors = df.where(seeded_hash(seed, id_col) % HASH_STEPS < cut)
-    vectors = vectors.select(F.col(vec_col).alias("_v"))
-    if spherical:
-        vectors = vectors.where(squared_norm("_v") > 0.0)
-    model = KMeans(
-        k=k,
-        maxIter=niter,
-        seed=seed,
-        tol=0.0,
-        distanceMeasure="cosine" if spherical else "euclidean",
-        featuresCol="_features",
-    ).fit(vectors.select(array_to_vector(as_double("_v")).alias("_features")))
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return df.sparkSession.createDataFrame(rows, CENTROID_SCHEMA)
+    init = first_centroids(df, k, seed, spherical, id_col=id_col, vec_col=vec_col)
+    return lloyd(df, init, niter, spherical, vec_col=vec_col)
 
 
 def mean_centroids(
@@ -86,8 +99,11 @@ def lloyd(
     choice.  A cluster that loses all its items keeps its old centroid."""
     metric = "cosine" if spherical else "l2"
     vectors = df.select(F.col(vec_col))
+    if spherical:
+        vectors = vectors.where(squared_norm(vec_col) > 0.0)
     cents = init.select("cluster_id", "centroid")
-    for _ in range(niter):
+    for done in range(niter):
+        before = cents
         moved = mean_centroids(assign(vectors, cents, metric, vec_col=vec_col), spherical, vec_col=vec_col)
         moved = moved.withColumnRenamed("centroid", "_moved")
         cents = stage_table(
@@ -96,6 +112,8 @@ def lloyd(
             ),
             "lloyd",
         )
+        if done:
+            drop_stage(before)
     return cents
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecprune.operators.joins import join_on_keys
 from vecprune.staging import stage_table
 
 # A window sorts one group in one task (spilling); beyond this many rows in the largest
@@ -42,8 +43,10 @@ def ordinal(
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
 
     keys = [F.col(c) for c in within] + list(order)
+    # The range sort looks at its input twice, so what leads to it is computed before.
     ordered = (
-        df.repartitionByRange(*keys)
+        stage_table(df, "unordered")
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_row", F.monotonically_increasing_id())
     )
@@ -62,4 +65,4 @@ def ordinal(
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
     position = (F.col("_row") + F.col("_shift")).cast("bigint").alias(name)
-    return staged.join(runs, [*within, "_run"]).select(*df.columns, position)
+    return join_on_keys(staged, runs, [*within, "_run"]).select(*df.columns, position)

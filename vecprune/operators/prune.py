@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecprune.functions.names import eps_column
+from vecprune.operators.joins import join_on_keys
 from vecprune.operators.kernels import best_against, best_earlier, to_matrix, unit_rows
 from vecprune.operators.ordinal import largest_group
 from vecprune.options import check_eps
@@ -96,7 +97,7 @@ def _packs(blocks: DataFrame, open_rows: DataFrame, keys: list[str], block: int)
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocks.join(counts, [*keys, "_blk"], "left")
+        join_on_keys(blocks, counts, [*keys, "_blk"], "left")
         .na.fill(0, ["_n_open"])
         .withColumn("_before", F.coalesce(F.sum("_n_open").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_n_open").over(whole))
@@ -143,7 +144,9 @@ def max_earlier_sim(
             id_col,
             F.col("_pos").alias(order_col),
             *carry,
-            F.col("_best").alias("max_earlier_sim"),
+            # The search may stop within rounding of 1, so that is 1 whatever the path.
+            (F.when(F.col("_best") >= UNIT_CEILING, F.lit(1.0)).otherwise(F.col("_best")) if normalize else F.col("_best"))
+            .alias("max_earlier_sim"),
         )
 
     if largest is None:
@@ -177,7 +180,7 @@ def max_earlier_sim(
         if n_open == 0 or last_pack == 0 or n_open > n_before // 2:
             break
         n_before = n_open
-        packed = open_rows.join(packs.select(*keys, "_blk", "_pack"), [*keys, "_blk"])
+        packed = join_on_keys(open_rows, packs.select(*keys, "_blk", "_pack"), [*keys, "_blk"])
         state = stage_table(
             packed.groupBy(*keys, "_pack").applyInArrow(inside, state_ddl), "packed"
         )
@@ -189,7 +192,7 @@ def max_earlier_sim(
 
     # 3. What is still open against all earlier blocks.
     late = (
-        open_rows.join(packs.select(*keys, "_blk", "_pack", "_first_blk"), [*keys, "_blk"])
+        join_on_keys(open_rows, packs.select(*keys, "_blk", "_pack", "_first_blk"), [*keys, "_blk"])
         .where("_first_blk < _blk")
         .withColumn("_early_blk", F.explode(F.expr("sequence(_first_blk, _blk - 1)")))
         .select(*narrow, "_vec", "_early_blk", "_pack", F.lit(True).alias("_late"))
@@ -202,7 +205,7 @@ def max_earlier_sim(
         F.expr(f"sequence((_before + _n_open) div {block}, _last_pack)").alias("_reach"),
     )
     early = (
-        base.join(after, [*keys, "_blk"])
+        join_on_keys(base, after, [*keys, "_blk"])
         .withColumn("_pack", F.explode("_reach"))
         .withColumnRenamed("_blk", "_early_blk")
         .select(*narrow, "_vec", "_early_blk", "_pack", F.lit(False).alias("_late"))
@@ -230,14 +233,14 @@ def flag_duplicates(df: DataFrame, eps_list: Sequence[float]) -> DataFrame:
 
 
 def prune_table(df: DataFrame, eps_list: Sequence[float], **options) -> DataFrame:
-    """``max_earlier_sim`` and the flags of every eps, the cheapest way for flags: the
-    search for an item stops once it is a duplicate at the smallest eps, so
-    ``max_earlier_sim`` is exact below ``1 - min(eps)`` and a lower bound above it."""
+    """The flags of every eps, the cheapest way: the search for an item stops once it is a
+    duplicate at the smallest eps.  So there is no ``max_earlier_sim`` here, which is a matter
+    of the function of that name."""
     eps_list = check_eps(eps_list)
     if options.get("normalize", True):
         # The next number above the threshold, because the comparison is strict.
         options.setdefault("settle_at", float(np.nextafter(1.0 - min(eps_list), 2.0)))
-    return flag_duplicates(max_earlier_sim(df, **options), eps_list)
+    return flag_duplicates(max_earlier_sim(df, **options), eps_list).drop("max_earlier_sim")
 
 
 def select_pruned(df: DataFrame, eps: float, kept: bool = True) -> DataFrame:

@@ -8,16 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecprune.functions.hashing import seeded_hash
+from vecprune.operators.joins import join_on_keys
 from vecprune.operators.ordinal import HOT_ROWS, ordinal
 from vecprune.options import check_policy
 
-# Distances are compared at this many decimals, so that exact copies tie and fall back to
-# the item id whichever kernel computed them.
-DIST_DECIMALS = 9
+# Distances are compared at this many significant digits, so that exact copies tie and fall
+# back to the item id whichever kernel computed them, at every scale.
+DIST_DIGITS = 9
+
+
+def significant(col: str, digits: int = DIST_DIGITS) -> Column:
+    """The number rounded to so many significant digits; 0 and NULL stay."""
+    value = F.col(col).cast("double")
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))))
+    return F.when(value == 0.0, F.lit(0.0)).otherwise(F.round(value / unit, digits - 1) * unit)
 
 
 def _dist_order(keep_hard: bool, dist_col: str, id_col: str) -> list[Column]:
-    dist = F.round(dist_col, DIST_DECIMALS)
+    dist = significant(dist_col)
     return [dist.desc() if keep_hard else dist.asc(), F.col(id_col).asc()]
 
 
@@ -38,10 +46,9 @@ def rank_within_cluster(
 
 
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "cluster_size") -> DataFrame:
-    """Add the row count of each group.  The join side has one row per group, so the plan
-    is left to AQE: broadcast if measured small, else a skew-aware shuffle join."""
+    """Add the row count of each group; the join side has one row per group."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, list(keys))
+    return join_on_keys(df, sizes, keys)
 
 
 def order_policy(

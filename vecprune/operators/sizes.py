@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecprune.operators.joins import join_on_keys
 from vecprune.operators.ordinal import ordinal
 
 # Fixed value: sizes above this share the last bin of the histogram.
@@ -73,7 +74,7 @@ def rank_clusters(df: DataFrame) -> DataFrame:
 
 def ranked_members(df: DataFrame) -> DataFrame:
     """Every member with the size rank of its cluster."""
-    return df.join(rank_clusters(df).select("cluster_id", "size_rank"), "cluster_id")
+    return join_on_keys(df, rank_clusters(df).select("cluster_id", "size_rank"), ["cluster_id"])
 
 
 def top_clusters(df: DataFrame, n: int) -> DataFrame:

@@ -20,6 +20,7 @@ from vecprune.functions.hashing import seeded_hash
 from vecprune.functions.names import eps_column
 from vecprune.functions.vectors import as_double, dot, l2_normalize, squared_norm
 from vecprune.operators.assign import CENTROID_BYTES
+from vecprune.operators.joins import join_on_keys
 from vecprune.operators.kernels import STRIPE, to_matrix, unit_rows
 from vecprune.operators.ordinal import largest_group
 from vecprune.operators.prune import BLOCK
@@ -49,7 +50,7 @@ def avg_sim_to_others(
     groups, dim = sums.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_sum")), F.lit(0))).first()
     side = F.broadcast(sums) if groups * dim * 8 <= limit_bytes else sums
     others = (dot("_u", "_sum") - squared_norm("_u")) / F.nullif(F.col("_n") - 1, F.lit(0))
-    return unit.join(side, keys).withColumn("avg_sim_to_others", others).drop("_u", "_sum", "_n")
+    return join_on_keys(unit, side, keys).withColumn("avg_sim_to_others", others).drop("_u", "_sum", "_n")
 
 
 def _extremes(keep: list[str], normalize: bool):
@@ -103,18 +104,26 @@ def extreme_sims(
         extremes = _extremes_of(rows, keys, id_col, block, normalize)
         return extremes.select(*keys, id_col, *_high_and_low(F.col("_n") == 1, None))
 
-    # The copies are counted where they lie, before the vectors are shuffled.
-    rows = rows.withColumn("_print", F.xxhash64("_vec"))
-    same = [*keys, "_print", "_vec"]
-    distinct = stage_table(
-        rows.groupBy(*same).agg(F.count(F.lit(1)).alias("_copies"), F.min(id_col).alias(id_col)),
-        "distinct",
+    # The copies are counted where they lie, before the vectors are shuffled; two hashes stand
+    # for a vector, and different vectors with both in common end the job.
+    same = [*keys, "_print", "_print2"]
+    rows = rows.withColumns({"_print": F.xxhash64("_vec"), "_print2": F.xxhash64(F.lit(1), "_vec")})
+    grouped = rows.groupBy(*same).agg(
+        F.count(F.lit(1)).alias("_copies"),
+        F.min(id_col).alias(id_col),
+        F.min("_vec").alias("_vec"),
+        F.max("_vec").alias("_top"),
     )
-    extremes = _extremes_of(distinct.drop("_copies", "_print"), keys, id_col, block, normalize)
-    found = distinct.join(extremes, [*keys, id_col]).drop(id_col)
-    # A hot vector makes one side of this join skewed, which AQE splits.
-    back = rows.join(found, same)
-    own = squared_norm(l2_normalize("_vec") if normalize else as_double("_vec"))
+    clash = F.raise_error(F.lit("two vectors share their 128-bit hash"))
+    one = F.when(F.col("_vec").eqNullSafe(F.col("_top")), F.col("_vec")).otherwise(clash)
+    distinct = stage_table(grouped.withColumn("_vec", one).drop("_top"), "distinct")
+    extremes = _extremes_of(distinct.drop("_copies", "_print", "_print2"), keys, id_col, block, normalize)
+    length = squared_norm(l2_normalize("_vec") if normalize else as_double("_vec")).alias("_own")
+    narrow = distinct.select(*same, id_col, "_copies", length)
+    found = join_on_keys(narrow, extremes, [*keys, id_col]).drop(id_col)
+    # No vector takes part; a hot one makes a side of this join skewed, which AQE splits.
+    back = join_on_keys(rows.drop("_vec"), found, same)
+    own = F.col("_own")
     alone = (F.col("_n") == 1) & (F.col("_copies") == 1)
     return back.select(*keys, id_col, *_high_and_low(alone, F.when(F.col("_copies") > 1, own)))
 

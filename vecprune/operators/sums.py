@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -39,14 +40,20 @@ def _partial_sums(keys: list[str], normalize: bool):
             x = to_matrix(batch.column(len(keys)))
             if normalize:
                 x = unit_rows(x)
-            codes = np.stack([batch.column(i).to_numpy() for i in range(len(keys))], axis=1)
-            groups, inverse = np.unique(codes, axis=0, return_inverse=True)
+            codes = []
+            for i in range(len(keys)):
+                column = batch.column(i)
+                codes += [pc.fill_null(column, 0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)]
+            groups, inverse = np.unique(np.stack(codes, axis=1), axis=0, return_inverse=True)
             inverse = inverse.ravel()
             order = np.argsort(inverse, kind="stable")
             starts = np.searchsorted(inverse[order], np.arange(len(groups)))
             sums = np.add.reduceat(x[order], starts, axis=0)
             counts = np.bincount(inverse)
-            for key, total, n in zip(map(tuple, groups.tolist()), sums, counts.tolist()):
+            named = [
+                tuple(None if g[i + 1] else g[i] for i in range(0, len(g), 2)) for g in groups.tolist()
+            ]
+            for key, total, n in zip(named, sums, counts.tolist()):
                 entry = held.get(key)
                 if entry is None:
                     held[key] = [total.copy(), n]

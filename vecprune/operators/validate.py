@@ -18,11 +18,12 @@ def reject_reason(vec_col: str, dim: int) -> Column:
 
 
 def vector_dim(df: DataFrame, vec_col: str = "embedding") -> int:
-    """Dimension of the first vector found (one row is read)."""
-    row = df.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
-    if row is None:
+    """The most frequent dimension, the larger one of equally frequent ones."""
+    counts = df.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("dim")).count()
+    row = counts.agg(F.max(F.struct("count", "dim")).alias("most")).first()
+    if row.most is None:
         raise ValueError("no vector in the input, so its dimension is unknown")
-    return row[0]
+    return row.most["dim"]
 
 
 def split_valid(

@@ -214,15 +214,33 @@ def lloyd_l2_1_round(spark, sf_dir):
 @query
 def kmeans_cosine(spark, sf_dir):
     items = _members(spark, sf_dir).drop("cluster_id")
-    options = DedupOptions(k=16, niter=20, seed=SEED)
-    return cluster_items(items, options).select("item_id", "cluster_id", "dist")
+    options = DedupOptions(k=16, niter=3, seed=SEED)
+    return cluster_items(items, options).select("item_id", "cluster_id", _r("dist").alias("dist"))
 
 
 @query
 def kmeans_l2(spark, sf_dir):
     items = _members(spark, sf_dir).drop("cluster_id")
-    centroids = fit_kmeans(items, 16, 20, SEED, spherical=False)
-    return assign(items, centroids, "l2").select("item_id", "cluster_id", "score")
+    centroids = fit_kmeans(items, 16, 3, SEED, spherical=False)
+    return assign(items, centroids, "l2").select("item_id", "cluster_id", _r("score").alias("score"))
+
+
+def _plain_clusters(spark, sf_dir):
+    """Clusters of plain k-means (here: its assignment to given centroids), cosine distances."""
+    items = _members(spark, sf_dir).drop("cluster_id")
+    options = DedupOptions(spherical=False, metric="cosine", seed=SEED)
+    return cluster_items(items, options, _centroids(spark, sf_dir, spherical=False))
+
+
+@query
+def dist_cosine_plain_kmeans(spark, sf_dir):
+    return _plain_clusters(spark, sf_dir).select("item_id", "cluster_id", _r("dist").alias("dist"))
+
+
+@query
+def rank_cosine_plain_kmeans(spark, sf_dir):
+    ranked = rank.rank_within_cluster(_plain_clusters(spark, sf_dir))
+    return ranked.select("item_id", "cluster_id", "pos")
 
 
 # -- order --------------------------------------------------------------------------------
@@ -245,6 +263,21 @@ def rank_hot_cluster(spark, sf_dir):
     return ranked.select("item_id", "cluster_id", "pos")
 
 
+def _some_without_cluster(spark, sf_dir):
+    """Every seventh item is in no cluster; the distances are made up."""
+    cluster = F.when(F.col("item_id") % 7 != 0, F.col("cluster_id"))
+    dist = (F.col("item_id") * 37 % 101) * F.lit(1e-13)
+    return _members(spark, sf_dir).withColumns({"cluster_id": cluster, "dist": dist})
+
+
+@query
+def rank_hot_null_clusters(spark, sf_dir):
+    ranked = rank.rank_within_cluster(_some_without_cluster(spark, sf_dir), hot_rows=1)
+    return rank.split_clusters(rank.order_policy(ranked, "easy"), 20).select(
+        "item_id", "cluster_id", "pos", "order_pos", "part"
+    )
+
+
 @query
 def order_easy(spark, sf_dir):
     return _ordered(spark, sf_dir, "easy").select("item_id", "cluster_id", "pos", "order_pos")
@@ -293,6 +326,19 @@ def max_earlier_sim_in_parts(spark, sf_dir):
     return _sims(prune.max_earlier_sim(parts, keys=["cluster_id", "part"]))
 
 
+@query
+def max_earlier_sim_null_clusters(spark, sf_dir):
+    ranked = rank.rank_within_cluster(_some_without_cluster(spark, sf_dir))
+    return _sims(prune.max_earlier_sim(ranked.withColumn("order_pos", F.col("pos")), block=16))
+
+
+@query
+def flags_in_blocks(spark, sf_dir):
+    """The flags are the same for every block size."""
+    flagged = prune.prune_table(_ordered(spark, sf_dir), EPS, block=16)
+    return flagged.select("item_id", "cluster_id", *[names.eps_column(e) for e in EPS])
+
+
 @query
 def flags_eps_list(spark, sf_dir):
     flags = [names.eps_column(e) for e in EPS]
@@ -312,10 +358,28 @@ def removed_items(spark, sf_dir):
 @query
 def dedup_given_clusters_easy(spark, sf_dir):
     options = DedupOptions(eps_list=EPS, which="easy")
-    pruned = dedup_given_clusters(_members(spark, sf_dir), options)
+    pruned = dedup_given_clusters(_members(spark, sf_dir), options).rows
     return prune.select_pruned(pruned, 0.6).select("item_id", "cluster_id", "pos", "order_pos")
 
 
+@query
+def rejects_given_clusters(spark, sf_dir):
+    """Vectors that are NULL, too short or not finite, and items without a cluster."""
+    case = F.col("item_id") % 50
+    bad = (
+        F.when(case == 0, F.lit(None).cast("array<float>"))
+        .when(case == 1, F.slice("embedding", 1, 10))
+        .when(case == 2, F.array_repeat(F.lit(float("nan")).cast("float"), 64))
+        .otherwise(F.col("embedding"))
+    )
+    items = _members(spark, sf_dir).withColumns(
+        {"embedding": bad, "cluster_id": F.when(case != 3, F.col("cluster_id"))}
+    )
+    rows, rejects = dedup_given_clusters(items, DedupOptions(eps_list=EPS, seed=SEED))
+    kept = prune.select_pruned(rows, 0.6).select("item_id", F.lit("kept").alias("outcome"))
+    return kept.unionByName(rejects.select("item_id", F.col("reason").alias("outcome")))
+
+
 @query
 def resume_skip(spark, sf_dir):
     """Half of the clusters in a first run, the rest in a second one that skips them."""
@@ -327,7 +391,8 @@ def resume_skip(spark, sf_dir):
 
     writers.write_pruning(sizes.cluster_range(ordered, 0, 5), path, run)
     writers.write_pruning(ordered, path, run, ranges=2)
-    return spark.read.parquet(path).select("item_id", "cluster_id", "order_pos", names.eps_column(0.7))
+    rows = writers.read_pruning(spark, path)
+    return rows.select("item_id", "cluster_id", "order_pos", names.eps_column(0.7))
 
 
 # -- sizes --------------------------------------------------------------------------------
@@ -421,6 +486,20 @@ def extreme_sims_blocks(spark, sf_dir):
     )
 
 
+@query
+def extreme_sims_null_clusters(spark, sf_dir):
+    rows = stats.extreme_sims(_some_without_cluster(spark, sf_dir), block=16)
+    return rows.select(
+        "item_id", "cluster_id", _r("max_sim").alias("max_sim"), _r("min_sim").alias("min_sim")
+    )
+
+
+@query
+def avg_sim_null_clusters(spark, sf_dir):
+    rows = stats.avg_sim_to_others(_some_without_cluster(spark, sf_dir))
+    return rows.select("item_id", "cluster_id", _r("avg_sim_to_others").alias("avg_sim"))
+
+
 @query
 def pairwise_std(spark, sf_dir):
     rows = stats.pairwise_std(_members(spark, sf_dir))
@@ -713,15 +792,54 @@ def written_size_list(spark, sf_dir):
     return spark.read.csv(f"{path}/clusters_by_size", sep="\t", schema=schema)
 
 
-@query
-def written_stats(spark, sf_dir):
+def _written(spark, sf_dir, table):
     path = stage_path(spark, "stats")
     report = prune_report(_ordered(spark, sf_dir), EPS)
     writers.write_stats(report["items"], report["clusters"], report["eps_report"], path)
-    rows = spark.read.parquet(f"{path}/eps_report")
+    return spark.read.parquet(f"{path}/{table}")
+
+
+@query
+def written_stats(spark, sf_dir):
+    rows = _written(spark, sf_dir, "eps_report")
     return rows.withColumn("duplicates_ratio", _r("duplicates_ratio"))
 
 
+@query
+def written_item_stats(spark, sf_dir):
+    return _written(spark, sf_dir, "items").select(
+        "item_id",
+        "cluster_id",
+        names.eps_column(0.7),
+        _r("avg_sim_to_others").alias("avg_sim"),
+        _r("max_sim").alias("max_sim"),
+        _r("min_sim").alias("min_sim"),
+    )
+
+
+@query
+def written_cluster_stats(spark, sf_dir):
+    return _written(spark, sf_dir, "clusters").select(
+        "cluster_id", "cluster_size", _r("avg_sim_to_cent").alias("avg_sim"), _r("std_sim_to_cent").alias("std_sim")
+    )
+
+
+@query
+def written_summary(spark, sf_dir):
+    path = stage_path(spark, "summary")
+    writers.write_summary(_length_classes(spark, sf_dir), path)
+    schema = "n_clusters bigint, max_size bigint, min_size bigint, mean_size double, n_singletons bigint"
+    rows = spark.read.csv(f"{path}/summary", sep="\t", schema=schema, header=True)
+    return rows.withColumn("mean_size", _r("mean_size"))
+
+
+@query
+def written_histogram(spark, sf_dir):
+    path = stage_path(spark, "summary")
+    writers.write_summary(_length_classes(spark, sf_dir), path)
+    return spark.read.csv(f"{path}/histogram", sep="\t", schema="size_bin int, n_clusters bigint")
+
+
 @query
 def resolved_columns(spark, sf_dir):
     """The id under one of its usual names, the payload found by a part of its name."""
@@ -758,18 +876,15 @@ def embed_documents(spark, sf_dir):
 
 
 def _language_clusters(spark, sf_dir):
-    code = (F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))).cast("int")
-    documents = _texts(spark, sf_dir).select(
-        F.col("doc_id").alias("item_id"), code.alias("cluster_id"), "text"
-    )
+    documents = _texts(spark, sf_dir).select(F.col("doc_id").alias("item_id"), "lang", "text")
     return stage_table(encode.hash_encoder(documents, normalize=False).drop("text"), "encoded")
 
 
 @query
 def dedup_documents_by_lang(spark, sf_dir):
-    pruned = dedup_given_clusters(
-        _language_clusters(spark, sf_dir), DedupOptions(eps_list=DOC_EPS)
-    )
+    """The clusters are texts, the languages themselves."""
+    options = DedupOptions(eps_list=DOC_EPS)
+    pruned = dedup_given_clusters(_language_clusters(spark, sf_dir), options, cluster_col="lang").rows
     kept = prune.select_pruned(pruned, 0.05).select(F.col("item_id").alias("doc_id"))
     documents = _table(spark, sf_dir, "documents")
     return gather.keep_items(documents, kept, id_col="doc_id", path_col=None).select("doc_id", "lang", "n_chars")
@@ -788,6 +903,6 @@ def dedup_from_given_centroids(spark, sf_dir):
 
 @query
 def dedup_full(spark, sf_dir):
-    options = DedupOptions(k=8, niter=20, seed=SEED, eps_list=DOC_EPS)
-    kept = dedup(_texts(spark, sf_dir), options, id_col="doc_id", eps=0.05)
+    options = DedupOptions(k=8, niter=2, seed=SEED, eps_list=DOC_EPS)
+    kept = dedup(_texts(spark, sf_dir), options, id_col="doc_id", eps=0.05).rows
     return kept.select("doc_id", "lang", "n_chars")

@@ -1,8 +1,14 @@
-"""Whole jobs: items to kept items."""
+"""Whole jobs: items to kept items.
+
+Every job sets bad rows aside first: a vector that is NULL, odd-sized or not finite, or a NULL
+cluster where clusters are given.  Jobs return the result and these rejects, so that one bad
+row neither ends a long run nor disappears.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +17,22 @@ from vecprune.operators.assign import assign, dist_to_centroid
 from vecprune.operators.encode import embed, hash_encoder
 from vecprune.operators.gather import keep_items
 from vecprune.operators.kmeans import fit_kmeans, mean_centroids
-from vecprune.operators.ordinal import HOT_ROWS, largest_group
+from vecprune.operators.ordinal import HOT_ROWS, largest_group, ordinal
 from vecprune.operators.prune import prune_table, select_pruned
 from vecprune.operators.rank import order_policy, rank_within_cluster, split_clusters
+from vecprune.operators.joins import join_on_keys
+from vecprune.operators.validate import split_valid
 from vecprune.options import DedupOptions
 from vecprune.staging import stage_table
 
 
+class Outcome(NamedTuple):
+    """Rows of a job, and its rejects with a ``reason``."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
 def ordered_clusters(
     df: DataFrame, options: DedupOptions, *, largest: int | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -52,29 +67,63 @@ def prune_clusters(df: DataFrame, options: DedupOptions, *, largest: int | None
     )
 
 
+def number_clusters(df: DataFrame, cluster_col: str) -> DataFrame:
+    """``df`` with ``cluster_id`` (INT) for a cluster key of any type.
+
+    INT keys are taken as they are, other keys are numbered in their order, so that no two of
+    them meet.  NULL stays NULL.
+    """
+    if df.schema[cluster_col].dataType.simpleString() in ("tinyint", "smallint", "int"):
+        return df.withColumn("cluster_id", F.col(cluster_col).cast("int"))
+    keys = df.select(F.col(cluster_col).alias("_key")).where("_key IS NOT NULL").distinct()
+    numbered = stage_table(ordinal(stage_table(keys, "keys"), [F.col("_key").asc()], name="_no"), "numbers")
+    number = numbered.select(F.col("_key").alias(cluster_col), (F.col("_no") - 1).cast("int").alias("cluster_id"))
+    return join_on_keys(df.drop(*{"cluster_id"} - {cluster_col}), number, [cluster_col], "left")
+
+
+def with_rejects(df: DataFrame, vec_col: str = "embedding", dim: int | None = None) -> Outcome:
+    """Usable rows and rejects of ``(..., cluster_id, embedding)``; ``cluster_id`` is optional."""
+    usable, rejects = split_valid(df, vec_col, dim)
+    if "cluster_id" in df.columns:
+        lost = usable.where("cluster_id IS NULL").withColumn("reason", F.lit("no cluster"))
+        usable, rejects = usable.where("cluster_id IS NOT NULL"), rejects.unionByName(lost)
+    return Outcome(usable, rejects)
+
+
 def dedup_given_clusters(
     df: DataFrame,
     options: DedupOptions,
     *,
     cluster_col: str = "cluster_id",
     centroids: DataFrame | None = None,
-) -> DataFrame:
-    """Pruning table of rows ``(item_id, <cluster_col>, embedding)``; the centroids default
-    to the means of the clusters."""
-    members = df.select("item_id", F.col(cluster_col).cast("int").alias("cluster_id"), "embedding")
+    dim: int | None = None,
+) -> Outcome:
+    """Pruning table of rows ``(item_id, <cluster_col>, embedding)``, and the rejects; the
+    centroids default to the means of the clusters.  Keys that are no INT are numbered."""
+    columns = dict.fromkeys(["item_id", cluster_col, "embedding"])
+    numbered = number_clusters(df.select(*columns), cluster_col)
+    usable, rejects = with_rejects(numbered, dim=dim)
+    members = usable.select("item_id", "cluster_id", "embedding")
     if centroids is None:
         centroids = stage_table(mean_centroids(members, options.spherical), "centroids")
     measured = dist_to_centroid(members, centroids, options.metric, spherical=options.spherical)
-    return prune_clusters(measured, options)
+    return Outcome(prune_clusters(measured, options), rejects)
 
 
 def cluster_items(items: DataFrame, options: DedupOptions, centroids: DataFrame | None = None) -> DataFrame:
-    """Rows ``(item_id, embedding)`` with ``cluster_id`` and ``dist``, staged."""
+    """Rows ``(item_id, embedding)`` with ``cluster_id`` and ``dist``, staged.
+
+    The distance follows from the score of the search, except for a cosine after plain k-means,
+    whose score is a squared distance: that one is computed from the centroids.
+    """
     if centroids is None:
         centroids = fit_kmeans(items, options.k, options.niter, options.seed, options.spherical)
     metric = "cosine" if options.spherical else "l2"
     assigned = assign(items, centroids, metric)
-    measured = dist_to_centroid(assigned, None, options.metric, spherical=options.spherical)
+    derived = options.spherical or options.metric == "l2"
+    measured = dist_to_centroid(
+        assigned, None if derived else centroids, options.metric, spherical=options.spherical
+    )
     return stage_table(measured.drop("score"), "clustered")
 
 
@@ -87,8 +136,9 @@ def dedup(
     dim: int = 256,
     make_encoder: Callable | None = None,
     eps: float | None = None,
-) -> DataFrame:
-    """The rows of ``df`` kept at ``eps`` (default: the first of the list).
+) -> Outcome:
+    """The rows of ``df`` kept at ``eps`` (default: the first of the list), and as rejects
+    ``(item_id, embedding, reason)`` of those whose encoding cannot be used.
 
     Embed, cluster, rank, prune; the payload itself is read only by the last join.
     """
@@ -100,6 +150,7 @@ def dedup(
     else:
         encoded = embed(df, id_col, content_col, make_encoder)
     items = stage_table(encoded.select(F.col(id_col).alias("item_id"), "embedding"), "encoded")
-    pruned = prune_clusters(cluster_items(items, options), options)
+    usable, rejects = with_rejects(items)
+    pruned = prune_clusters(cluster_items(usable, options), options)
     kept = select_pruned(pruned, eps).select(F.col("item_id").alias(id_col))
-    return keep_items(df, kept, id_col=id_col, path_col=None)
+    return Outcome(keep_items(df, kept, id_col=id_col, path_col=None), rejects)

@@ -35,11 +35,22 @@ def _means(name: str, source: str, vec: str, spherical: bool) -> str:
     GROUP BY cluster_id))"""
 
 
+def _sig(x: str) -> str:
+    """Rounded to 9 significant digits."""
+    unit = f"pow(10.0, floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round({x} / {unit}, 8) * {unit} END"
+
+
+def _clean(x: str) -> str:
+    """A cosine distance without rounding noise around 0."""
+    return f"CASE WHEN abs({x}) < 1e-14 THEN 0.0::DOUBLE ELSE {x} END"
+
+
 _CENT = _means("cent", "unit", "u", True)
 _MEAN = _means("cent", "raw", "e", False)
 _MEASURED = f"""{_ITEMS},{_CENT},
 measured AS (
-  SELECT item_id, cluster_id, u, 1 - list_dot_product(u, c) AS dist
+  SELECT item_id, cluster_id, u, {_clean("(1 - list_dot_product(u, c))")} AS dist
   FROM unit JOIN cent USING (cluster_id))"""
 
 
@@ -47,7 +58,7 @@ def _ranked(direction: str = "DESC") -> str:
     return f"""{_MEASURED},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY cluster_id
-                               ORDER BY round(dist, 9) {direction}, item_id) AS pos
+                               ORDER BY {_sig("dist")} {direction}, item_id) AS pos
   FROM measured)"""
 
 
@@ -194,23 +205,74 @@ counts AS (
   SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 256 AS i, count(*) AS n
   FROM words WHERE w <> '' GROUP BY ALL)"""
 
-_DOCS = f"""{_WORDS},
+_BAGS = f"""{_WORDS},
 bags AS (
   SELECT d.doc_id AS item_id, d.cluster_id, list(coalesce(n, 0)::DOUBLE ORDER BY b.i) AS e
-  FROM (SELECT doc_id, CAST(ascii(lang) * 256 + ascii(substr(lang, 2, 1)) AS INTEGER) AS cluster_id
-        FROM documents) d
+  FROM (SELECT doc_id, lang AS cluster_id FROM documents) d
   CROSS JOIN (SELECT unnest(range(0, {DIM})) AS i) b
   LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.i = b.i
   GROUP BY ALL),
 unit AS (
   SELECT item_id, cluster_id,
          CASE WHEN n = 0 THEN e ELSE list_transform(e, lambda x: x / n) END AS u
-  FROM (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM bags)),{_CENT},
+  FROM (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM bags))"""
+
+_DOCS = f"""{_BAGS},{_CENT},
 ordered AS (
   SELECT item_id, cluster_id, u,
          row_number() OVER (PARTITION BY cluster_id
-           ORDER BY round(1 - list_dot_product(u, c), 9) DESC, item_id) AS order_pos
-  FROM unit JOIN cent USING (cluster_id))"""
+           ORDER BY {_sig("dist")} DESC, item_id) AS order_pos
+  FROM (SELECT *, {_clean("(1 - list_dot_product(u, c))")} AS dist FROM unit JOIN cent USING (cluster_id)))"""
+
+_DOT = "list_dot_product(u, c)"
+
+
+def _starts(k: int, source: str, spherical: bool) -> str:
+    """``cent``: the different vectors with the lowest hash of an id."""
+    scaled = "list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))" if spherical else "e"
+    where = "WHERE list_dot_product(e, e) > 0" if spherical else ""
+    return f"""
+hashed AS (SELECT item_id, e, {_hash(SEED, "item_id")} AS h FROM {source} {where}),
+firsts AS (
+  SELECT e, min((h % 1000000000000, h, item_id)) AS o FROM hashed GROUP BY e ORDER BY o LIMIT {k}),
+cent AS (
+  SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS cluster_id, {scaled} AS c FROM firsts)"""
+
+
+def _rounds(n: int, vec: str, score: str, better: str, spherical: bool) -> str:
+    names = ["cent", *(f"r{i}" for i in range(1, n + 1))]
+    steps = [_round_of(a, b, vec, score, better, spherical) for a, b in zip(names, names[1:])]
+    return ",".join(steps)
+
+
+def _placed(last: str, score: str, better: str) -> str:
+    return f"""
+placed AS (
+  SELECT item_id, u, e, c, cluster_id, s FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s {better}, cluster_id) AS rn
+    FROM (SELECT item_id, u, e, c, {last}.cluster_id, {score} AS s FROM unit0, {last}))
+  WHERE rn = 1)"""
+
+
+_L2_EC = _L2.format(a="e", b="c")
+_PLAIN = f"""WITH {_ITEMS},{_MEAN},{_UNIT0},{_placed("cent", _L2_EC, "ASC")},
+measured AS (
+  SELECT item_id, cluster_id, {_clean("(1 - " + _COS + ")")} AS dist FROM placed)"""
+
+_HOLES = f"""{_ITEMS},
+holes AS (
+  SELECT item_id, u, CASE WHEN item_id % 7 <> 0 THEN cluster_id END AS cluster_id,
+         (item_id * 37 % 101) * 1e-13::DOUBLE AS dist
+  FROM unit),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {_sig("dist")} DESC, item_id) AS pos,
+         count(*) OVER (PARTITION BY cluster_id) AS n
+  FROM holes)"""
+_SAME = "a.cluster_id IS NOT DISTINCT FROM b.cluster_id"
+_HOLE_PAIRS = f"""{_HOLES},
+pairs AS (
+  SELECT a.item_id, list_dot_product(a.u, b.u) AS s
+  FROM ranked a JOIN ranked b ON {_SAME} AND a.item_id <> b.item_id)"""
 
 ORACLE: dict[str, str] = {
     # vectors
@@ -241,7 +303,21 @@ SELECT item_id, cluster_id, {_r("1 - score")} AS dist FROM found""",
     "lloyd_l2_1_round": f"""WITH {_ITEMS},{_MEAN},{_UNIT0},
 {_round_of("cent", "r1", "e", _L2.format(a="e", b="c"), "ASC", False)}
 {_elements("r1", "cluster_id", "c")}""",
+    "kmeans_cosine": f"""WITH {_ITEMS},{_starts(16, "raw", True)},{_UNIT0},
+{_rounds(3, "u", _DOT, "DESC", True)},{_placed("r3", _DOT, "DESC")}
+SELECT item_id, cluster_id, {_r("1 - s")} AS dist FROM placed""",
+    "kmeans_l2": f"""WITH {_ITEMS},{_starts(16, "raw", False)},{_UNIT0},
+{_rounds(3, "e", _L2_EC, "ASC", False)},{_placed("r3", _L2_EC, "ASC")}
+SELECT item_id, cluster_id, {_r("s")} AS score FROM placed""",
+    "dist_cosine_plain_kmeans": f"{_PLAIN} SELECT item_id, cluster_id, {_r('dist')} AS dist FROM measured",
+    "rank_cosine_plain_kmeans": f"""{_PLAIN}
+SELECT item_id, cluster_id,
+       row_number() OVER (PARTITION BY cluster_id ORDER BY {_sig("dist")} DESC, item_id) AS pos
+FROM measured""",
     # order
+    "rank_hot_null_clusters": f"""WITH {_HOLES}
+SELECT item_id, cluster_id, pos, n + 1 - pos AS order_pos,
+       CAST(((n + 1 - pos) * ((n + 19) // 20) - 1) // n AS INTEGER) AS part FROM ranked""",
     "rank_hard": f"WITH {_ranked()} SELECT item_id, cluster_id, pos FROM ranked",
     "rank_nearest": f"WITH {_ranked('ASC')} SELECT item_id, cluster_id, pos FROM ranked",
     "rank_hot_cluster": f"WITH {_ranked()} SELECT item_id, cluster_id, pos FROM ranked",
@@ -268,6 +344,18 @@ sims AS (
     ON a.cluster_id = b.cluster_id AND a.part = b.part AND a.order_pos < b.order_pos
   GROUP BY ALL)
 SELECT item_id, cluster_id, order_pos, {_r("m")} AS max_earlier_sim FROM sims""",
+    "max_earlier_sim_null_clusters": f"""WITH {_HOLES}
+SELECT b.item_id, b.cluster_id, b.pos AS order_pos,
+       {_r("greatest(coalesce(max(list_dot_product(a.u, b.u)), 0), 0)")} AS max_earlier_sim
+FROM ranked b LEFT JOIN ranked a ON {_SAME} AND a.pos < b.pos
+GROUP BY b.item_id, b.cluster_id, b.pos""",
+    "flags_in_blocks": f"""WITH {_sims()}
+SELECT item_id, cluster_id, m > 1 - 0.5::DOUBLE AS eps_0_5, m > 1 - 0.6::DOUBLE AS eps_0_6,
+       m > 1 - 0.7::DOUBLE AS eps_0_7 FROM sims""",
+    "rejects_given_clusters": f"""WITH {_sims().replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 50 NOT IN (0, 1, 2, 3))")}
+SELECT item_id, 'kept' AS outcome FROM sims WHERE m <= 1 - 0.6::DOUBLE
+UNION ALL SELECT vec_id, CASE vec_id % 50 WHEN 0 THEN 'null' WHEN 1 THEN 'dimension'
+  WHEN 2 THEN 'not finite' ELSE 'no cluster' END FROM embeddings WHERE vec_id % 50 IN (0, 1, 2, 3)""",
     "flags_eps_list": f"""WITH {_sims()}
 SELECT item_id, cluster_id, m > 1 - 0.5::DOUBLE AS eps_0_5, m > 1 - 0.6::DOUBLE AS eps_0_6,
        m > 1 - 0.7::DOUBLE AS eps_0_7 FROM sims""",
@@ -321,6 +409,13 @@ SELECT item_id, cluster_id, {_r("avg(s)")} AS avg_sim
 FROM unit LEFT JOIN pairs USING (item_id, cluster_id) GROUP BY item_id, cluster_id""",
     "extreme_sims": _EXTREMES,
     "extreme_sims_blocks": _EXTREMES,
+    "extreme_sims_null_clusters": f"""WITH {_HOLE_PAIRS}
+SELECT item_id, cluster_id, {_r("CASE WHEN count(s) > 0 THEN greatest(max(s), 0) END")} AS max_sim,
+       {_r("CASE WHEN count(s) > 0 THEN least(min(s), 0) END")} AS min_sim
+FROM ranked LEFT JOIN pairs USING (item_id) GROUP BY item_id, cluster_id""",
+    "avg_sim_null_clusters": f"""WITH {_HOLE_PAIRS}
+SELECT item_id, cluster_id, {_r("avg(s)")} AS avg_sim
+FROM ranked LEFT JOIN pairs USING (item_id) GROUP BY item_id, cluster_id""",
     "pairwise_std": _STD,
     "pairwise_std_chunks": _STD,
     "centroid_cohesion": f"""WITH {_MEASURED}
@@ -432,6 +527,9 @@ USING (cluster_id)""",
 SELECT eps, cluster_id, count(*) AS cluster_size, count(*) FILTER (m > 1 - eps) AS num_duplicates,
        {_r("100.0::DOUBLE * count(*) FILTER (m > 1 - eps) / count(*)")} AS duplicates_ratio
 FROM sims, {_EPS} GROUP BY eps, cluster_id""",
+    "written_cluster_stats": f"""WITH {_MEASURED}
+SELECT cluster_id, count(*) AS cluster_size, {_r("avg(1 - dist)")} AS avg_sim,
+       {_r("stddev_pop(1 - dist)")} AS std_sim FROM measured GROUP BY cluster_id""",
     "resolved_columns": "SELECT page_id AS item_id, url AS image FROM pages",
     # encoding and whole jobs
     "hash_encode": f"""WITH {_WORDS}
@@ -446,17 +544,28 @@ unit AS (
 {_round_of("cent", "r1", "u", "list_dot_product(u, c)", "DESC", True)},
 {_round_of("r1", "r2", "u", "list_dot_product(u, c)", "DESC", True)},
 placed AS (
-  SELECT item_id, u, cluster_id, 1 - s AS dist FROM (
+  SELECT item_id, u, cluster_id, {_clean("(1 - s)")} AS dist FROM (
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, cluster_id) AS rn
     FROM (SELECT item_id, u, r2.cluster_id, list_dot_product(u, c) AS s FROM unit0, r2))
   WHERE rn = 1),
 ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(dist, 9) DESC, item_id) AS order_pos
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {_sig("dist")} DESC, item_id) AS order_pos
   FROM placed)
 SELECT item_id, cluster_id FROM ordered b WHERE NOT EXISTS (
   SELECT 1 FROM ordered a
   WHERE a.cluster_id = b.cluster_id AND a.order_pos < b.order_pos
     AND list_dot_product(a.u, b.u) > 1 - 0.7::DOUBLE)""",
+    "dedup_full": f"""WITH {_BAGS},{_starts(8, "bags", True)},
+unit0 AS (SELECT item_id, u, e FROM unit JOIN bags USING (item_id)),
+{_rounds(2, "u", _DOT, "DESC", True)},{_placed("r2", _DOT, "DESC")},
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {_sig("dist")} DESC, item_id) AS order_pos
+  FROM (SELECT *, {_clean("(1 - s)")} AS dist FROM placed)),
+removed AS (
+  SELECT DISTINCT b.item_id FROM ordered a JOIN ordered b
+    ON a.cluster_id = b.cluster_id AND a.order_pos < b.order_pos
+  WHERE list_dot_product(a.u, b.u) > 1 - 0.05::DOUBLE)
+SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT item_id FROM removed)""",
     "dedup_documents_by_lang": f"""WITH {_DOCS},
 removed AS (
   SELECT DISTINCT b.item_id FROM ordered a JOIN ordered b
@@ -464,3 +573,6 @@ removed AS (
   WHERE list_dot_product(a.u, b.u) > 1 - 0.05::DOUBLE)
 SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT item_id FROM removed)""",
 }
+ORACLE["written_item_stats"] = ORACLE["prune_report_items"]
+ORACLE["written_summary"] = ORACLE["size_summary_with_empty"]
+ORACLE["written_histogram"] = ORACLE["size_histogram"]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecprune.operators.joins import join_on_keys
 from vecprune.operators.prune import BLOCK, prune_table
 from vecprune.operators.sizes import cluster_sizes, rank_clusters, size_histogram, size_summary
 from vecprune.operators.stats import (
@@ -17,6 +18,7 @@ from vecprune.operators.stats import (
     extreme_sims,
     pairwise_std,
 )
+from vecprune.operators.validate import split_valid
 from vecprune.options import check_eps
 from vecprune.staging import stage_table
 
@@ -39,11 +41,13 @@ def prune_report(
 
     ``items``: similarity to earlier items, flags, mean and extreme similarities;
     ``clusters``: size, cohesion and spread; ``eps_report``: duplicates per eps and cluster;
-    ``sweep``: kept fraction per eps.
+    ``sweep``: kept fraction per eps; ``rejects``: rows that cannot be compared, which no other
+    table counts.
     """
     eps_list = check_eps(eps_list)
     keys = ["cluster_id", "part"] if "part" in ordered.columns else ["cluster_id"]
-    rows = stage_table(ordered.select(*keys, "item_id", "order_pos", "dist", "embedding"), "report")
+    usable, rejects = split_valid(ordered.select(*keys, "item_id", "order_pos", "dist", "embedding"))
+    rows = stage_table(usable, "report")
     pruned = stage_table(prune_table(rows, eps_list, keys=keys, block=block), "pruned")
     means = avg_sim_to_others(rows, keys=keys).select("item_id", "avg_sim_to_others")
     extremes = extreme_sims(rows, keys=keys, block=block).drop(*keys)
@@ -52,10 +56,11 @@ def prune_report(
     per_cluster = spread.groupBy("cluster_id").agg(
         F.sum("cluster_size").alias("cluster_size"), F.avg("std_pair_sim").alias("std_pair_sim")
     )
-    clusters = per_cluster.join(centroid_cohesion(rows), "cluster_id")
+    clusters = join_on_keys(per_cluster, centroid_cohesion(rows), ["cluster_id"])
     return {
         "items": items,
         "clusters": clusters,
         "eps_report": duplicate_report(pruned, eps_list),
         "sweep": eps_sweep(pruned, eps_list),
+        "rejects": rejects,
     }

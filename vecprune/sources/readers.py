@@ -76,6 +76,16 @@ def read_raw_keys(spark: SparkSession, path: str, width: int = STORED_KEY_WIDTH)
     return records.select("item_id", decode_key("raw").alias("path"))
 
 
+def _split_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the splits, from the listing of the folder alone."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [e.getPath().getName() for e in entries if e.isDirectory()]
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return sorted(unescape(n.split("=", 1)[1]) for n in names if n.startswith("split="))
+
+
 def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """One split of a Parquet dataset partitioned by ``split``: the one asked for, else
     ``train``, else the first by name.  Only its files are read."""
@@ -84,8 +94,9 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> Da
         if split is not None:
             raise ValueError(f"{path} has no splits")
         return table
-    # Answered from the folder names: one row per split.
-    names = sorted(str(r[0]) for r in table.select("split").distinct().collect())
+    names = _split_folders(spark, path)
+    if not names:
+        raise ValueError(f"{path} is not partitioned by split")
     if split is None:
         split = "train" if "train" in names else names[0]
     elif split not in names:
@@ -122,13 +133,16 @@ def read_sorted_clusters(spark: SparkSession, path: str, columns: int = 3) -> Da
 
 def read_id_list(spark: SparkSession, path: str, numeric_only: bool = True) -> DataFrame:
     """One id per line, trimmed, blank lines dropped; ``(item_id BIGINT)``, or with
-    ``numeric_only=False`` the texts as ``(id STRING)``."""
+    ``numeric_only=False`` the texts as ``(id STRING)``.
+
+    Lines that are no number, or none that fits a BIGINT, are not ids of items; read the texts
+    to see them."""
     text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
     lines = spark.read.text(path).select(text.alias("id")).where(F.col("id") != "")
     if not numeric_only:
         return lines
     numbers = lines.where(F.col("id").rlike("^[0-9]+$"))
-    return numbers.select(F.col("id").cast("bigint").alias("item_id"))
+    return numbers.select(F.col("id").try_cast("bigint").alias("item_id")).where("item_id IS NOT NULL")
 
 
 def list_source_files(spark: SparkSession, folder: str, ext: str = ".jpg") -> DataFrame:

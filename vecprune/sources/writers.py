@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecprune.functions.names import EXPORTED_KEY_WIDTH, truncate_key
+from vecprune.operators.joins import join_on_keys
 from vecprune.operators.sizes import (
     cluster_range,
     cluster_sizes,
@@ -16,7 +18,7 @@ from vecprune.operators.sizes import (
     size_histogram,
     size_summary,
 )
-from vecprune.staging import table_exists
+from vecprune.staging import stage_table, table_exists
 
 BUCKETS = 64
 
@@ -52,13 +54,20 @@ def write_sorted(
         raise ValueError(f"fmt must be 'parquet' or 'tsv', got {fmt!r}")
 
 
+def read_pruning(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_pruning`` has finished below ``path``."""
+    rows = spark.read.parquet(f"{path}/rows")
+    finished = spark.read.parquet(f"{path}/finished")
+    return join_on_keys(rows, finished, ["cluster_id", "_run"], "left_semi").drop("_run")
+
+
 def unfinished(ranked: DataFrame, path: str) -> DataFrame:
-    """Rows of the clusters that the pruning table at ``path`` does not hold yet."""
+    """Rows of the clusters that are not marked as finished at ``path``."""
     spark = ranked.sparkSession
-    if not table_exists(spark, path):
+    if not table_exists(spark, f"{path}/finished"):
         return ranked
-    finished = spark.read.parquet(path).select("cluster_id").distinct()
-    return ranked.join(finished, "cluster_id", "left_anti")
+    finished = spark.read.parquet(f"{path}/finished").select("cluster_id").distinct()
+    return join_on_keys(ranked, finished, ["cluster_id"], "left_anti")
 
 
 def write_pruning(
@@ -72,18 +81,32 @@ def write_pruning(
     """Write ``prune(ranked)``; finished clusters are taken out before any comparison.
 
     ``ranges`` writes the clusters in so many steps, so that a stopped run can go on from
-    the last step and the shuffle files of one step bound the disk in use.
+    the last step and the shuffle files of one step bound the disk in use.  A cluster counts
+    as finished once a marker was written after its rows; rows of a step that failed half-way
+    have no marker and ``read_pruning`` leaves them out.
     """
     todo = unfinished(ranked, path) if resume else ranked
+
+    def step(rows: DataFrame) -> None:
+        run = uuid.uuid4().hex
+        pruned = prune(rows).withColumn("_run", F.lit(run))
+        pruned.write.mode("append").parquet(f"{path}/rows")
+        written = ranked.sparkSession.read.parquet(f"{path}/rows").where(F.col("_run") == run)
+        written.select("cluster_id", "_run").distinct().write.mode("append").parquet(f"{path}/finished")
+
     if ranges == 1:
-        prune(todo).write.mode("append").parquet(path)
-        return
-    low, high = ranked.agg(F.min("cluster_id"), F.max("cluster_id")).first()
-    if low is None:
+        step(todo)
         return
-    step = -(-(high - low + 1) // ranges)
-    for start in range(low, high + 1, step):
-        prune(cluster_range(todo, start, start + step)).write.mode("append").parquet(path)
+    # Written once, sorted by cluster, so that a step reads its own files only.
+    todo = stage_table(todo.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id"), "todo")
+    low, high = todo.agg(F.min("cluster_id"), F.max("cluster_id")).first()
+    if low is not None:
+        size = -(-(high - low + 1) // ranges)
+        for start in range(low, high + 1, size):
+            step(cluster_range(todo, start, start + size))
+    no_cluster = todo.where("cluster_id IS NULL")
+    if not no_cluster.isEmpty():
+        step(no_cluster)
 
 
 def write_stats(items: DataFrame, clusters: DataFrame, report: DataFrame, path: str, mode: str = "error") -> None:
