@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LENGTH, CONTEXT = 32, 8
+LENGTH, CONTEXT = 16, 4
 STRIDE = LENGTH - CONTEXT
 SIDE = 32
 SLOTS = SIDE * SIDE
@@ -114,7 +114,7 @@ def slopes(params: Params, inputs: np.ndarray, targets: np.ndarray, weight: np.n
     return g
 
 
-def descend(params: Params, windows: np.ndarray, weight: np.ndarray, rate: float, batch: int = 64) -> Params:
+def descend(params: Params, windows: np.ndarray, weight: np.ndarray, rate: float, batch: int = 128) -> Params:
     """One pass of Adam over windows of ``LENGTH + 1`` slots."""
     params = {name: value.copy() for name, value in params.items()}
     first = {name: np.zeros_like(v) for name, v in params.items()}
@@ -146,7 +146,7 @@ class Scorer:
         self.high_bias, self.low_bias = params["high_bias"], params["low_bias"]
         self.halves = np.repeat(np.eye(2, dtype=np.float32), SIDE, axis=0)
 
-    def score(self, inputs: np.ndarray, targets: np.ndarray, batch: int = 256) -> np.ndarray:
+    def score(self, inputs: np.ndarray, targets: np.ndarray, batch: int = 512) -> np.ndarray:
         """Natural logarithm of the probability of each target, given the slots up to its input."""
         out = np.empty(targets.shape, np.float32)
         for at in range(0, len(inputs), batch):

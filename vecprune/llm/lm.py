@@ -26,53 +26,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecprune.llm import attention as net
-from vecprune.llm.bpe import Encoder, encoder, read_ranks
+from vecprune.llm.bpe import Encoder, read_ranks
 from vecprune.llm.langid import in_fold
 from vecprune.llm.text import Words, chunks
 from vecprune.session import ship_package
 from vecprune.staging import stage_table
 
-SAMPLE = 16
+SAMPLE = 32
 ROUNDS = 2
 RATES = (0.02, 0.006)
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 HELD_WORDS = 1 << 20
+REMEMBERED = 1_500_000
+CHUNK = 4 << 20
 N_IDS = 1 << 16
 END, BEFORE, PAD = N_IDS - 3, N_IDS - 2, N_IDS - 1
 WORD, SUBWORD, WINDOW = 0, 1, 2
 
 
 class Subwords:
-    """Subword ids of the words of a chunk; an end stands after every text."""
-
-    def __init__(self, coder: Encoder) -> None:
-        self.coder = coder
-        self.memo: dict[bytes, bytes] = {}
-
-    def _blob(self, word: bytes) -> bytes:
-        blob = self.memo.get(word)
-        if blob is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            blob = np.array(self.coder.encode(b" " + word), np.uint16).tobytes()
-            if len(word) <= 64:
-                self.memo[word] = blob
-        return blob
+    """Subword ids of the words of a chunk; an end stands after every text.
+
+    Each word is encoded with a blank before it.  The ids of words seen before are kept by the
+    words' hashes; the new words of a chunk are encoded in one call.
+    """
+
+    def __init__(self, file: bytes) -> None:
+        ranks = Encoder.parse(file)
+        # A blank occurs only before a word.
+        coder = tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self.encode = coder.encode_ordinary
+        self.opens = np.zeros(N_IDS, bool)
+        self.opens[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16)
+
+    def look_up(self, hashes: np.ndarray, words: Words, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the words with these (sorted) hashes begin in ``flat``, and how many."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        at = np.searchsorted(self.known, hashes)
+        there = at < len(self.known)
+        there[there] = self.known[at[there]] == hashes[there]
+        new = np.flatnonzero(~there)
+        if len(new):
+            data = words.data.tobytes()
+            spans = zip(words.start[index[new]].tolist(), words.end[index[new]].tolist())
+            text = b" " + b" ".join([data[a:b] for a, b in spans])
+            ids = np.array(self.encode(text.decode()), np.uint16)
+            begin = np.flatnonzero(self.opens[ids])
+            self.known = np.insert(self.known, at[new], hashes[new])
+            self.begin = np.insert(self.begin, at[new], begin + len(self.flat))
+            self.size = np.insert(self.size, at[new], np.diff(np.append(begin, len(ids))))
+            self.flat = np.concatenate([self.flat, ids])
+            at = np.searchsorted(self.known, hashes)
+        return self.begin[at], self.size[at]
 
     def ids(self, column: pa.Array) -> Chunk:
         words = Words(column, lower=True)
         hashes, index, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        data = words.data.tobytes()
-        starts, ends = words.start[index].tolist(), words.end[index].tolist()
-        blobs = [self._blob(data[a:b]) for a, b in zip(starts, ends)]
-        blobs.append(np.array([END], np.uint16).tobytes())
-        flat = np.frombuffer(b"".join(blobs), np.uint16)
-        size = np.array([len(b) // 2 for b in blobs], np.int64)
-        begin = np.cumsum(size) - size
+        begin, size = self.look_up(hashes, words, index)
+        flat = np.append(self.flat, np.uint16(END))
+        begin, size = np.append(begin, len(flat) - 1), np.append(size, 1)
         # The words in order, with the end after each text's last word.
         sequence = np.insert(which, words.first[1:], len(hashes))
         n = size[sequence]
@@ -106,15 +131,15 @@ class Chunk:
         return ids, scored
 
 
-_subwords: dict[int, Subwords] = {}
+_subwords: dict[bytes, Subwords] = {}
 
 
 def _reader(file: bytes) -> Subwords:
-    coder = encoder(file, "")
-    if id(coder) not in _subwords:
+    """The reader of a ranks file; a worker keeps it from task to task."""
+    if file not in _subwords:
         _subwords.clear()
-        _subwords[id(coder)] = Subwords(coder)
-    return _subwords[id(coder)]
+        _subwords[file] = Subwords(file)
+    return _subwords[file]
 
 
 def gather(train: DataFrame, file, text_col: str) -> DataFrame:
@@ -136,7 +161,7 @@ def gather(train: DataFrame, file, text_col: str) -> DataFrame:
         held_rows = 0
         subwords = np.zeros(N_IDS, np.int64)
         for batch in batches:
-            for part in chunks(batch, text_col):
+            for part in chunks(batch, text_col, CHUNK):
                 chunk = reader.ids(part.column(text_col))
                 subwords += np.bincount(chunk.ids, minlength=N_IDS)
                 held.append((chunk.hashes.view(np.int64), np.bincount(chunk.which, minlength=len(chunk.hashes))))
@@ -298,7 +323,7 @@ def scores(
         logs = np.append(np.log10(n + 0.5), 0.0)
         end_log = np.log10(ends + 0.5)
         for batch in batches:
-            for part in chunks(batch, text_col):
+            for part in chunks(batch, text_col, CHUNK):
                 chunk = reader.ids(part.column(text_col))
                 texts = part.num_rows
                 model = np.zeros(texts)
