@@ -159,3 +159,28 @@ def test_statistics_equal_brute_force(items, block):
             assert extremes[i].min_sim == pytest.approx(sims[p].min(), abs=1e-9)
         assert spread[c].std_pair_sim == pytest.approx(sims.std(ddof=1), abs=1e-9)
         assert spread[c].cluster_size == len(ids)
+
+
+@pytest.mark.parametrize("block", [5, 16])
+@pytest.mark.parametrize("eps_list", [[0.01], [0.002, 0.1]])
+def test_flags_with_block_pairs_left_out(items, block, eps_list):
+    """Vectors at many angles to the pivot, in the order of that angle."""
+    rng = np.random.default_rng(block)
+    angle = np.sort(rng.uniform(0, np.pi, 160))[::-1]
+    turn = rng.uniform(0, 0.6, 160)
+    vectors = np.stack([np.cos(angle), np.sin(angle) * np.cos(turn), np.sin(angle) * np.sin(turn)], axis=1)
+    vectors[7] = 0
+    clusters = np.arange(160) % 2
+    rows = table(items, vectors, clusters)
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    dist = {i: float(1 - u[0]) for i, u in enumerate(unit)}
+    spark = rows.sparkSession
+    dists = spark.createDataFrame(list(dist.items()), "item_id long, dist double")
+    expected = brute_force(vectors, clusters)
+    pruned = prune_table(
+        rows.join(dists, "item_id"), eps_list, block=block, carry=["dist"], pivot_dist="dist"
+    ).collect()
+    assert len(pruned) == 160
+    for r in pruned:
+        for eps in eps_list:
+            assert r["eps_" + str(eps).replace(".", "_")] == (expected[r.item_id] > 1 - eps)

@@ -10,7 +10,11 @@ blocks:
    to be above every threshold).  As long as at least half of the open rows get settled,
    the open rows of a cluster are packed together and compared again.  A flood of copies
    melts by about the block size in every round, so it never costs n² products.
-3. The open rows that are left meet every earlier block of their cluster.
+3. The open rows that are left meet the earlier blocks of their cluster.  Where only flags are
+   wanted and the rows know their angle to a common pivot (the centroid), pairs of blocks whose
+   angles are too far apart for any duplicate are left out: the angle between two vectors is
+   at least the difference of their angles to a third.  In the order of the distance to the
+   centroid a block covers a narrow range of angles.
 
 No pair is ever emitted: a task returns at most one value per row it was given.
 """
@@ -36,6 +40,9 @@ from vecprune.staging import stage_table
 # dimensions; larger blocks mean fewer copies of a row in the shuffle.
 BLOCK = 8192
 UNIT_CEILING = 1.0 - 1e-12
+# Angles are compared with this much allowance for rounding; near 0 and 180 degrees an error of
+# 1e-15 in a cosine is one of 5e-8 in the angle.
+ANGLE_MARGIN = 1e-6
 
 
 def _compare_inside(keep: list[str], normalize: bool, settle_at: float | None):
@@ -104,7 +111,6 @@ def _packs(blocks: DataFrame, open_rows: DataFrame, keys: list[str], block: int)
         .where("_total > 0")
         .withColumn("_pack", F.expr(f"_before div {block}"))
         .withColumn("_last_pack", F.max(F.expr("if(_n_open > 0, _pack, 0)")).over(whole))
-        .withColumn("_first_blk", F.min("_blk").over(whole))
     )
 
 
@@ -120,6 +126,8 @@ def max_earlier_sim(
     settle_at: float | None = None,
     largest: int | None = None,
     carry: Sequence[str] = (),
+    pivot_dist: str | None = None,
+    floor: float | None = None,
 ) -> DataFrame:
     """``(keys, id, order, carry, max_earlier_sim)``: the largest similarity of each item to any
     item earlier in its group, 0 for the first and never below 0.
@@ -128,7 +136,9 @@ def max_earlier_sim(
     run of a cluster.  ``carry`` names narrow columns to pass through.
     Vectors are normalized first; ``normalize=False`` gives the raw inner product.
     ``settle_at`` stops the search for an item once that similarity is found, the result
-    then being at least ``settle_at`` rather than the exact maximum.
+    then being at least ``settle_at`` rather than the exact maximum.  Similarities up to
+    ``floor`` need not be found; ``pivot_dist`` names a carried column with the cosine distance
+    to a point that a group has in common.
     """
     keys = list(keys)
     if settle_at is None:
@@ -167,7 +177,11 @@ def max_earlier_sim(
     state = stage_table(base.groupBy(*keys, "_blk").applyInArrow(inside, state_ddl), "inside")
     result = [*narrow, "_best"]
     done = [state.where("not _open").select(*result)]
-    blocks = base.select(*keys, "_blk").distinct()
+    prune_pairs = normalize and floor is not None and pivot_dist is not None
+    angle = F.acos(F.least(F.greatest(1.0 - F.col(pivot_dist), F.lit(-1.0)), F.lit(1.0))) if prune_pairs else F.lit(0.0)
+    ranges = base.groupBy(*keys, "_blk").agg(F.min(angle).alias("_near"), F.max(angle).alias("_far"))
+    ranges = stage_table(ranges, "ranges")
+    blocks = ranges.select(*keys, "_blk")
 
     # 2. Packs of open rows against themselves, while that settles many.
     n_before = base.where("_blk > 0").count()
@@ -190,26 +204,25 @@ def max_earlier_sim(
     if n_open == 0:
         return finish(settled)
 
-    # 3. What is still open against all earlier blocks.
+    # 3. What is still open against the earlier blocks.
+    of_pack = join_on_keys(packs.where("_n_open > 0"), ranges, [*keys, "_blk"])
+    pack_ranges = of_pack.groupBy(*keys, "_pack").agg(
+        F.min("_near").alias("_pack_near"), F.max("_far").alias("_pack_far"), F.max("_blk").alias("_last_blk")
+    )
+    reach = float(np.arccos(np.clip(floor, -1.0, 1.0))) + ANGLE_MARGIN if prune_pairs else float("inf")
+    gap = F.greatest(F.col("_pack_near") - F.col("_far"), F.col("_near") - F.col("_pack_far"))
+    pairs = join_on_keys(ranges, pack_ranges, keys).where((F.col("_blk") < F.col("_last_blk")) & (gap <= reach))
+    pairs = stage_table(pairs.select(*keys, F.col("_blk").alias("_early_blk"), "_pack"), "pairs")
     late = (
-        join_on_keys(open_rows, packs.select(*keys, "_blk", "_pack", "_first_blk"), [*keys, "_blk"])
-        .where("_first_blk < _blk")
-        .withColumn("_early_blk", F.explode(F.expr("sequence(_first_blk, _blk - 1)")))
+        join_on_keys(
+            join_on_keys(open_rows, packs.select(*keys, "_blk", "_pack"), [*keys, "_blk"]), pairs, [*keys, "_pack"]
+        )
+        .where("_early_blk < _blk")
         .select(*narrow, "_vec", "_early_blk", "_pack", F.lit(True).alias("_late"))
     )
-    # The next open row after a block is number ``_before + _n_open``, counted from 0, and
-    # the first one of its block, so this is its pack; all packs up to the last follow.
-    after = packs.where("_before + _n_open < _total").select(
-        *keys,
-        "_blk",
-        F.expr(f"sequence((_before + _n_open) div {block}, _last_pack)").alias("_reach"),
-    )
-    early = (
-        join_on_keys(base, after, [*keys, "_blk"])
-        .withColumn("_pack", F.explode("_reach"))
-        .withColumnRenamed("_blk", "_early_blk")
-        .select(*narrow, "_vec", "_early_blk", "_pack", F.lit(False).alias("_late"))
-    )
+    early = join_on_keys(
+        base.withColumnRenamed("_blk", "_early_blk"), pairs, [*keys, "_early_blk"]
+    ).select(*narrow, "_vec", "_early_blk", "_pack", F.lit(False).alias("_late"))
     across = _compare_across(narrow, normalize)
     partial = (
         late.unionByName(early)
@@ -240,6 +253,7 @@ def prune_table(df: DataFrame, eps_list: Sequence[float], **options) -> DataFram
     if options.get("normalize", True):
         # The next number above the threshold, because the comparison is strict.
         options.setdefault("settle_at", float(np.nextafter(1.0 - min(eps_list), 2.0)))
+        options.setdefault("floor", 1.0 - max(eps_list))
     return flag_duplicates(max_earlier_sim(df, **options), eps_list).drop("max_earlier_sim")
 
 

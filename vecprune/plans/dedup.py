@@ -64,6 +64,7 @@ def prune_clusters(df: DataFrame, options: DedupOptions, *, largest: int | None
         block=options.block,
         largest=largest,
         carry=["pos", "dist"],
+        pivot_dist="dist" if options.metric == "cosine" else None,
     )
 
 

@@ -36,8 +36,8 @@ def cluster_report(df: DataFrame) -> dict[str, DataFrame]:
 def prune_report(
     ordered: DataFrame, eps_list: Sequence[float], *, block: int = BLOCK
 ) -> dict[str, DataFrame]:
-    """Statistics of ordered clusters ``(item_id, cluster_id, dist, order_pos, embedding)``,
-    with ``part`` if they were cut:
+    """Statistics of ordered clusters ``(item_id, cluster_id, dist, order_pos, embedding)``, the
+    distance being the cosine distance to the centroid, with ``part`` if they were cut:
 
     ``items``: similarity to earlier items, flags, mean and extreme similarities;
     ``clusters``: size, cohesion and spread; ``eps_report``: duplicates per eps and cluster;
