@@ -224,6 +224,16 @@ def test_ranks_are_the_same_at_every_scale(spark):
         assert pos == {3: 1, 4: 2, 2: 3, 1: 4, 0: 5, 5: 6}
 
 
+def test_a_scope_drops_its_stage_tables(spark):
+    from vecprune.staging import stage_scope, stage_table, table_exists
+
+    outer = stage_table(spark.range(3), "outer")
+    with stage_scope(spark):
+        inner = stage_table(spark.range(3), "inner")
+        assert inner.count() == 3
+    assert table_exists(spark, outer.stage_path) and not table_exists(spark, inner.stage_path)
+
+
 def test_stage_tables_can_be_dropped(spark):
     from vecprune.staging import drop_stages, stage_table, table_exists
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecprune.operators.joins import join_on_keys
 from vecprune.staging import stage_table
@@ -13,6 +14,8 @@ from vecprune.staging import stage_table
 # A window sorts one group in one task (spilling); beyond this many rows in the largest
 # group the order is taken from a range sort that cuts groups across tasks.
 HOT_ROWS = 1_000_000
+# The same for rows that carry vectors or other lists, and for numbers over a whole table.
+HOT_WIDE_ROWS = 50_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -37,7 +40,8 @@ def ordinal(
     within = list(within)
     if largest is None:
         largest = largest_group(df, within)
-    if largest <= hot_rows:
+    wide = any(isinstance(f.dataType, T.ArrayType) for f in df.schema.fields)
+    if largest <= (min(hot_rows, HOT_WIDE_ROWS) if wide or not within else hot_rows):
         # No group: the constant key keeps the window explicit; its size was just checked.
         window = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))

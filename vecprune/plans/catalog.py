@@ -665,6 +665,15 @@ def number_files(spark, sf_dir):
     return _files(spark, sf_dir)
 
 
+@query
+def list_files(spark, sf_dir):
+    """The files of a table that was written in partitions, one file each."""
+    path = stage_path(spark, "files")
+    labels = _table(spark, sf_dir, "labels").repartition("quality", "toxic")
+    labels.write.partitionBy("quality", "toxic").parquet(path)
+    return readers.list_source_files(spark, path, ".parquet").select("file_no")
+
+
 @query
 def resolve_files(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents")

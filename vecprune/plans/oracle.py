@@ -486,6 +486,8 @@ FROM (SELECT page_id, lower(CASE WHEN contains(url, '.org/') THEN 'PNG'
   list_last(string_split(url, '/')) AS base FROM pages""",
     "decode_keys": "SELECT page_id, url AS key FROM pages",
     "number_files": f"WITH {_FILES} SELECT file_no, name FROM files",
+    "list_files": """SELECT unnest(range(0, count(*))) AS file_no
+FROM (SELECT DISTINCT quality, toxic FROM labels)""",
     "resolve_files": f"""WITH {_FILES},
 ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents
         UNION ALL SELECT 'image_' || doc_id FROM documents),

@@ -34,7 +34,8 @@ def _bucketed(df: DataFrame, key: str, bucket_col: str, buckets: int) -> DataFra
     with a hot cluster is shared by several tasks."""
     with_bucket = df.withColumn(bucket_col, (F.col(key) % buckets).cast("int"))
     order = [bucket_col, key] + [c for c in ("pos", "item_id") if c in df.columns]
-    return with_bucket.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written first, as the range partitioning looks at its input twice.
+    return stage_table(with_bucket, "bucketed").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_sorted(

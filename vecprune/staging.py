@@ -6,12 +6,15 @@ checkpoint files, so that later narrow reads skip the vectors.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -37,14 +40,40 @@ def stage_root(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, label: str) -> str:
     """A new path for a stage table of this application."""
     folder = f"vecprune-stages/{spark.sparkContext.applicationId}"
-    return f"{stage_root(spark)}/{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{folder}/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops at its end the stage tables made within it.
+
+    Results are read from stage tables, so the scope has to hold the writing of the result too::
+
+        with stage_scope(spark):
+            kept, rejects = dedup(documents, options)
+            kept.write.parquet(out)
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            _delete(spark, path)
 
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete the stage tables of this application, once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(stage_path(spark, "x")).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, stage_path(spark, "x").rsplit("/", 1)[0])
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
@@ -59,9 +88,7 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 
 def drop_stage(df: DataFrame) -> None:
     """Delete a table that ``stage_table`` returned, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.stage_path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
