@@ -32,9 +32,11 @@ from vecprune.llm.text import add_columns, chunks
 from vecprune.session import ship_package
 
 MAX_RANK_BYTES = 16 << 20
-REMEMBERED = 400_000
+# Values that a worker remembers of each kind.
+PIECES, HALVES, WINDOWS = 400_000, 200_000, 300_000
 SHORT_WINDOW = 48
 LEAF_IDS = 4096
+NEVER = 1 << 62
 
 
 class UnreachableToken(ValueError):
@@ -42,15 +44,19 @@ class UnreachableToken(ValueError):
 
 
 class _Memo(dict):
-    """Computes missing values; forgets all when it is full."""
+    """Computes missing values and remembers at most ``limit`` of them, the latest used ones."""
 
-    def __init__(self, make, limit: int = REMEMBERED, longest: int = 64) -> None:
-        self.make, self.limit, self.longest = make, limit, longest
+    def __init__(self, make, limit: int, longest: int = 64) -> None:
+        self.make, self.half, self.longest = make, limit // 2, longest
+        self.old: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
+            if len(self) >= self.half:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -60,9 +66,9 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.windows = _Memo(self._merge)
-        self.halves = _Memo(self._encode)
-        self.pieces = _Memo(self._piece)
+        self.windows = _Memo(self._merge, WINDOWS)
+        self.halves = _Memo(self._encode, HALVES)
+        self.pieces = _Memo(self._piece, PIECES)
         self.split = regex.compile(pattern).findall
 
     @staticmethod
@@ -79,17 +85,20 @@ class Encoder:
         """The plain algorithm for a window: the lowest rank first, leftmost among equals."""
         if len(data) > SHORT_WINDOW:
             return self._merge_long(data)
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        rank, n = self.ranks.get, len(data)
+        cuts = list(range(n + 1))
+        pairs = [rank(data[i : i + 2], NEVER) for i in range(n - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            at = pairs.index(best)
+            del cuts[at + 1], pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank(data[cuts[at] : cuts[at + 2]], NEVER)
+            if at:
+                pairs[at - 1] = rank(data[cuts[at - 1] : cuts[at + 1]], NEVER)
+        return tuple([self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])])
 
     def _merge_long(self, data: bytes) -> tuple[int, ...]:
         """The same with a heap of the pairs and linked parts."""
@@ -132,7 +141,7 @@ class Encoder:
         return self.join(self.halves[data[:half]], self.halves[data[half:]])
 
     def encode(self, data: bytes) -> tuple[int, ...]:
-        return self.halves[data] if data else ()
+        return self._encode(data) if data else ()
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of both."""
