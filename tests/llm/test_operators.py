@@ -17,6 +17,7 @@ import compare
 from vecprune.llm import anchors, attention, decontaminate, langid, lm, pii, quotes, repeats, simhash, suffix, text
 from vecprune.llm.bpe import Encoder, UnreachableToken, decode_ids, encode_documents, read_ranks
 from vecprune.llm.components import components
+from vecprune.llm.grouped import group_batches
 from vecprune.llm.repetition import OP1_SQL, keep_unrepetitive, op1_repetition
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -56,6 +57,24 @@ def test_rejected_documents_go(spark, hard_dir):
     assert {5, 6, 8} <= ids and not ids & {0, 1, 3, 12, 13}
 
 
+@pytest.mark.parametrize("limit", [0, 1, 5, 20])
+def test_groups_stay_whole(limit):
+    """Groups cut by batches come out whole, in order, and in tables of about the limit."""
+    rng = np.random.default_rng(limit)
+    for _ in range(40):
+        sizes = rng.integers(1, 9, rng.integers(1, 30))
+        keys = np.repeat(np.arange(len(sizes)), sizes)
+        edges = [0, *np.sort(rng.integers(0, len(keys) + 1, 4)), len(keys)]
+        batches = [
+            pa.RecordBatch.from_pydict({"k": keys[a:b], "v": np.arange(a, b)}) for a, b in zip(edges, edges[1:])
+        ]
+        out = list(group_batches(iter(batches), ["k"], limit))
+        assert [v for t, _ in out for v in t.column("v").to_pylist()] == list(range(len(keys)))
+        assert sum(len(s) for _, s in out) == len(sizes)
+        assert all(len(set(t.column("k").to_pylist())) == len(s) for t, s in out)
+        assert not limit or all(t.num_rows <= limit + 8 for t, _ in out)
+
+
 # -- near-duplicates ---------------------------------------------------------------------------
 
 

@@ -66,7 +66,7 @@ def block_hits(numbers: np.ndarray, start: np.ndarray, window: int) -> tuple[np.
 
 
 def kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, _symbols, _cutter, _numbers, block_hits)
+    return Kind(window, gram, 8, _symbols, _cutter, _numbers, block_hits)
 
 
 def removals(

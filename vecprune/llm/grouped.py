@@ -14,29 +14,37 @@ def group_batches(
     """Tables of whole groups of a sorted partition, and where each group starts.
 
     Rows with the same ``keys`` must be neighbours.  A group that is cut by a batch waits for
-    its rest.  With ``limit``, a table is given out as soon as it has so many rows of whole
-    groups; without, at every batch.
+    its rest.  With ``limit``, a table ends with the group that brings it to so many rows;
+    without, with the batch.
     """
     held: list[pa.RecordBatch] = []
-    rows = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
         held.append(batch)
-        rows += batch.num_rows
-        if rows < limit:
-            continue
         table = pa.Table.from_batches(held).combine_chunks()
         starts = _starts(table, keys)
-        if len(starts) > 1:
-            yield table.slice(0, starts[-1]), starts[:-1]
-            rest = table.slice(starts[-1]).combine_chunks()
-            held, rows = rest.to_batches(), rest.num_rows
-        else:
-            held = table.to_batches()
+        yield from _bundles(table, starts[:-1], starts[-1], limit)
+        rest = table.slice(starts[-1])
+        # A long group is put together again only with what comes next.
+        held = rest.to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
-        yield table, _starts(table, keys)
+        yield from _bundles(table, _starts(table, keys), table.num_rows, limit)
+
+
+def _bundles(
+    table: pa.Table, starts: np.ndarray, end: int, limit: int
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The groups from ``starts`` up to row ``end`` in tables of about ``limit`` rows."""
+    a = 0
+    while a < len(starts):
+        b = len(starts)
+        if limit:
+            b = min(b, int(np.searchsorted(starts, starts[a] + limit)))
+        stop = int(starts[b]) if b < len(starts) else end
+        yield table.slice(starts[a], stop - starts[a]).combine_chunks(), starts[a:b] - starts[a]
+        a = b
 
 
 def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:

@@ -34,7 +34,7 @@ from vecprune.session import ship_package
 from vecprune.staging import stage_table
 
 HOT = 8192
-BUNDLE_BYTES = 3 << 20
+BUNDLE_BYTES = 320 << 10
 _PLACE_BITS = 26
 _SEGMENT = 1 << 25
 
@@ -45,6 +45,8 @@ class Kind:
 
     window: int
     gram: int
+    # Bytes that a symbol has, about.
+    width: int
     # Of a text column: the prefix hashes of all symbols and the offsets of the texts in them.
     symbols: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     # Of a text: a function that gives the content of symbols ``a`` to ``b``.
@@ -225,8 +227,8 @@ def _fetch(docs: DataFrame, mixed: DataFrame, kind: Kind, id_type: str) -> DataF
 
 def _search_small(texts: DataFrame, kind: Kind, keep_first: bool) -> DataFrame:
     """Repeats among the slices of each owner; a kernel takes many owners at once."""
-    # Bundles end between owners, after this many slices.
-    limit = max(1, BUNDLE_BYTES // (2 * kind.window * (1 if kind.gram > 16 else 8)))
+    # Bundles end between owners, after this many slices; small ones sort within the caches.
+    limit = max(1, BUNDLE_BYTES // (2 * kind.window * kind.width))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in group_batches(batches, ["owner"], limit):

@@ -64,7 +64,7 @@ def previous_factors(numbers: np.ndarray, start: np.ndarray, window: int) -> tup
 
 
 def kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, _symbols, _cutter, _numbers, previous_factors)
+    return Kind(window, gram, 1, _symbols, _cutter, _numbers, previous_factors)
 
 
 def removals(
