@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from vecprune.llm.components import components
 from vecprune.llm.grouped import group_batches
+from vecprune.llm.similar import keep_one_of_each  # noqa: F401  (the pipeline's policy, by exact similarity)
 from vecprune.llm.text import add_columns, chunks
 from vecprune.session import ship_package
 from vecprune.staging import stage_table
@@ -177,19 +178,6 @@ def near_duplicates(
     return marked.join(named, "print").select(id_col, "print", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest id (NULL last); all columns stay.
-
-    Of rows that share this id one stays.
-    """
-    rows = _printed(docs, docs.columns, text_col, SHINGLE_WORDS, "_simhash")
-    rows = stage_table(rows.withColumn("_row", F.monotonically_increasing_id()), "printed")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row").alias("row"))
-    grown = _labelled(rows.groupBy(F.col("_simhash").alias("print")).agg(F.min(order).alias("first")))
-    kept = grown.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
-
-
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     digits = F.lpad(F.lower(F.hex("print")), 16, "0")
