@@ -1,7 +1,10 @@
 """Benchmark decontamination by the q-gram lemma in overlapping diagonal bands.
 
-Benchmark items are cut into overlapping pieces, so that a document is also caught if it holds
-a passage of an item.  If a piece of ``m`` characters occurs with at most ``k`` edits, at least
+A document is caught if it holds an item of at most ``PASSAGE`` characters, or any passage of so
+many characters of a longer item, wherever in the item it stands.  For this, pieces of ``PIECE``
+characters stand every ``STRIDE`` characters: each passage holds a whole piece, and the passages
+around a piece that is found are verified one by one.  Items that are little longer are also
+looked for as a whole, with the edits that their length allows.  If a piece of ``m`` characters occurs with at most ``k`` edits, at least
 ``m + 1 - q - k * q`` of its q-grams occur in the document on at most ``k + 1`` neighbouring
 diagonals (document position minus piece position).  So shared q-grams are counted in bands of
 diagonals that overlap by ``k``; bands that reach the bound are retained and verified by an
@@ -32,7 +35,9 @@ from vecprune.session import ship_package
 
 Q = 12
 EDIT_PERCENT = 5
-PIECE, STRIDE = 100, 50
+PASSAGE, STRIDE = 100, 10
+PIECE = PASSAGE - STRIDE + 1
+WHOLE = 150
 BAND = 16
 PART_CHARS = 8 << 20
 _TABLE_BITS = 22
@@ -68,16 +73,18 @@ def qgrams(chars: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pieces:
-    """Pieces of items, their bounds, and the places of every q-gram in them."""
+    """Pieces of items as spans of their joined characters, and the places of every q-gram there."""
 
     item: np.ndarray
-    chars: np.ndarray  # one row per piece, padded
+    chars: np.ndarray  # of all items
+    start: np.ndarray  # of each piece; starts and ends are both in order
     size: np.ndarray
     edits: np.ndarray
+    low: np.ndarray  # the passages of a piece start from here
+    high: np.ndarray  # to here
     grams: np.ndarray  # distinct hashes, sorted
     first: np.ndarray  # of the places of each distinct hash
-    piece_of: np.ndarray
-    place_of: np.ndarray
+    place: np.ndarray
 
     @property
     def bound(self) -> np.ndarray:
@@ -85,31 +92,37 @@ class Pieces:
 
 
 def cut(items: list[tuple[int, str | None]]) -> Pieces | None:
-    rows = []
+    texts, places, rows, begin = [], [], [], 0
     for n, (_, text) in enumerate(items):
         text = normalised(text)
-        if len(text) >= Q:
-            ends = list(range(PIECE, len(text), STRIDE)) + [len(text)] if len(text) > PIECE + STRIDE else [len(text)]
-            rows += [(n, codes(text[max(0, e - PIECE) if len(ends) > 1 else 0 : e])) for e in ends]
+        if len(text) < Q:
+            continue
+        size = len(text)
+        if size > PASSAGE:
+            for at in sorted({*range(0, size - PIECE + 1, STRIDE), size - PIECE}):
+                spread = begin + max(0, at + PIECE - PASSAGE), begin + min(at, size - PASSAGE)
+                rows.append((n, begin + at, PIECE, PASSAGE * EDIT_PERCENT // 100, *spread))
+            texts.append(text)
+            places.append(begin + np.arange(size - Q + 1))
+            begin += size
+        if size <= WHOLE:
+            edits = min(size * EDIT_PERCENT // 100, (size - Q) // Q)
+            # No passages: the piece itself is what is looked for.
+            rows.append((n, begin, size, edits, 0, -1))
+            texts.append(text)
+            places.append(begin + np.arange(size - Q + 1))
+            begin += size
     if not rows:
         return None
-    size = np.array([len(c) for _, c in rows])
-    chars = np.full((len(rows), size.max()), 0x110000, np.uint32)
-    for row, (_, c) in zip(chars, rows):
-        row[: len(c)] = c
-    found = [qgrams(c) for _, c in rows]
-    grams = np.concatenate(found)
+    item, start, size, edits, low, high = np.array(rows, np.int64).T.copy()
+    grams = np.concatenate([qgrams(codes(t)) for t in texts])
     order = np.argsort(grams, kind="stable")
     distinct, first = np.unique(grams[order], return_index=True)
     return Pieces(
-        item=np.array([n for n, _ in rows]),
-        chars=chars,
-        size=size,
-        edits=np.minimum(size * EDIT_PERCENT // 100, (size - Q) // Q),
+        item, codes("".join(texts)), start, size, edits, low, high,
         grams=distinct,
         first=np.append(first, len(grams)),
-        piece_of=np.repeat(np.arange(len(rows)), [len(g) for g in found])[order],
-        place_of=np.concatenate([np.arange(len(g)) for g in found])[order],
+        place=np.concatenate(places)[order],
     )
 
 
@@ -145,29 +158,54 @@ class Search:
         n = p.first[gram + 1] - p.first[gram]
         source = np.repeat(np.arange(len(at)), n)
         posting = np.repeat(p.first[gram] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        diagonal = at[source] - p.place_of[posting]
+        at, place = at[source], p.place[posting]
+        # The pieces around each place.
+        low = np.searchsorted(p.start + p.size - Q, place)
+        n = np.searchsorted(p.start, place, side="right") - low
+        source = np.repeat(np.arange(len(place)), n)
+        piece = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        diagonal = at[source] - (place[source] - p.start[piece])
         text = np.searchsorted(begin, at[source], side="right") - 1
-        piece = p.piece_of[posting]
         band = diagonal // BAND
         low = diagonal - band * BAND <= self.slack
         band = np.concatenate([band, band[low] - 1])
         text, piece = np.concatenate([text, text[low]]), np.concatenate([piece, piece[low]])
         if not len(text):
             return text, piece, piece, band
-        keys, count = np.unique(np.stack([text, piece, band]), axis=1, return_counts=True)
-        text, piece, band = keys[:, count >= p.bound[keys[1]]]
-        edits = self._align(joined, begin[text], (begin + size)[text], piece, band * BAND)
+        least, wide = band.min(), band.max() - band.min() + 1
+        keys, count = np.unique((text * len(p.item) + piece) * wide + band - least, return_counts=True)
+        band, keys = keys % wide + least, keys // wide
+        text, piece = keys // len(p.item), keys % len(p.item)
+        enough = count >= p.bound[piece]
+        text, piece, band = text[enough], piece[enough], band[enough]
+        edits = self._align(joined, begin[text], (begin + size)[text], p.start[piece], p.size[piece], band * BAND)
+        good = edits <= p.edits[piece]
+        text, piece, edits, band = text[good], piece[good], edits[good], band[good]
+        edits = self._passages(joined, begin[text], (begin + size)[text], piece, edits, band * BAND)
         good = edits <= p.edits[piece]
         return text[good], piece[good], edits[good], (band * BAND - begin[text])[good]
 
-    def _align(self, joined, begin, end, piece, diagonal, block: int = 2048) -> np.ndarray:
-        """Least edits of each piece within its band, free to begin and end in the text."""
-        out = np.zeros(len(piece), np.int64)
+    def _passages(self, joined, begin, end, piece, edits, diagonal) -> np.ndarray:
+        """Least edits of the passages around each piece; those of the piece if it is a whole item."""
+        p = self.pieces
+        n = np.maximum(p.high[piece] - p.low[piece] + 1, 0)
+        of = np.repeat(np.arange(len(piece)), n)
+        start = p.low[piece[of]] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        moved = diagonal[of] + start - p.start[piece[of]]
+        found = self._align(joined, begin[of], end[of], start, np.full(len(of), PASSAGE), moved)
+        out = np.where(n > 0, np.iinfo(np.int64).max, edits)
+        np.minimum.at(out, of, found)
+        return out
+
+    def _align(self, joined, begin, end, start, length, diagonal, block: int = 2048) -> np.ndarray:
+        """Least edits of each span of items within its band, free to begin and end in the text."""
+        out = np.zeros(len(start), np.int64)
         width = BAND + 3 * self.slack + 1
         column = np.arange(width)
-        for at in range(0, len(piece), block):
+        items = self.pieces.chars
+        for at in range(0, len(start), block):
             rows = slice(at, at + block)
-            chars, size = self.pieces.chars[piece[rows]], self.pieces.size[piece[rows]]
+            size, first = length[rows], start[rows]
             place = (diagonal[rows] - self.slack)[:, None] + column
             lo, hi = begin[rows][:, None], end[rows][:, None]
             cost = np.zeros(place.shape, np.int64)
@@ -175,7 +213,8 @@ class Search:
             for i in range(int(size.max(initial=0))):
                 inside = (place + i >= lo) & (place + i < hi)
                 text = np.where(inside, joined[np.clip(place + i, 0, len(joined) - 1)], 0x110001)
-                step = cost + (text != chars[:, i][:, None])
+                # Beyond its end a span is aligned no further; what it reads there is not used.
+                step = cost + (text != items[np.minimum(first + i, len(items) - 1)][:, None])
                 step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
                 # Skipped text characters: a running minimum with one more edit per column.
                 cost = np.minimum.accumulate(step - column, axis=1) + column
@@ -195,7 +234,8 @@ def benchmark_hits(
 ) -> DataFrame:
     """One row per document row and item found in it.
 
-    ``n_pieces`` counts the item's pieces that were found, ``least_edits`` is the smallest
+    ``n_pieces`` counts the item's pieces (one every ``STRIDE`` characters) around which a passage
+    was found, ``least_edits`` is the smallest
     number of edits, ``first_place`` about where the first of them begins in the normalised text.
     """
     ship_package(docs.sparkSession)
