@@ -2,8 +2,7 @@
 
 *Counts.*  One pass counts words (by a 64-bit hash) and subword ids in the training documents;
 counts are summed per task before the shuffle, and no table of words goes to the driver.  The
-same pass takes every ``SAMPLE``-th window of each training document for the model, so what it
-learns from grows with the corpus.
+same pass takes all windows of the training documents for the model.
 
 *Model.*  Ids with the most counts have a slot each, the rest share one, in which an id has its
 own frequency; so a probability is given for every id.  Rounds of training run in parallel: each
@@ -21,7 +20,6 @@ table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +35,6 @@ from vecprune.llm.text import Words, chunks
 from vecprune.session import ship_package
 from vecprune.staging import stage_table
 
-SAMPLE = 32
 ROUNDS = 2
 RATES = (0.02, 0.006)
 FREQUENT = 1 << 19
@@ -172,9 +169,7 @@ def gather(train: DataFrame, file, text_col: str) -> DataFrame:
                     if held_rows > HELD_WORDS // 2:
                         yield rows(WORD, *held[0])
                         held, held_rows = [], 0
-                # Which windows: by a checksum of the text, so that short texts take turns too.
-                sums = np.array([zlib.crc32((t or "").encode()) for t in part.column(text_col).to_pylist()], np.int64)
-                pick = np.flatnonzero((sums[chunk.owner] + chunk.nth) % SAMPLE == 0)
+                pick = np.arange(len(chunk.owner))
                 ids, _ = chunk.windows(pick)
                 empty = pa.nulls(len(pick), pa.int64())
                 blobs = pa.array([row.tobytes() for row in ids], pa.binary())
