@@ -3,8 +3,11 @@ r"""Chat formatting by quotation linking, with DataFrame operations only.
 A line that begins with ``>`` marks quotes; its level is the number of marks.  A quoted passage
 is a run of lines of one level.  Its normalised text (lower case, white space as one space) is
 hashed and joined with the hashes of what messages say themselves: the whole message, its
-paragraphs and its lines, each without quotes.  A passage's original is the first message of the
-conversation that says it, if that stands before the quoting message.  A message replies to the
+paragraphs and its lines, each without quotes.  A passage that equals none of these is compared
+line by line: its lines are joined with those that messages say by (conversation, hash), and a
+message says it if all lines follow each other there (empty lines do not count).  A passage's
+original is the first message of the conversation that says it, if that stands before the
+quoting message.  A message replies to the
 latest original of its shallowest linked level; following replies leads to the message that
 began the thread.
 
@@ -54,16 +57,28 @@ def with_lines(messages: DataFrame) -> DataFrame:
 
 
 def passages(lined: DataFrame) -> DataFrame:
-    """The quoted passages of each message: ``uid, conv_id, turn, level, print``."""
+    """The quoted passages of each message: ``uid, run, conv_id, turn, level, print``.
+
+    ``lines`` has the hashes of the passage's lines, without those that are empty.
+    """
     in_text = Window.partitionBy("uid").orderBy("pos")
     lines = lined.filter("quoting").select("uid", "conv_id", "turn", F.posexplode("marked").alias("pos", "line"))
     level = F.col("line.level")
     new = F.when(level == F.lag(level).over(in_text), 0).otherwise(1)
     runs = lines.withColumn("new", new).withColumn("run", F.sum("new").over(in_text)).filter(level > 0)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("line.body").alias("body"))))
-    text = F.array_join(F.transform(ordered, lambda x: x["body"]), " ")
-    whole = runs.groupBy("uid", "conv_id", "turn", level.alias("level"), "run").agg(normalised(text).alias("passage"))
-    return whole.filter("passage <> ''").select("uid", "conv_id", "turn", "level", F.xxhash64("passage").alias("print"))
+    bodies = F.transform(F.col("ordered"), lambda x: x["body"])
+    whole = runs.groupBy("uid", "conv_id", "turn", level.alias("level"), "run").agg(ordered.alias("ordered"))
+    whole = whole.withColumn("passage", normalised(F.array_join(bodies, " "))).filter("passage <> ''")
+    return whole.select(
+        "uid", "run", "conv_id", "turn", "level", F.xxhash64("passage").alias("print"), line_prints(bodies).alias("lines")
+    )
+
+
+def line_prints(lines: Column) -> Column:
+    """Hashes of the lines that are not empty, in order."""
+    said = F.filter(F.transform(lines, normalised), lambda x: x != "")
+    return F.transform(said, lambda x: F.xxhash64(x))
 
 
 def originals(lined: DataFrame, quoted: DataFrame) -> DataFrame:
@@ -78,10 +93,40 @@ def originals(lined: DataFrame, quoted: DataFrame) -> DataFrame:
     )
 
 
+def line_originals(lined: DataFrame, rest: DataFrame) -> DataFrame:
+    """The first message that says the lines of a passage one after another: ``conv_id, lines, origin``.
+
+    Equal passages of a conversation are one, and each is looked for by the rarest two lines of it
+    that follow each other; the other lines are compared where these stand.
+    """
+    wanted = stage_table(rest.select("conv_id", "lines").distinct(), "wanted-lines")
+    here = lined.filter("turn IS NOT NULL").join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
+    said = here.select("conv_id", "turn", "uid", line_prints(F.split("said", "\n")).alias("own"))
+    said = stage_table(said.filter(F.size("own") > 1), "said-lines")
+    # Every two lines that follow each other are a key; a passage is looked for by its rarest.
+    keys = lambda column: F.expr(f"transform(sequence(1, size({column}) - 1), i -> xxhash64({column}[i - 1], {column}[i]))")
+    places = said.select("conv_id", "turn", "uid", F.posexplode(keys("own")).alias("at", "key"))
+    asked = wanted.filter(F.size("lines") > 1).select("conv_id", "lines", F.posexplode(keys("lines")).alias("nth", "key"))
+    counts = places.groupBy("conv_id", "key").agg(F.count("*").alias("n"))
+    asked = asked.join(counts, ["conv_id", "key"], "left")
+    best = asked.groupBy("conv_id", "lines").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "nth", "key")).alias("rarest")
+    )
+    best = best.filter("rarest.n > 0").select("conv_id", "lines", F.col("rarest.nth").alias("nth"), F.col("rarest.key").alias("key"))
+    met = best.join(places, ["conv_id", "key"]).select("conv_id", "lines", "turn", "uid", (F.col("at") - F.col("nth")).alias("start"))
+    met = met.filter("start >= 0").join(said.select("uid", "own"), "uid")
+    met = met.filter(F.expr("slice(own, start + 1, size(lines)) = lines"))
+    return met.groupBy("conv_id", "lines").agg(F.min(F.struct("turn", "uid")).alias("of_lines"))
+
+
 def replies(lined: DataFrame) -> DataFrame:
     """Messages that quote: ``uid, n_quotes, n_linked``, and the linked one's ``up, up_turn``."""
     quoted = stage_table(passages(lined), "passages")
-    linked = quoted.join(originals(lined, quoted), ["conv_id", "print"], "left")
+    linked = stage_table(quoted.join(originals(lined, quoted), ["conv_id", "print"], "left"), "linked")
+    # The first of all messages that say it, be it as a unit or line by line.
+    several = linked.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND size(lines) > 1")
+    linked = linked.join(line_originals(lined, several), ["conv_id", "lines"], "left")
+    linked = linked.withColumn("origin", F.least("origin", "of_lines"))
     good = F.col("origin.turn") < F.col("turn")
     best = F.max(F.when(good, F.struct((-F.col("level")).alias("near"), "origin.turn", "origin.uid")))
     return linked.groupBy("uid").agg(
