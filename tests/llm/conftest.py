@@ -61,4 +61,5 @@ def empty_dir(spark, tmp_path_factory):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(
         f"{folder}/conversations.parquet"
     )
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
