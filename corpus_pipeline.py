@@ -14,7 +14,7 @@ from vecprune.llm.bpe import token_digests
 from vecprune.llm.decontaminate import drop_contaminated
 from vecprune.llm.pii import mask
 from vecprune.llm.repetition import keep_unrepetitive
-from vecprune.llm.similar import keep_one_of_each
+from vecprune.llm.simhash import keep_one_of_each
 from vecprune.staging import stage_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts with a Jaccard similarity of 0.8 in 5-word shingles that with the smallest id stays."""
+    """Of near-duplicates by the rule of the SimHash operator the document with the smallest id stays."""
     return keep_one_of_each(docs)
 
 
