@@ -9,7 +9,7 @@ from vecprune.operators.kmeans import load_or_fit, mean_centroids
 from vecprune.operators.gather import resolve_files
 from vecprune.operators.prune import prune_table
 from vecprune.operators.rank import order_policy, rank_within_cluster
-from vecprune.sources import readers, writers
+from vecprune.sources import raw, readers, writers
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,39 @@ def test_raw_matrix_and_keys(spark, tmp_path):
         assert got[i] == (keys[i], [float(x) for x in matrix[i]])
 
 
+def test_raw_files_in_ranges(spark, tmp_path):
+    """Ranges and batches of a few records, in a folder whose files follow each other by name."""
+    matrix = np.arange(300, dtype="<f4").reshape(100, 3)
+    for name, part in (("b", matrix[:33]), ("c", matrix[33:34]), ("d", matrix[34:34]), ("e", matrix[34:])):
+        part.tofile(tmp_path / name)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    df = readers.read_raw_matrix(spark, str(tmp_path), 3, partition_bytes=40)
+    assert df.rdd.getNumPartitions() >= 30
+    assert rows_of(df) == [(i, row.tolist()) for i, row in enumerate(matrix)]
+    assert raw.FixedWidthReader(str(tmp_path), 12, 3, 40).partitions()[11] == raw.RecordRange(str(tmp_path / "c"), 0, 33, 1)
+
+
+def test_truncated_and_empty_raw_files(spark, tmp_path):
+    (tmp_path / "cut").write_bytes(b"\0" * 25)
+    with pytest.raises(Exception, match="25 bytes, which is no multiple"):
+        readers.read_raw_matrix(spark, str(tmp_path / "cut"), 3).collect()
+    (tmp_path / "none").write_bytes(b"")
+    assert readers.read_raw_matrix(spark, str(tmp_path / "none"), 3).collect() == []
+    with pytest.raises(Exception, match="there is no"):
+        readers.read_raw_keys(spark, str(tmp_path / "absent")).collect()
+
+
+def test_raw_files_are_written_in_order(spark, tmp_path):
+    rows = [(i, [float(i), -1.0], f"k{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, k string").repartition(6)
+    assert raw.write_raw(df, str(tmp_path / "m"), "id", "v") == 500
+    assert rows_of(readers.read_raw_matrix(spark, str(tmp_path / "m"), 2)) == [(i, v) for i, v, _ in rows]
+    assert raw.write_raw(df, str(tmp_path / "k"), "id", "k", 6) == 500
+    assert rows_of(readers.read_raw_keys(spark, str(tmp_path / "k"), 6)) == [(i, k) for i, _, k in rows]
+    with pytest.raises(Exception, match="longer than 3 bytes"):
+        raw.write_raw(df, str(tmp_path / "x"), "id", "k", 3)
+
+
 def test_undecodable_keys_are_kept(spark, tmp_path):
     (tmp_path / "keys").write_bytes(b"caf\xe9\0\0ok\0\0\0\0")
     keys = readers.read_raw_keys(spark, str(tmp_path / "keys"), width=6)

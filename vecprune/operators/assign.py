@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecprune.functions.vectors import as_double, cosine_dist, l2_sq
 from vecprune.operators.kernels import to_matrix, unit_rows
 from vecprune.options import check_metric
-from vecprune.staging import table_exists
+from vecprune.staging import load_or_save
 
 # Centroids up to this size are broadcast whole; larger sets go block by block.
 CENTROID_BYTES = 256 << 20
@@ -23,6 +23,7 @@ TIE = 1e-12
 # Cosine distances below this are rounding noise of their own direction.
 NO_DISTANCE = 1e-14
 NO_CENTROID = "an item belongs to a cluster that has no centroid"
+EMPTY = "the centroid table is empty"
 
 
 def centroid_shape(centroids: DataFrame) -> tuple[int, int]:
@@ -30,8 +31,6 @@ def centroid_shape(centroids: DataFrame) -> tuple[int, int]:
     row = centroids.agg(
         F.count(F.lit(1)), F.coalesce(F.max(F.size("centroid")), F.lit(0))
     ).first()
-    if row[0] == 0:
-        raise ValueError("the centroid table is empty")
     return row[0], row[1]
 
 
@@ -142,6 +141,11 @@ def assign(
     check_metric(metric)
     sc = df.sparkSession.sparkContext
     number, dim = centroid_shape(centroids)
+    names = [c for c in df.columns if c not in ("cluster_id", "score")]
+    if number == 0:
+        # No items, no result; an item cannot be assigned.
+        no_id, no_score = (F.raise_error(F.lit(EMPTY)).cast(t) for t in ("int", "double"))
+        return df.select(*names, no_id.alias("cluster_id"), no_score.alias("score"))
     n_blocks = -(-number * dim * 8 // limit_bytes)
     shared = []
     for b in range(n_blocks):
@@ -151,7 +155,6 @@ def assign(
         ids, matrix = _collect_block(part, metric)
         if len(ids):
             shared.append((sc.broadcast(ids), sc.broadcast(matrix)))
-    names = [c for c in df.columns if c not in ("cluster_id", "score")]
     out = df.withColumn("_near", _nearest(shared, metric)(F.col(vec_col)))
     return out.select(*names, "_near.cluster_id", "_near.score")
 
@@ -175,6 +178,8 @@ def _own_distance(shared_ids, shared_matrix, metric: str):
     def run(vectors: pa.Array, clusters: pa.Array) -> pa.Array:
         ids, cents = shared_ids.value, shared_matrix.value
         wanted = clusters.to_numpy(zero_copy_only=False)
+        if len(wanted) and not len(ids):
+            raise ValueError(NO_CENTROID)
         at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
         if (ids[at] != wanted).any():
             raise ValueError(NO_CENTROID)
@@ -232,8 +237,6 @@ def _clean(dist: Column) -> Column:
 
 
 def load_or_assign(path: str, df: DataFrame, centroids: DataFrame, metric: str = "cosine", **options):
-    """The assignments saved at ``path``; computed and saved there if there are none."""
-    spark = df.sparkSession
-    if not table_exists(spark, path):
-        assign(df, centroids, metric, **options).write.parquet(path)
-    return spark.read.parquet(path)
+    """The assignments saved at ``path``; computed and saved there if there are none, also
+    where a save died half-way."""
+    return load_or_save(df.sparkSession, path, lambda: assign(df, centroids, metric, **options))

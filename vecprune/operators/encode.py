@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +18,61 @@ from vecprune.operators.kernels import to_lists, unit_rows
 REMEMBERED_WORDS = 1_000_000
 
 
+# Contents of a call of the encoder, about.
+CALL_BYTES = 8 << 20
+
+_encoders: dict[str, Callable] = {}
+
+
+def _worker_encoder(digest: str, make_encoder: Callable) -> Callable:
+    """The encoder of a factory; a Python worker makes it once and keeps it from task to task."""
+    if digest not in _encoders:
+        # A worker serves one encoder at a time, as they may be large.
+        _encoders.clear()
+        _encoders[digest] = make_encoder()
+    return _encoders[digest]
+
+
+def _calls(contents: pa.Array, limit: int) -> Iterator[slice]:
+    """Stretches of contents of about ``limit`` bytes together, one item at least."""
+    if not (pa.types.is_string(contents.type) or pa.types.is_binary(contents.type)):
+        yield slice(0, len(contents))
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(contents), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(contents):
+        done = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
+        yield slice(at, end)
+        at = end
+
+
 def embed(
     df: DataFrame,
     id_col: str,
     content_col: str,
     make_encoder: Callable[[], Callable[[Sequence], np.ndarray]],
+    *,
+    call_bytes: int = CALL_BYTES,
 ) -> DataFrame:
     """``(id, embedding)`` from a user-supplied encoder, normalized.
 
-    ``make_encoder`` runs once per task and returns a function from a batch of contents to
-    a matrix with one row each; the batch size is Spark's Arrow batch size.
+    ``make_encoder`` returns a function from a batch of contents to a matrix with one row each.
+    It runs once per Python worker, whatever the number of tasks; factories are told apart by
+    what they are pickled to.  A batch has about ``call_bytes`` of text or bytes.
     """
+    digest = hashlib.sha256(cloudpickle.dumps(make_encoder)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make_encoder()
+        encode = _worker_encoder(digest, make_encoder)
         for batch in batches:
-            matrix = np.asarray(encode(batch.column(1).to_pylist()), dtype=np.float64)
-            if matrix.ndim != 2 or len(matrix) != batch.num_rows:
-                raise ValueError("the encoder must return one vector per item")
-            vectors = to_lists(unit_rows(matrix)).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], [id_col, "embedding"])
+            for some in _calls(batch.column(1), call_bytes):
+                part = batch.slice(some.start, some.stop - some.start)
+                matrix = np.asarray(encode(part.column(1).to_pylist()), dtype=np.float64)
+                if matrix.ndim != 2 or len(matrix) != part.num_rows:
+                    raise ValueError("the encoder must return one vector per item")
+                vectors = to_lists(unit_rows(matrix)).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], [id_col, "embedding"])
 
     id_type = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, content_col).mapInArrow(run, f"`{id_col}` {id_type}, embedding array<float>")

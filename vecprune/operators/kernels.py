@@ -56,10 +56,3 @@ def best_earlier(vectors: np.ndarray, pos: np.ndarray) -> np.ndarray:
     out[order] = best
     return out
 
-
-def best_against(late: np.ndarray, early: np.ndarray) -> np.ndarray:
-    """Per row of ``late``, the largest product with any row of ``early``, at least 0."""
-    best = np.zeros(len(late))
-    for lo in range(0, len(late), STRIPE):
-        best[lo : lo + STRIPE] = np.maximum((late[lo : lo + STRIPE] @ early.T).max(axis=1), 0.0)
-    return best

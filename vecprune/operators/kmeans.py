@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecprune.functions.hashing import seeded_hash
 from vecprune.functions.vectors import as_double, l2_normalize, squared_norm
-from vecprune.operators.assign import assign
+from vecprune.operators.assign import CENTROID_BYTES, assign
+from vecprune.operators.bounds import Round, bounded_rounds
+from vecprune.operators.kernels import to_lists, to_matrix, unit_rows
 from vecprune.operators.sums import vector_sums
-from vecprune.staging import drop_stage, stage_table, table_exists
+from vecprune.staging import drop_stage, load_or_save, stage_table
 
 HASH_STEPS = 10**12
 
@@ -94,18 +97,52 @@ def lloyd(
     spherical: bool = True,
     *,
     vec_col: str = "embedding",
+    limit_bytes: int = CENTROID_BYTES,
+    report: Callable[[Round], None] | None = None,
 ) -> DataFrame:
     """``niter`` rounds of assign-and-average from the given centroids, without any random
-    choice.  A cluster that loses all its items keeps its old centroid."""
+    choice.  A cluster that loses all its items keeps its old centroid.
+
+    Bounds on distances spare products that cannot matter (``bounds``); ``report`` is told how
+    many.  Centroids beyond ``limit_bytes`` are searched block by block without bounds.
+    """
+    number, dim = init.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
+    if number == 0 or niter == 0:
+        return init.select("cluster_id", "centroid")
+    if number * dim * 8 > limit_bytes:
+        return searched_rounds(df, init, niter, spherical, vec_col=vec_col, limit_bytes=limit_bytes)
+    table = init.select("cluster_id", as_double("centroid").alias("centroid")).toArrow()
+    table = table.sort_by("cluster_id").combine_chunks()
+    matrix = to_matrix(table.column("centroid"))
+    ids = table.column("cluster_id").to_numpy()
+    start = unit_rows(matrix) if spherical else matrix
+    vectors = df.select(F.col(vec_col).alias("vec"))
+    found, kept = bounded_rounds(vectors, ids, start, niter, spherical, report)
+    # A centroid that no item has ever joined is the given one.
+    found[kept] = matrix[kept]
+    made = pa.table({"cluster_id": table.column("cluster_id"), "centroid": pa.chunked_array([to_lists(found)])})
+    return stage_table(df.sparkSession.createDataFrame(made), "centroids")
+
+
+def searched_rounds(
+    df: DataFrame,
+    init: DataFrame,
+    niter: int,
+    spherical: bool = True,
+    *,
+    vec_col: str = "embedding",
+    limit_bytes: int = CENTROID_BYTES,
+) -> DataFrame:
+    """The same rounds by a search through all centroids."""
     metric = "cosine" if spherical else "l2"
     vectors = df.select(F.col(vec_col))
     if spherical:
-        vectors = vectors.where(squared_norm(vec_col) > 0.0)
+        vectors = stage_table(vectors.where(squared_norm(vec_col) > 0.0), "vectors")
     cents = init.select("cluster_id", "centroid")
     for done in range(niter):
         before = cents
-        moved = mean_centroids(assign(vectors, cents, metric, vec_col=vec_col), spherical, vec_col=vec_col)
-        moved = moved.withColumnRenamed("centroid", "_moved")
+        near = assign(vectors, cents, metric, vec_col=vec_col, limit_bytes=limit_bytes)
+        moved = mean_centroids(near, spherical, vec_col=vec_col).withColumnRenamed("centroid", "_moved")
         cents = stage_table(
             cents.join(moved, "cluster_id", "left").select(
                 "cluster_id", F.coalesce("_moved", as_double("centroid")).alias("centroid")
@@ -118,8 +155,7 @@ def lloyd(
 
 
 def load_or_fit(path: str, df: DataFrame, fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The centroids saved at ``path``; trained by ``fit(df)`` and saved if there are none."""
-    spark = df.sparkSession
-    if not table_exists(spark, path):
-        fit(df).write.parquet(path)
-    return spark.read.parquet(path)
+    """The centroids saved at ``path``; trained by ``fit(df)`` and saved if there are none.
+
+    A save that died half-way is no table: training starts again and takes its place."""
+    return load_or_save(df.sparkSession, path, lambda: fit(df))

@@ -10,7 +10,8 @@ blocks:
    to be above every threshold).  As long as at least half of the open rows get settled,
    the open rows of a cluster are packed together and compared again.  A flood of copies
    melts by about the block size in every round, so it never costs n² products.
-3. The open rows that are left meet the earlier blocks of their cluster.  Where only flags are
+3. The open rows that are left meet the earlier blocks of their cluster, which stream past
+   them (``pairs``).  Where only flags are
    wanted and the rows know their angle to a common pivot (the centroid), pairs of blocks whose
    angles are too far apart for any duplicate are left out: the angle between two vectors is
    at least the difference of their angles to a third.  In the order of the distance to the
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from vecprune.functions.names import eps_column
 from vecprune.operators.joins import join_on_keys
-from vecprune.operators.kernels import best_against, best_earlier, to_matrix, unit_rows
+from vecprune.operators.kernels import best_earlier, to_matrix, unit_rows
 from vecprune.operators.ordinal import largest_group
+from vecprune.operators.pairs import HELD, STREAMED, ddl_of, earlier_in_tiles, tile_name
 from vecprune.options import check_eps
 from vecprune.staging import stage_table
 
@@ -72,29 +74,6 @@ def _compare_inside(keep: list[str], normalize: bool, settle_at: float | None):
     return run
 
 
-def _compare_across(keep: list[str], normalize: bool):
-    """Compare the open rows of a pack with one earlier block."""
-
-    def run(table: pa.Table) -> pa.Table:
-        late = table["_late"].to_numpy(zero_copy_only=False).astype(bool)
-        vectors = to_matrix(table["_vec"])
-        if normalize:
-            vectors = unit_rows(vectors)
-        out = table.filter(pa.array(late)).select(keep)
-        if late.all() or not late.any():
-            best = np.zeros(out.num_rows)
-        else:
-            best = best_against(vectors[late], vectors[~late])
-        return out.append_column("_best", pa.array(best))
-
-    return run
-
-
-def _ddl(df: DataFrame, names: Sequence[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"`{n}` {types[n]}" for n in names)
-
-
 def _packs(blocks: DataFrame, open_rows: DataFrame, keys: list[str], block: int) -> DataFrame:
     """Per block: how many open rows lie before it and in it, and the pack they go to.
 
@@ -164,7 +143,7 @@ def max_earlier_sim(
     if largest <= block:
         whole = _compare_inside(narrow, normalize, None)
         return finish(
-            rows.groupBy(*keys).applyInArrow(whole, _ddl(rows, narrow) + ", _best double")
+            rows.groupBy(*keys).applyInArrow(whole, ddl_of(rows, narrow) + ", _best double")
         )
 
     # 1. Blocks against themselves.
@@ -172,7 +151,7 @@ def max_earlier_sim(
     carried = [*narrow, "_blk"]
     inside = _compare_inside(carried, normalize, settle_at)
     state_ddl = (
-        f"{_ddl(base, carried)}, _best double, _open boolean, {_ddl(base, ['_vec'])}"
+        f"{ddl_of(base, carried)}, _best double, _open boolean, {ddl_of(base, ['_vec'])}"
     )
     state = stage_table(base.groupBy(*keys, "_blk").applyInArrow(inside, state_ddl), "inside")
     result = [*narrow, "_best"]
@@ -213,22 +192,21 @@ def max_earlier_sim(
     gap = F.greatest(F.col("_pack_near") - F.col("_far"), F.col("_near") - F.col("_pack_far"))
     pairs = join_on_keys(ranges, pack_ranges, keys).where((F.col("_blk") < F.col("_last_blk")) & (gap <= reach))
     pairs = stage_table(pairs.select(*keys, F.col("_blk").alias("_early_blk"), "_pack"), "pairs")
-    late = (
-        join_on_keys(
-            join_on_keys(open_rows, packs.select(*keys, "_blk", "_pack"), [*keys, "_blk"]), pairs, [*keys, "_pack"]
-        )
-        .where("_early_blk < _blk")
-        .select(*narrow, "_vec", "_early_blk", "_pack", F.lit(True).alias("_late"))
-    )
-    early = join_on_keys(
-        base.withColumnRenamed("_blk", "_early_blk"), pairs, [*keys, "_early_blk"]
-    ).select(*narrow, "_vec", "_early_blk", "_pack", F.lit(False).alias("_late"))
-    across = _compare_across(narrow, normalize)
-    partial = (
-        late.unionByName(early)
-        .groupBy(*keys, "_early_blk", "_pack")
-        .applyInArrow(across, _ddl(rows, narrow) + ", _best double")
-    )
+    # Neighbouring packs are held together, unless the angles have chosen among their blocks.
+    together = 1 if prune_pairs else HELD
+    pairs = pairs.withColumn("_group", F.expr(f"_pack div {together}"))
+    tiles = pairs.withColumn("_stretch", F.expr(f"_early_blk div {STREAMED}"))
+    name = tile_name(*keys, "_group", "_stretch").alias("_tile")
+    columns = [*narrow, "_vec"]
+    packed = join_on_keys(open_rows, packs.select(*keys, "_blk", "_pack"), [*keys, "_blk"])
+    packed = packed.withColumn("_group", F.expr(f"_pack div {together}"))
+    # A pack meets a stretch of earlier blocks if any of them can matter to it.
+    late = join_on_keys(packed, tiles.select(*keys, "_pack", "_stretch").distinct(), [*keys, "_pack"])
+    late = late.select(*columns, F.lit(True).alias("_held"), name)
+    early_blocks = tiles.select(*keys, F.col("_early_blk").alias("_blk"), "_group", "_stretch").distinct()
+    early = join_on_keys(base, early_blocks, [*keys, "_blk"]).select(*columns, F.lit(False).alias("_held"), name)
+    dealt = late.unionByName(early).repartition("_tile").sortWithinPartitions("_tile", F.desc("_held"))
+    partial = dealt.mapInArrow(earlier_in_tiles(narrow, normalize), ddl_of(rows, narrow) + ", _best double")
     compared = (
         partial.unionByName(open_rows.select(*result))
         .groupBy(*narrow)

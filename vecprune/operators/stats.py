@@ -21,8 +21,9 @@ from vecprune.functions.names import eps_column
 from vecprune.functions.vectors import as_double, dot, l2_normalize, squared_norm
 from vecprune.operators.assign import CENTROID_BYTES
 from vecprune.operators.joins import join_on_keys
-from vecprune.operators.kernels import STRIPE, to_matrix, unit_rows
+from vecprune.operators.kernels import to_matrix, unit_rows
 from vecprune.operators.ordinal import largest_group
+from vecprune.operators.pairs import pair_stats
 from vecprune.operators.prune import BLOCK
 from vecprune.operators.rank import with_group_size
 from vecprune.operators.sums import vector_sums
@@ -53,31 +54,6 @@ def avg_sim_to_others(
     return join_on_keys(unit, side, keys).withColumn("avg_sim_to_others", others).drop("_u", "_sum", "_n")
 
 
-def _extremes(keep: list[str], normalize: bool):
-    def run(table: pa.Table) -> pa.Table:
-        x = to_matrix(table["_vec"])
-        if normalize:
-            x = unit_rows(x)
-        left = table["_left"].to_numpy(zero_copy_only=False).astype(bool)
-        right = table["_right"].to_numpy(zero_copy_only=False).astype(bool)
-        ids = np.arange(len(x))
-        high, low = np.zeros(len(x)), np.zeros(len(x))
-        columns = ids[right]
-        for lo in range(0, int(left.sum()), STRIPE):
-            lines = ids[left][lo : lo + STRIPE]
-            sims = x[lines] @ x[columns].T
-            sims[lines[:, None] == columns[None, :]] = 0.0
-            if len(columns):
-                high[lines] = np.maximum(high[lines], sims.max(axis=1))
-                low[lines] = np.minimum(low[lines], sims.min(axis=1))
-                high[columns] = np.maximum(high[columns], sims.max(axis=0))
-                low[columns] = np.minimum(low[columns], sims.min(axis=0))
-        out = table.select(keep)
-        return out.append_column("_max", pa.array(high)).append_column("_min", pa.array(low))
-
-    return run
-
-
 def extreme_sims(
     df: DataFrame,
     *,
@@ -92,8 +68,8 @@ def extreme_sims(
     The zero diagonal counts, so the maximum is at least and the minimum at most 0; both
     are NULL for an item that is alone.
 
-    Rows are salted into blocks of about ``block`` rows by a hash of the id, and each pair
-    of blocks of a group is one task group.  If some group exceeds a block, exact copies
+    Rows are salted into blocks of about ``block`` rows by a hash of the id, whose pairs go
+    through tasks in tiles.  If some group exceeds a block, exact copies
     are compared once, whatever their number.
     """
     keys = list(keys)
@@ -101,7 +77,7 @@ def extreme_sims(
     if largest is None:
         largest = largest_group(df, keys)
     if largest <= block:
-        extremes = _extremes_of(rows, keys, id_col, block, normalize)
+        extremes = _extremes_of(rows, keys, id_col, block, normalize, largest)
         return extremes.select(*keys, id_col, *_high_and_low(F.col("_n") == 1, None))
 
     # The copies are counted where they lie, before the vectors are shuffled; two hashes stand
@@ -117,7 +93,7 @@ def extreme_sims(
     clash = F.raise_error(F.lit("two vectors share their 128-bit hash"))
     one = F.when(F.col("_vec").eqNullSafe(F.col("_top")), F.col("_vec")).otherwise(clash)
     distinct = stage_table(grouped.withColumn("_vec", one).drop("_top"), "distinct")
-    extremes = _extremes_of(distinct.drop("_copies", "_print", "_print2"), keys, id_col, block, normalize)
+    extremes = _extremes_of(distinct.drop("_copies", "_print", "_print2"), keys, id_col, block, normalize, largest)
     length = squared_norm(l2_normalize("_vec") if normalize else as_double("_vec")).alias("_own")
     narrow = distinct.select(*same, id_col, "_copies", length)
     found = join_on_keys(narrow, extremes, [*keys, id_col]).drop(id_col)
@@ -137,28 +113,18 @@ def _high_and_low(alone: Column, among_copies: Column | None) -> list[Column]:
 
 
 def _extremes_of(
-    rows: DataFrame, keys: list[str], id_col: str, block: int, normalize: bool
+    rows: DataFrame, keys: list[str], id_col: str, block: int, normalize: bool, largest: int
 ) -> DataFrame:
-    """``(keys, id, _n, _max, _min)`` over all pairs of blocks of each group."""
-    sized = with_group_size(rows, keys, "_n").withColumn(
-        "_nb", F.expr(f"(_n + {block} - 1) div {block}")
-    )
-    salted = sized.withColumn("_blk", seeded_hash(0, id_col) % F.col("_nb"))
-    pairs = salted.withColumn("_other", F.explode(F.expr("sequence(0L, _nb - 1)"))).select(
-        *keys,
-        id_col,
-        "_n",
-        "_vec",
-        F.least("_blk", "_other").alias("_bi"),
-        F.greatest("_blk", "_other").alias("_bj"),
-        (F.col("_blk") <= F.col("_other")).alias("_left"),
-        (F.col("_blk") >= F.col("_other")).alias("_right"),
+    """``(keys, id, _n, _max, _min)`` over all pairs of each group."""
+    sized = with_group_size(rows, keys, "_n")
+    sized = sized.withColumn("_nb", F.expr(f"(_n + {block} - 1) div {block}"))
+    # Without an order, a row's number only tells it from others.
+    placed = sized.withColumn("_blk", seeded_hash(0, id_col) % F.col("_nb")).withColumn(
+        "_pos", F.monotonically_increasing_id()
     )
-    keep = [*keys, id_col, "_n"]
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", _max double, _min double"
-    partial = pairs.groupBy(*keys, "_bi", "_bj").applyInArrow(_extremes(keep, normalize), ddl)
-    return partial.groupBy(*keep).agg(F.max("_max").alias("_max"), F.min("_min").alias("_min"))
+    placed = stage_table(placed, "placed") if largest > block else placed
+    found = pair_stats(placed, [*keys, "_n"], id_col, largest, block, normalize)
+    return found.drop("_best")
 
 
 def _moments(keys: list[str], normalize: bool):

@@ -16,6 +16,7 @@ from vecprune.operators import encode, evaluate, gather, manifest, prune, rank,
 from vecprune.operators.assign import assign, dist_to_centroid, join_centroids, load_or_assign
 from vecprune.operators.kmeans import fit_kmeans, lloyd, load_or_fit, mean_centroids
 from vecprune.operators.ordinal import largest_group
+from vecprune.operators.select import eps_for_kept as eps_of_fractions
 from vecprune.operators.validate import repeated_keys, split_valid
 from vecprune.options import DedupOptions
 from vecprune.plans.dedup import (
@@ -25,13 +26,14 @@ from vecprune.plans.dedup import (
     ordered_clusters,
     prune_clusters,
 )
-from vecprune.plans.reports import cluster_report, prune_report
+from vecprune.plans.reports import cluster_report, prune_report, write_report
 from vecprune.session import ship_package
-from vecprune.sources import readers, writers
+from vecprune.sources import raw, readers, writers
 from vecprune.staging import stage_path, stage_table
 
 EPS = (0.5, 0.6, 0.7)
 DOC_EPS = (0.03, 0.05)
+KEPT_FRACTIONS = (0.0, 0.1, 0.5, 0.9, 0.999)
 SEED = 1234
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,6 +550,31 @@ def prune_report_items(spark, sf_dir):
     )
 
 
+@query
+def report_resumed(spark, sf_dir):
+    """A report that was stopped after some of its clusters and goes on with the others."""
+    path = stage_path(spark, "report")
+    ordered = _ordered(spark, sf_dir)
+    write_report(ordered.where("cluster_id % 3 = 0"), path, EPS, block=16)
+    items = write_report(ordered, path, EPS, block=16, ranges=2)["items"]
+    return items.select(
+        "item_id",
+        "cluster_id",
+        names.eps_column(0.7),
+        _r("avg_sim_to_others").alias("avg_sim"),
+        _r("max_sim").alias("max_sim"),
+        _r("min_sim").alias("min_sim"),
+    )
+
+
+@query
+def eps_for_kept(spark, sf_dir):
+    """The eps that keeps a wanted share of the items."""
+    sims = stage_table(prune.max_earlier_sim(_ordered(spark, sf_dir)), "sims")
+    found = eps_of_fractions(sims, KEPT_FRACTIONS)
+    return found.select("fraction", _r("eps").alias("eps"))
+
+
 @query
 def prune_report_clusters_in_parts(spark, sf_dir):
     """Statistics of clusters cut into parts: the spread is the mean over the parts."""
@@ -766,6 +793,26 @@ def written_dataset(spark, sf_dir):
     return rows.select("page_id", "url", F.md5("html").alias("payload"))
 
 
+@query
+def raw_matrix(spark, sf_dir):
+    """Vectors written by tasks as headerless files, and read back by row number."""
+    path = stage_path(spark, "raw")
+    members = _members(spark, sf_dir)
+    raw.write_raw(members, path, "item_id", "embedding")
+    dim = members.agg(F.max(F.size("embedding"))).first()[0]
+    return _elements(readers.read_raw_matrix(spark, path, dim), "item_id", "embedding")
+
+
+@query
+def raw_keys(spark, sf_dir):
+    """The same for keys of a fixed width."""
+    path = stage_path(spark, "raw-keys")
+    key = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("-é"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", key.alias("path"))
+    raw.write_raw(docs.where("path IS NOT NULL"), path, "doc_id", "path", names.STORED_KEY_WIDTH)
+    return readers.read_raw_keys(spark, path)
+
+
 @query
 def written_clusters(spark, sf_dir):
     path = stage_path(spark, "clusters")

@@ -26,6 +26,9 @@ from vecprune.options import DedupOptions
 from vecprune.staging import stage_table
 
 
+INT_TYPES = ("tinyint", "smallint", "int")
+
+
 class Outcome(NamedTuple):
     """Rows of a job, and its rejects with a ``reason``."""
 
@@ -74,7 +77,7 @@ def number_clusters(df: DataFrame, cluster_col: str) -> DataFrame:
     INT keys are taken as they are, other keys are numbered in their order, so that no two of
     them meet.  NULL stays NULL.
     """
-    if df.schema[cluster_col].dataType.simpleString() in ("tinyint", "smallint", "int"):
+    if df.schema[cluster_col].dataType.simpleString() in INT_TYPES:
         return df.withColumn("cluster_id", F.col(cluster_col).cast("int"))
     keys = df.select(F.col(cluster_col).alias("_key")).where("_key IS NOT NULL").distinct()
     numbered = stage_table(ordinal(stage_table(keys, "keys"), [F.col("_key").asc()], name="_no"), "numbers")
@@ -100,15 +103,24 @@ def dedup_given_clusters(
     dim: int | None = None,
 ) -> Outcome:
     """Pruning table of rows ``(item_id, <cluster_col>, embedding)``, and the rejects; the
-    centroids default to the means of the clusters.  Keys that are no INT are numbered."""
-    columns = dict.fromkeys(["item_id", cluster_col, "embedding"])
-    numbered = number_clusters(df.select(*columns), cluster_col)
+    centroids default to the means of the clusters.  Keys that are no INT are numbered within
+    the job and come back as ``cluster_key``."""
+    rows = df.select("item_id", F.col(cluster_col).alias("cluster_key"), "embedding")
+    numbered = number_clusters(rows, "cluster_key")
+    named = df.schema[cluster_col].dataType.simpleString() not in INT_TYPES
+    if named:
+        # Read twice: for the job, and for the keys of its result.
+        numbered = stage_table(numbered, "numbered")
+        keys = numbered.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.first("cluster_key").alias("cluster_key"))
+    else:
+        numbered = numbered.drop("cluster_key")
     usable, rejects = with_rejects(numbered, dim=dim)
     members = usable.select("item_id", "cluster_id", "embedding")
     if centroids is None:
         centroids = stage_table(mean_centroids(members, options.spherical), "centroids")
     measured = dist_to_centroid(members, centroids, options.metric, spherical=options.spherical)
-    return Outcome(prune_clusters(measured, options), rejects)
+    pruned = prune_clusters(measured, options)
+    return Outcome(join_on_keys(pruned, keys, ["cluster_id"]) if named else pruned, rejects)
 
 
 def cluster_items(items: DataFrame, options: DedupOptions, centroids: DataFrame | None = None) -> DataFrame:

@@ -441,6 +441,20 @@ others AS (
 SELECT item_id, cluster_id, m > 1 - 0.7::DOUBLE AS eps_0_7, {_r("mean")} AS avg_sim,
        {_r("high")} AS max_sim, {_r("low")} AS min_sim
 FROM sims LEFT JOIN others USING (item_id)""",
+    "eps_for_kept": f"""WITH {_sims()},
+in_order AS (SELECT list_sort(list(m)) AS l, count(*) AS n FROM sims),
+wanted AS (SELECT unnest([0.0, 0.1, 0.5, 0.9, 0.999]::DOUBLE[]) AS fraction),
+chosen AS (
+  SELECT fraction, CASE WHEN fraction = 0 THEN 0 ELSE l[CAST(ceil(fraction * n - 1e-9) AS BIGINT)] END AS s
+  FROM wanted, in_order)
+SELECT fraction, CASE WHEN s < 1 - 1e-12 THEN {_r("least(1.0::DOUBLE, 1 - s)")} END AS eps FROM chosen""",
+    "raw_matrix": f"""WITH {_ITEMS},
+numbered AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_id, e FROM raw)
+SELECT item_id, i - 1 AS i, {_r("x")} AS value FROM (
+  SELECT item_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM numbered)""",
+    "raw_keys": """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS item_id, lang || '/' || doc_id || '-é' AS path
+FROM documents WHERE lang IS NOT NULL""",
     "prune_report_clusters_in_parts": f"""WITH {_PARTS},
 spread AS ({_std("parts", "cluster_id, part")}),
 per_cluster AS (
@@ -576,5 +590,6 @@ removed AS (
 SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT item_id FROM removed)""",
 }
 ORACLE["written_item_stats"] = ORACLE["prune_report_items"]
+ORACLE["report_resumed"] = ORACLE["prune_report_items"]
 ORACLE["written_summary"] = ORACLE["size_summary_with_empty"]
 ORACLE["written_histogram"] = ORACLE["size_histogram"]

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecprune.functions.names import STORED_KEY_WIDTH, decode_key
-from vecprune.operators.kernels import to_lists
 from vecprune.operators.ordinal import ordinal
 from vecprune.operators.validate import reject_reason
+from vecprune.sources.raw import read_raw_keys, read_raw_matrix  # noqa: F401  (part of the readers)
 
 # Column names that hold the image and the item id.
 IMAGE_COLUMNS = ("image", "img", "pixel_values")
 IMAGE_PARTS = ("image", "img")
 ID_COLUMNS = ("index", "idx", "id")
-# Bytes of records that a row of a raw file holds on the way to Arrow.
-BLOCK_BYTES = 1 << 20
 
 
 def read_embeddings(
@@ -51,63 +45,6 @@ def spread_scan(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def _record_blocks(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Fixed-width records of a headerless file as blocks ``(first, raw)``: the number of the
-    first record and the bytes of it and the ones after it.
-
-    Spark splits the file at record boundaries and gives each record its number, so there is
-    no pass to count them.
-    """
-    records = spark.sparkContext.newAPIHadoopFile(
-        path,
-        "org.apache.spark.input.FixedLengthBinaryInputFormat",
-        "org.apache.hadoop.io.LongWritable",
-        "org.apache.hadoop.io.BytesWritable",
-        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(width)},
-    )
-    per_block = max(1, BLOCK_BYTES // width)
-
-    def blocks(rows):
-        # The records of a split are consecutive.
-        for block in itertools.batched(rows, per_block):
-            yield block[0][0], b"".join([raw for _, raw in block])
-
-    return spark.createDataFrame(records.mapPartitions(blocks), "first bigint, raw binary")
-
-
-def _read_records(spark: SparkSession, path: str, width: int, schema: str, decode) -> DataFrame:
-    """``item_id`` and what ``decode`` makes of the bytes of a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, raw in zip(batch.column("first").to_pylist(), batch.column("raw").to_pylist()):
-                ids = pa.array(np.arange(first, first + len(raw) // width))
-                yield pa.RecordBatch.from_arrays([ids, decode(raw)], names=["item_id", "value"])
-
-    return _record_blocks(spark, path, width).mapInArrow(run, f"item_id bigint, value {schema}")
-
-
-def read_raw_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Headerless row-major float32 file as ``(item_id, embedding)``; the id is the row
-    number."""
-
-    def decode(raw: bytes) -> pa.Array:
-        return to_lists(np.frombuffer(raw, dtype="<f4").reshape(-1, dim))
-
-    return _read_records(spark, path, 4 * dim, "array<float>", decode).withColumnRenamed("value", "embedding")
-
-
-def read_raw_keys(spark: SparkSession, path: str, width: int = STORED_KEY_WIDTH) -> DataFrame:
-    """Headerless file of fixed-width, NUL-padded keys as ``(item_id, path)``."""
-
-    def decode(raw: bytes) -> pa.Array:
-        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(raw) // width, [None, pa.py_buffer(raw)])
-        return fixed.cast(pa.binary())
-
-    records = _read_records(spark, path, width, "binary", decode)
-    return records.select("item_id", decode_key("value").alias("path"))
-
-
 def _split_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the splits, from the listing of the folder alone."""
     jvm = spark._jvm

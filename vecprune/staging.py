@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,3 +97,39 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     return marker.getFileSystem(conf).exists(marker)
+
+
+SIDE = ".unfinished-"
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` so that ``path`` is there as a whole or not at all.
+
+    The rows go to a folder beside it, which gets the name when it is finished.  What died runs
+    have left, beside ``path`` or without a commit marker in its place, is deleted; so no two
+    runs should save to one path at a time.  If another one has finished, its table stays.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    parent = target.getParent()
+    if files.exists(parent):
+        for entry in files.listStatus(parent):
+            if entry.getPath().getName().startswith(target.getName() + SIDE):
+                files.delete(entry.getPath(), True)
+    side = f"{path.rstrip('/')}{SIDE}{uuid.uuid4().hex}"
+    df.write.parquet(side)
+    if table_exists(spark, path):
+        _delete(spark, side)
+        return
+    files.delete(target, True)
+    if not files.rename(jvm.org.apache.hadoop.fs.Path(side), target):
+        raise OSError(f"{side} could not be renamed to {path}")
+
+
+def load_or_save(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table saved at ``path``; made and saved there if there is none that is finished."""
+    if not table_exists(spark, path):
+        save_table(make(), path)
+    return spark.read.parquet(path)
