@@ -12,6 +12,7 @@ import tiktoken
 from conftest import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import compare
 from vecprune.llm import anchors, attention, decontaminate, langid, lm, pii, quotes, repeats, simhash, suffix, text
@@ -432,3 +433,91 @@ def test_quotes_run_no_python(spark):
     messages = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
     plan = quotes.link_quotes(messages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# -- repeated rows, long and periodic texts ----------------------------------------------
+
+
+@pytest.mark.parametrize("module", [suffix, anchors])
+def test_repeated_rows_have_their_spans_once(spark, module):
+    """Rows with NULL and with equal ids: spans grow with the rows, not with their square."""
+    text = prose(50, 450)
+    rows = [(None, text)] * 400 + [(3, text)] * 400 + [(None, prose(51, 60)), (4, text + " " + prose(52, 500))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = module.removals(docs).select("id", F.size("spans").alias("n"), F.col("spans")).collect()
+    assert len(found) == len(rows)
+    copies = [r for r in found if (r.n or 0) > 0]
+    assert len(copies) == 801 and max(r.n for r in copies) < 200
+    size = len(text.encode()) if module is suffix else 450
+    assert {repeats.merged([s.asDict() for s in r.spans])[0] for r in copies} == {(0, size)}
+
+
+@pytest.mark.parametrize("module", [suffix, anchors])
+def test_long_texts_are_cut_in_segments(spark, module):
+    """Texts far longer than a segment, with repeats across its ends, and one of a single symbol."""
+    small = 700
+    body = prose(60, 3000)
+    rows = [(1, body), (2, prose(61, 20) + " " + body[2000:9000] + prose(62, 90)), (3, "ab " * 3000), (4, "a" * 9000)]
+    rows += [(5, "ab " * 2000 + "c"), (6, prose(63, 2000))]
+    kind = module.kind()
+    data, docs = [t.encode() for _, t in rows], spark.createDataFrame(rows, "doc_id long, text string")
+    symbols = [list(d) if module is suffix else d.split() for d in data]
+    for (i, _), d, mine in zip(rows, data, symbols):
+        at = 0
+        starts = max(0, len(mine) - kind.window + 1)
+        for piece, before, n in kind.segments(d, small, kind.window):
+            inside = list(piece) if module is suffix else piece.split()
+            assert before == at and inside == mine[before : before + len(inside)]
+            assert len(inside) >= min(n + kind.window - 1, len(mine) - before)
+            at += n
+        assert at >= starts
+    want = brute.repeated([tuple(s) for s in symbols], kind.window)
+    got = {r.id: repeats.merged([s.asDict() for s in r.spans or ()]) for r in module.removals(docs).collect()}
+    for (i, _), gone in zip(rows, want):
+        mine = np.zeros(len(gone), bool)
+        for a, b in got[i]:
+            mine[a:b] = True
+        assert mine.tolist() == gone
+
+
+@pytest.mark.parametrize("module", [suffix, anchors])
+def test_passage_across_a_segment_end(spark, module):
+    """A text of several segments that shares one passage with another, where a segment ends."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{rng.randrange(10**9)}" for _ in range(120)) + " "
+    words = [f"{rng.randrange(10**9)}" for _ in range(600_000)]
+    body = " ".join(words) + " "
+    assert len(body) > 2 * repeats.SEGMENT
+    at = body.rindex(" ", 0, repeats.SEGMENT) + 1 - len(passage) // 2
+    at = body.index(" ", at) + 1
+    rows = [(1, body[:at] + passage + body[at:]), (2, "x " + passage + "y")]
+    found = module.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.id: repeats.merged([s.asDict() for s in r.spans]) for r in found}
+    if module is anchors:
+        before = len(body[:at].split())
+        assert got == {1: [(before, before + 120)], 2: [(1, 121)]}
+    else:
+        # A blank more on the left belongs to both.
+        assert got == {1: [(at - 1, at + len(passage))], 2: [(1, 2 + len(passage))]}
+
+
+def test_one_repeated_byte_makes_few_slices():
+    column = pa.array([b"a" * 1_000_000], pa.binary())
+    found = repeats.slices(*suffix._symbols(column), suffix.WINDOW, suffix.GRAM)
+    assert len(found["n"]) < 1_000_000 / 400 and found["n"].sum() == 1_000_000 - 399
+    assert len(set(zip(found["owner"].tolist(), found["content"].tolist()))) <= 2
+
+
+def test_longest_factors():
+    rng = np.random.default_rng(1)
+    for t in range(40):
+        most, k = int(rng.integers(1, 40)), int(rng.integers(1, 4))
+        numbers = rng.integers(0, k, int(rng.integers(most, 120))).astype(np.uint8)
+        start = np.arange(len(numbers) - most + 1)[rng.random(len(numbers) - most + 1) < 0.8]
+        earlier, further = suffix.longest_factors(numbers, start, most)
+        for n, i in enumerate(start):
+            best = [0, 0]
+            for j in start[start != i]:
+                same = numbers[i : i + most] == numbers[j : j + most]
+                best[int(j > i)] = max(best[int(j > i)], int(np.argmin(same)) if not same.all() else most)
+            assert [earlier[n], further[n]] == best

@@ -15,6 +15,7 @@ part.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from vecprune.llm.text import Words, chunks, covered, prefix_hash, repeats
 
 WINDOW = 35
 GRAM = 8
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +36,24 @@ def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return prefix_hash(words.hash), words.first
 
 
+def word_segments(data: bytes, size: int, window: int) -> Iterator[tuple[bytes, int, int]]:
+    """Pieces of a long text that end between words and overlap by a window."""
+    low = before = 0
+    while low < len(data):
+        gap = _GAP.search(data, low + size)
+        end = gap.start() if gap else len(data)
+        # So many words more that the last word of the piece can start a window.
+        reach = end
+        for _ in range(window - 1):
+            word = _WORD.search(data, reach)
+            if word is None:
+                break
+            reach = word.end()
+        starts = sum(1 for _ in _WORD.finditer(data, low, end))
+        yield data[low:reach], before, starts
+        low, before = end, before + starts
+
+
 def _cutter(text: str):
     words = text.encode().split()
     return lambda a, b: b" ".join(words[a:b])
@@ -66,7 +87,7 @@ def block_hits(numbers: np.ndarray, start: np.ndarray, window: int) -> tuple[np.
 
 
 def kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, 8, _symbols, _cutter, _numbers, block_hits)
+    return Kind(window, gram, 8, _symbols, word_segments, _cutter, _numbers, block_hits)
 
 
 def removals(

@@ -28,13 +28,17 @@ from pyspark.sql import functions as F
 
 from vecprune.llm.text import add_columns, chunks, text_bytes
 from vecprune.session import ship_package
+from vecprune.staging import stage_table
 
 DIM = 4096
 ORDERS = (2, 3)
 TRAIN_PER_LANGUAGE = 400
-MAX_LANGUAGES = 256
+# Labelled documents of all languages together: with very many languages each has fewer.
+TRAIN_ROWS = 102_400
+# A language whose code is in no family joins the one whose mean vector is as near as this.
+SAME_FAMILY = 0.8
 UNKNOWN = "und"
-# Families of common languages by their code; any other code is its own family.
+# Families of common languages by their code; others are learned.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
     "romance": "ca es fr gl it la oc pt ro",
@@ -64,9 +68,21 @@ def _fold() -> np.ndarray:
 _FOLD = _fold()
 
 
-def family_of(lang: str) -> str:
-    code = lang.lower().replace("_", "-").split("-")[0]
-    return _FAMILY_OF.get(code, lang)
+def families_of(langs: list[str], means: np.ndarray) -> list[str]:
+    """The family of each language: by its code, else learned from the mean vectors.
+
+    A language without a known code joins the family of the nearest language whose mean has a
+    cosine of ``SAME_FAMILY`` or more with its own, known ones first; else it begins one.
+    """
+    codes = [lang.lower().replace("_", "-").split("-")[0] for lang in langs]
+    family = [_FAMILY_OF.get(code) for code in codes]
+    unit = means / np.maximum(np.sqrt((means * means).sum(axis=1, keepdims=True)), 1e-12)
+    for i in [i for i, f in enumerate(family) if f is None]:
+        done = [j for j, f in enumerate(family) if f is not None]
+        near = unit[done] @ unit[i] if done else np.zeros(0)
+        joins = len(near) and near.max() >= SAME_FAMILY
+        family[i] = family[done[int(near.argmax())]] if joins else f"of {langs[i]}"
+    return family
 
 
 def has_letter(texts: pa.Array, folded: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -128,9 +144,9 @@ class Classifier:
     @staticmethod
     def fit(x: np.ndarray, lang: np.ndarray) -> Classifier:
         langs = sorted(set(lang.tolist()))
-        of = [family_of(name) for name in langs]
-        families = sorted(set(of))
         code = np.searchsorted(langs, lang)
+        of = families_of(langs, np.array([x[code == i].mean(axis=0) for i in range(len(langs))]))
+        families = sorted(set(of))
         family = np.searchsorted(families, np.array(of))[code]
         machines = [fit_machine(x, np.where(family == f, 1.0, -1.0)) for f in range(len(families))]
         members = [np.flatnonzero(np.array(of) == f) for f in families]
@@ -178,34 +194,32 @@ def fit(
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1)
-    if counts.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").count()
+    n_langs = counts.count()
+    if n_langs == 0:
+        return None
+    per_language = max(1, min(per_language, TRAIN_ROWS // n_langs))
     # Rows with a hash below a share of its range hold the smallest hashes of each language, and
     # only those, about four times the bound, are ranked: not a whole language in one task.
     near = rows.select("id", "lang", F.length("text").alias("size")).withColumn("hash", F.xxhash64("id", "size"))
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count"))
-    near = near.join(F.broadcast(counts), "lang").filter(F.pmod("hash", F.lit(1 << 32)) < share * (1 << 32))
+    near = near.join(F.broadcast(counts) if n_langs <= TRAIN_ROWS else counts, "lang").filter(F.pmod("hash", F.lit(1 << 32)) < share * (1 << 32))
     order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 32)), "hash", "id", "size")
     ranked = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language)
-    chosen = ranked.select("id", "lang", "size").toArrow()
-    if chosen.num_rows == 0:
-        return None
-    picked = labelled.sparkSession.sparkContext.broadcast(
-        set(zip(chosen.column("id").to_pylist(), chosen.column("lang").to_pylist()))
-    )
+    # At most TRAIN_ROWS rows; texts that were not chosen never reach Python.
+    chosen = stage_table(ranked.select(F.col("id").alias("of"), F.col("lang").alias("of_lang")), "langid-chosen")
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("lang") == F.col("of_lang"))
+    picked = rows.join(F.broadcast(chosen.distinct()), same, "left_semi")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist())
-            batch = batch.filter(pa.array([p in picked.value for p in pairs], pa.bool_()))
             for part in chunks(batch, "text"):
                 x, letter = vectors(part.column("text"))
                 made = add_columns(part, ["id", "lang"], x=pa.array(list(x.astype("<f4")), pa.list_(pa.float32())))
                 yield made.filter(pa.array(letter))
 
     kind = labelled.schema[id_col].dataType.simpleString()
-    made = rows.mapInArrow(kernel, f"id {kind}, lang string, x array<float>")
+    made = picked.mapInArrow(kernel, f"id {kind}, lang string, x array<float>")
     # Rows that repeat an id count once each, but no more of them than the bound.
     some = made.withColumn(
         "nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))

@@ -19,7 +19,8 @@ aggregated before the shuffle, so a passage that everybody quotes makes no pairs
 
 Defined results: a NULL text stays NULL and quotes nothing; a message whose conversation or turn
 is NULL is linked to nothing and is its own thread; rows with equal conversation and turn are
-ordered by role and text; an empty table gives an empty result; other columns play no part.
+ordered by role and text, and of two that say a passage the first by role and the text's digest
+is its original; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ def with_lines(messages: DataFrame) -> DataFrame:
     quoting = F.exists("marked", lambda x: x["level"] > 0)
     return (
         messages.withColumn("marked", marked)
+        # Of messages with one turn the first by role and text counts as the earlier one.
+        .withColumn("place", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.md5("text").alias("digest"), "uid"))
         .withColumn("quoting", F.coalesce(quoting, F.lit(False)))
         .withColumn("said", F.when(F.col("quoting"), F.regexp_replace(own, r"^\n+|\n+$", "")).otherwise(F.col("text")))
     )
@@ -85,11 +88,11 @@ def originals(lined: DataFrame, quoted: DataFrame) -> DataFrame:
     """The first message of a conversation that says something: ``conv_id, print, origin``."""
     here = lined.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
     units = F.concat(F.array("said"), F.split("said", r"\n[ \t]*\n"), F.split("said", "\n"))
-    said = here.select("uid", "conv_id", "turn", F.explode(units).alias("unit")).withColumn("unit", normalised(F.col("unit")))
+    said = here.select("place", "conv_id", "turn", F.explode(units).alias("unit")).withColumn("unit", normalised(F.col("unit")))
     return (
         said.filter("unit <> '' AND turn IS NOT NULL")
         .groupBy("conv_id", F.xxhash64("unit").alias("print"))
-        .agg(F.min(F.struct("turn", "uid")).alias("origin"))
+        .agg(F.min("place").alias("origin"))
     )
 
 
@@ -101,11 +104,11 @@ def line_originals(lined: DataFrame, rest: DataFrame) -> DataFrame:
     """
     wanted = stage_table(rest.select("conv_id", "lines").distinct(), "wanted-lines")
     here = lined.filter("turn IS NOT NULL").join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
-    said = here.select("conv_id", "turn", "uid", line_prints(F.split("said", "\n")).alias("own"))
+    said = here.select("conv_id", "place", "uid", line_prints(F.split("said", "\n")).alias("own"))
     said = stage_table(said.filter(F.size("own") > 1), "said-lines")
     # Every two lines that follow each other are a key; a passage is looked for by its rarest.
     keys = lambda column: F.expr(f"transform(sequence(1, size({column}) - 1), i -> xxhash64({column}[i - 1], {column}[i]))")
-    places = said.select("conv_id", "turn", "uid", F.posexplode(keys("own")).alias("at", "key"))
+    places = said.select("conv_id", "uid", F.posexplode(keys("own")).alias("at", "key"))
     asked = wanted.filter(F.size("lines") > 1).select("conv_id", "lines", F.posexplode(keys("lines")).alias("nth", "key"))
     counts = places.groupBy("conv_id", "key").agg(F.count("*").alias("n"))
     asked = asked.join(counts, ["conv_id", "key"], "left")
@@ -113,10 +116,10 @@ def line_originals(lined: DataFrame, rest: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "nth", "key")).alias("rarest")
     )
     best = best.filter("rarest.n > 0").select("conv_id", "lines", F.col("rarest.nth").alias("nth"), F.col("rarest.key").alias("key"))
-    met = best.join(places, ["conv_id", "key"]).select("conv_id", "lines", "turn", "uid", (F.col("at") - F.col("nth")).alias("start"))
-    met = met.filter("start >= 0").join(said.select("uid", "own"), "uid")
+    met = best.join(places, ["conv_id", "key"]).select("conv_id", "lines", "uid", (F.col("at") - F.col("nth")).alias("start"))
+    met = met.filter("start >= 0").join(said.select("uid", "place", "own"), "uid")
     met = met.filter(F.expr("slice(own, start + 1, size(lines)) = lines"))
-    return met.groupBy("conv_id", "lines").agg(F.min(F.struct("turn", "uid")).alias("of_lines"))
+    return met.groupBy("conv_id", "lines").agg(F.min("place").alias("of_lines"))
 
 
 def replies(lined: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def replies(lined: DataFrame) -> DataFrame:
     linked = linked.join(line_originals(lined, several), ["conv_id", "lines"], "left")
     linked = linked.withColumn("origin", F.least("origin", "of_lines"))
     good = F.col("origin.turn") < F.col("turn")
-    best = F.max(F.when(good, F.struct((-F.col("level")).alias("near"), "origin.turn", "origin.uid")))
+    best = F.max(F.when(good, F.struct((-F.col("level")).alias("near"), "origin.*")))
     return linked.groupBy("uid").agg(
         F.count("*").alias("n_quotes"), F.count(F.when(good, 1)).alias("n_linked"), best.alias("best")
     ).select("uid", "n_quotes", "n_linked", F.col("best.uid").alias("up"), F.col("best.turn").alias("up_turn"))
@@ -170,7 +173,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     lined = with_lines(stage_table(rows.withColumn("uid", F.monotonically_increasing_id()), "messages"))
     answers = stage_table(replies(lined), "replies")
     found = answers.join(threads(answers), "uid", "left").withColumnRenamed("uid", "of_uid")
-    whole = lined.drop("marked", "quoting").join(found, F.col("uid") == F.col("of_uid"), "left")
+    whole = lined.drop("marked", "quoting", "place").join(found, F.col("uid") == F.col("of_uid"), "left")
     whole = whole.withColumn("thread_turn", F.coalesce("root_turn", "turn"))
     zero = F.lit(0).cast("long")
     return in_order(whole, ORDER, "conv_id").select(
@@ -201,19 +204,29 @@ spoken AS (SELECT m.*, CASE WHEN quoting THEN regexp_replace(coalesce(own, ''),
   FROM msgs m LEFT JOIN own USING (uid)),
 starts AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY uid ORDER BY pos) THEN 0 ELSE 1 END AS new FROM lines),
 runs AS (SELECT *, sum(new) OVER (PARTITION BY uid ORDER BY pos) AS run FROM starts),
-quoted AS (SELECT uid, conv_id, turn, level, {_NORM.format("string_agg(body, ' ' ORDER BY pos)")} AS passage
+quoted AS (SELECT uid, run, conv_id, turn, level, {_NORM.format("string_agg(body, ' ' ORDER BY pos)")} AS passage,
+  list({_NORM.format("body")} ORDER BY pos) AS bodies
   FROM runs WHERE level > 0 GROUP BY uid, conv_id, turn, level, run HAVING passage <> ''),
-units AS (SELECT DISTINCT conv_id, turn, uid, {_NORM.format("unit")} AS unit FROM (
-  SELECT conv_id, turn, uid, unnest(list_concat(list_concat([said], string_split_regex(said, '\n[ \t]*\n')), string_split(said, chr(10)))) AS unit
-  FROM spoken WHERE conv_id IN (SELECT conv_id FROM quoted))),
-origins AS (SELECT conv_id, unit, min((turn, uid)) AS origin FROM units
-  WHERE unit <> '' AND turn IS NOT NULL GROUP BY conv_id, unit),
-linked AS (SELECT q.uid, q.level, CASE WHEN origin[1] < q.turn THEN origin END AS origin
-  FROM quoted q LEFT JOIN origins o ON o.conv_id = q.conv_id AND o.unit = q.passage),
+places AS (SELECT *, (turn, coalesce(role, ''), md5(text), uid) AS place FROM spoken
+  WHERE turn IS NOT NULL AND conv_id IN (SELECT conv_id FROM quoted)),
+units AS (SELECT DISTINCT conv_id, place, {_NORM.format("unit")} AS unit FROM (
+  SELECT conv_id, place, unnest(list_concat(list_concat([said], string_split_regex(said, '\n[ \t]*\n')), string_split(said, chr(10)))) AS unit
+  FROM places)),
+origins AS (SELECT conv_id, unit, min(place) AS origin FROM units WHERE unit <> '' GROUP BY conv_id, unit),
+own_lines AS (SELECT conv_id, place, list_filter(list_transform(string_split(said, chr(10)),
+  lambda x: {_NORM.format("x")}), lambda x: x <> '') AS own FROM places),
+asked AS (SELECT uid, run, conv_id, list_filter(bodies, lambda x: x <> '') AS ls FROM quoted),
+of_lines AS (SELECT uid, run, min(place) AS of_lines FROM (
+  SELECT a.uid, a.run, a.ls, o.place, o.own, unnest(range(1, len(own) - len(ls) + 2)) AS s
+  FROM asked a JOIN own_lines o USING (conv_id) WHERE len(ls) > 1)
+  WHERE own[s:s + len(ls) - 1] = ls GROUP BY uid, run),
+linked AS (SELECT q.uid, q.level, CASE WHEN least(o.origin, l.of_lines)[1] < q.turn THEN least(o.origin, l.of_lines) END AS origin
+  FROM quoted q LEFT JOIN origins o ON o.conv_id = q.conv_id AND o.unit = q.passage
+  LEFT JOIN of_lines l ON l.uid = q.uid AND l.run = q.run),
 best AS (SELECT uid, count(*) AS n_quotes, count(origin) AS n_linked,
-  max((-level, origin[1], origin[2])) FILTER (WHERE origin IS NOT NULL) AS up FROM linked GROUP BY uid),
-chain AS (SELECT uid, up[3] AS at, up[2] AS at_turn FROM best WHERE up IS NOT NULL
-  UNION ALL SELECT c.uid, b.up[3], b.up[2] FROM chain c JOIN best b ON b.uid = c.at WHERE b.up IS NOT NULL),
+  max((-level, origin[1], origin[2], origin[3], origin[4])) FILTER (WHERE origin IS NOT NULL) AS up FROM linked GROUP BY uid),
+chain AS (SELECT uid, up[5] AS at, up[2] AS at_turn FROM best WHERE up IS NOT NULL
+  UNION ALL SELECT c.uid, b.up[5], b.up[2] FROM chain c JOIN best b ON b.uid = c.at WHERE b.up IS NOT NULL),
 roots AS (SELECT uid, min(at_turn) AS root_turn FROM chain GROUP BY uid),
 whole AS (SELECT s.*, coalesce(root_turn, turn) AS thread_turn, b.up[2] AS parent_turn, n_quotes, n_linked
   FROM spoken s LEFT JOIN best b USING (uid) LEFT JOIN roots r USING (uid))

@@ -4,9 +4,10 @@ The method that finds repeats works on text in memory; this module deals the tex
 equal windows meet in one task.  It works on symbols (bytes or words) and windows of a fixed
 number of them.
 
-* A window is owned by its smallest gram (a hash of a few symbols, the last of equal ones).
-  Equal windows have equal owners.  Neighbouring windows mostly share theirs, so a document is
-  cut in slices: runs of window starts with one owner, and the text of these windows.
+* A window is owned by its smallest gram (a hash of a few symbols).  Equal windows have equal
+  owners.  Neighbouring windows mostly share theirs, so a document is cut in slices: runs of at
+  most ``LONGEST`` window starts with one owner, and the text of these windows.  Long texts are
+  cut segment by segment, in bounded memory.
 * Equal slices are found by grouping; every window in them is a repeat.  Copies of documents
   and passages end here, as numbers that are aggregated before the shuffle.
 * Owners with several different slices are left.  One example of each such slice is fetched
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ from vecprune.staging import stage_table
 
 HOT = 8192
 BUNDLE_BYTES = 320 << 10
+LONGEST = 512
 _PLACE_BITS = 26
-_SEGMENT = 1 << 25
+# Bytes of a text that are cut at once; the arrays for them take about a hundred times as many.
+SEGMENT = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,8 @@ class Kind:
     width: int
     # Of a text column: the prefix hashes of all symbols and the offsets of the texts in them.
     symbols: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    # Of a long text, a size and a window: pieces as (bytes, symbols before them, window starts in them).
+    segments: Callable[[bytes, int, int], Iterator[tuple[bytes, int, int]]]
     # Of a text: a function that gives the content of symbols ``a`` to ``b``.
     cutter: Callable[[str], Callable[[int, int], bytes]]
     # Of contents: their symbols as numbers, one after the other, and the number in each.
@@ -70,38 +76,41 @@ def window_minimum(keys: np.ndarray, width: int) -> np.ndarray:
 
 def slices(prefix: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
     """Runs of window starts with one owner: text, first start, number, owner and content hash."""
-    found: list[tuple[np.ndarray, ...]] = []
     count = np.maximum(np.diff(offsets) - window + 1, 0)
     texts = np.flatnonzero(count)
-    if len(texts):
-        text = np.repeat(texts, count[texts])
-        within = np.arange(len(text)) - np.repeat(np.cumsum(count[texts]) - count[texts], count[texts])
-        start = offsets[text] + within
-        for at in range(0, len(start), _SEGMENT):
-            some, of = start[at : at + _SEGMENT], text[at : at + _SEGMENT]
-            low, high = some[0], some[-1] + window
-            place = np.arange(low, high - gram + 1)
-            grams = span_hash(prefix, place, place + gram)
-            bits = np.uint64(_PLACE_BITS)
-            last = np.uint64((1 << _PLACE_BITS) - 1)
-            keys = (grams >> bits << bits) | (last - (place - low).astype(np.uint64))
-            least = window_minimum(keys, window - gram + 1)[some - low]
-            owner = (last - (least & last)).astype(np.int64)
-            new = np.ones(len(some), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (of[1:] != of[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(some)))
-            begin = some[first]
-            content = span_hash(prefix, begin, begin + n + window - 1)
-            found.append((of[first], begin - offsets[of[first]], n, grams[owner[first]], content))
-    if not found:
+    if not len(texts):
         empty = np.zeros(0, np.int64)
         return dict(text=empty, start=empty, n=empty, owner=empty, content=empty)
-    columns = [np.concatenate(c) for c in zip(*found)]
+    text = np.repeat(texts, count[texts])
+    within = np.arange(len(text)) - np.repeat(np.cumsum(count[texts]) - count[texts], count[texts])
+    start = offsets[text] + within
+    low, high = start[0], start[-1] + window
+    place = np.arange(low, high - gram + 1)
+    grams = span_hash(prefix, place, place + gram)
+    bits = np.uint64(_PLACE_BITS)
+    last = np.uint64((1 << _PLACE_BITS) - 1)
+    keys = (grams >> bits << bits) | (last - (place - low).astype(np.uint64))
+    least = window_minimum(keys, window - gram + 1)[start - low]
+    owner = grams[(last - (least & last)).astype(np.int64)]
+    # Equal grams own one run together, such as those of a text that repeats a few symbols.
+    new = np.ones(len(start), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
+    run = np.flatnonzero(new)
+    size = np.diff(np.append(run, len(start)))
+    new[run.repeat(-(-size // LONGEST)) + LONGEST * _counted(-(-size // LONGEST))] = True
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(start)))
+    begin = start[first]
+    content = span_hash(prefix, begin, begin + n + window - 1)
     return dict(
-        text=columns[0], start=columns[1], n=columns[2],
-        owner=columns[3].view(np.int64), content=columns[4].view(np.int64),
-    )
+        text=text[first], start=begin - offsets[text[first]], n=n,
+        owner=owner[first].view(np.int64), content=content.view(np.int64),
+    )
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def runs_of(flags: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -159,33 +168,49 @@ def repeat_spans(docs: DataFrame, kind: Kind, keep_first: bool = False, hot: int
         runs,
         lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + (kind.window - 1)).alias("b")),
     )
+    # Rows that repeat id and text have the same spans, which are kept once.
     return (
         back.select("id", "mark", spans.alias("spans"))
         .filter(F.size("spans") > 0)
         .groupBy("id", "mark")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        .agg(F.flatten(F.collect_set("spans")).alias("spans"))
     )
 
 
 def _cut(docs: DataFrame, kind: Kind, id_type: str) -> DataFrame:
+    def rows(part: pa.RecordBatch, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        text = pa.array(found["text"], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(found["owner"]),
+                pa.array(found["content"]),
+                part.column("id").take(text),
+                part.column("mark").take(text),
+                pa.array(found["start"].astype(np.int32)),
+                pa.array(found["n"].astype(np.int32)),
+            ],
+            names=["owner", "content", "id", "mark", "start", "n"],
+        )
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
-                found = slices(*kind.symbols(part.column("text")), kind.window, kind.gram)
-                text = pa.array(found["text"], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found["owner"]),
-                        pa.array(found["content"]),
-                        part.column("id").take(text),
-                        part.column("mark").take(text),
-                        pa.array(found["start"].astype(np.int32)),
-                        pa.array(found["n"].astype(np.int32)),
-                    ],
-                    names=["owner", "content", "id", "mark", "start", "n"],
-                )
-
-    return docs.mapInArrow(kernel, f"owner long, content long, id {id_type}, mark int, start int, n int")
+            for part in chunks(batch, "text", SEGMENT):
+                size = pc.binary_length(part.column("text")).to_numpy()
+                long = np.flatnonzero(size > 2 * SEGMENT)
+                for i in long.tolist():
+                    one = part.slice(i, 1)
+                    for piece, before, starts in kind.segments(one.column("text")[0].as_buffer().to_pybytes(), SEGMENT, kind.window):
+                        prefix, offsets = kind.symbols(pa.array([piece], pa.binary()))
+                        offsets = np.minimum(offsets, starts + kind.window - 1)
+                        found = slices(prefix, offsets, kind.window, kind.gram)
+                        found["start"] = found["start"] + before
+                        yield rows(one, found)
+                if len(long):
+                    part = part.filter(pa.array(size <= 2 * SEGMENT))
+                if part.num_rows:
+                    yield rows(part, slices(*kind.symbols(part.column("text")), kind.window, kind.gram))
+
+    return docs.mapInArrow(kernel, f"owner long, content long, id {id_type}, mark long, start int, n int")
 
 
 def _fetch(docs: DataFrame, mixed: DataFrame, kind: Kind, id_type: str) -> DataFrame:
@@ -196,7 +221,7 @@ def _fetch(docs: DataFrame, mixed: DataFrame, kind: Kind, id_type: str) -> DataF
     same = docs["id"].eqNullSafe(wanted["of"]) & (docs["mark"] == wanted["of_mark"])
     # Rows that repeat id and text would give their slices several times.
     joined = docs.join(wanted, same).select("id", "mark", "text", "wanted")
-    schema = f"owner long, content long, different long, id {id_type}, mark int, start int, n int, slice binary"
+    schema = f"owner long, content long, different long, id {id_type}, mark long, start int, n int, slice binary"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +273,7 @@ def _search_small(texts: DataFrame, kind: Kind, keep_first: bool) -> DataFrame:
 
 def _search_hot(texts: DataFrame, kind: Kind, keep_first: bool, id_type: str) -> DataFrame:
     """The same for owners with very many slices: windows are counted by a 128-bit hash."""
-    schema = f"x long, y long, id {id_type}, mark int, place int, n long"
+    schema = f"x long, y long, id {id_type}, mark long, place int, n long"
 
     def hashes(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         numbers, size = kind.numbers(table.column("slice").to_pylist())
@@ -296,7 +321,7 @@ def _search_hot(texts: DataFrame, kind: Kind, keep_first: bool, id_type: str) ->
         F.sum("n").alias("n"), F.min(F.struct("id", "mark", "place")).alias("first")
     )
     windows = texts.mapInArrow(
-        spread, f"x long, y long, owner long, content long, id {id_type}, mark int, place int, within int"
+        spread, f"x long, y long, owner long, content long, id {id_type}, mark long, place int, within int"
     )
     hit = windows.join(counted.filter("n > 1"), ["x", "y"])
     if keep_first:
@@ -305,13 +330,14 @@ def _search_hot(texts: DataFrame, kind: Kind, keep_first: bool, id_type: str) ->
     return hit.groupBy("owner", "content").agg(F.collect_list(one).alias("runs"))
 
 
-def equal_classes(codes: np.ndarray, have: int, length: int) -> np.ndarray:
-    """Order-preserving numbers of all strings of ``length`` symbols, from those of ``have``.
+def class_levels(codes: np.ndarray, have: int, length: int) -> list[tuple[int, np.ndarray]]:
+    """Order-preserving numbers of all strings of ``have``, twice as many, ... ``length`` symbols.
 
     Prefix doubling: a string's rank follows from the ranks of its first and last parts.  Near
     the end of the numbers the strings are cut short.
     """
     ranks = np.unique(codes, return_inverse=True)[1].astype(np.uint64)
+    out = [(have, ranks.astype(np.uint32))]
     while have < length:
         step = min(have, length - have)
         n = len(ranks)
@@ -319,7 +345,13 @@ def equal_classes(codes: np.ndarray, have: int, length: int) -> np.ndarray:
         ahead[: n - step] = ranks[step:] + np.uint64(1)
         ranks = np.unique(ranks * np.uint64(n + 1) + ahead, return_inverse=True)[1].astype(np.uint64)
         have += step
-    return ranks
+        out.append((have, ranks.astype(np.uint32)))
+    return out
+
+
+def equal_classes(codes: np.ndarray, have: int, length: int) -> np.ndarray:
+    """Order-preserving numbers of all strings of ``length`` symbols, from those of ``have``."""
+    return class_levels(codes, have, length)[-1][1]
 
 
 def join_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -343,4 +375,4 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, mark``; the mark tells rows apart that have one id but different texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.hash(text).alias("mark"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from vecprune.llm.components import components
 from vecprune.llm.grouped import group_batches
-from vecprune.llm.similar import keep_one_of_each  # noqa: F401  (the pipeline's policy, by exact similarity)
 from vecprune.llm.text import add_columns, chunks
 from vecprune.session import ship_package
 from vecprune.staging import stage_table
@@ -178,6 +177,28 @@ def near_duplicates(
     return marked.join(named, "print").select(id_col, "print", "component_id")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest id (NULL last); all columns stay.
+
+    Of rows that share this id one stays.  Columns may have any names.
+    """
+    print_col, row_col = free_name(docs.columns, "print"), free_name(docs.columns, "row")
+    rows = _printed(docs, docs.columns, text_col, SHINGLE_WORDS, print_col)
+    rows = stage_table(rows.withColumn(row_col, F.monotonically_increasing_id()), "printed")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row_col).alias("row"))
+    grown = _labelled(rows.groupBy(F.col(print_col).alias("print")).agg(F.min(order).alias("first")))
+    kept = grown.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_col))
+    return rows.join(kept, row_col, "left_semi").select(*docs.columns)
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     digits = F.lpad(F.lower(F.hex("print")), 16, "0")
