@@ -67,67 +67,112 @@ def unflat(values: np.ndarray) -> Params:
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    return z / z.sum(axis=-1, keepdims=True)
+_HIGH = np.arange(SIDE)
 
 
 def slopes(params: Params, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> Params:
-    """Gradient of the mean negative log-probability of the targets."""
-    p, scale = params, np.float32(1 / np.sqrt(WIDTH))
-    e = p["embed"][inputs]
-    q, k, v = (e @ p["query"]) * scale, e @ p["key"], e @ p["value"]
-    att = _softmax(q @ k.transpose(0, 2, 1) + (p["bias"][_DISTANCE] + _MASK))
-    c = att @ v + e
-    h = np.tanh(c @ p["mix"] + p["mix_bias"])
-    high, low = targets // SIDE, targets % SIDE
-    dzh = _softmax(h @ p["high"] + p["high_bias"])
-    dzl = _softmax(h @ p["low"] + p["low_bias"][high])
-    np.put_along_axis(dzh, high[..., None], np.take_along_axis(dzh, high[..., None], -1) - 1, -1)
-    np.put_along_axis(dzl, low[..., None], np.take_along_axis(dzl, low[..., None], -1) - 1, -1)
-    share = (weight / max(weight.sum(), 1))[..., None].astype(np.float32)
-    dzh *= share
-    dzl *= share
-
-    def rows(x):
-        return x.reshape(-1, x.shape[-1])
-
+    """Gradient of the mean negative log-probability of the targets.
+
+    What depends on a slot alone is computed per slot, forwards and backwards.
+    """
+    p, w, scale = params, WIDTH, np.float32(1 / np.sqrt(WIDTH))
+    table = np.hstack([(p["embed"] @ p["query"]) * scale, p["embed"] @ p["key"], p["embed"] @ p["value"], p["embed"]])
+    r = table[inputs]
+    q, k, v = r[..., :w], r[..., w : 2 * w], r[..., 2 * w : 3 * w]
+    att = q @ k.transpose(0, 2, 1)
+    att += p["bias"][_DISTANCE] + _MASK
+    np.minimum(att, 60, out=att)
+    np.exp(att, out=att)
+    att /= np.maximum(att.sum(axis=-1, keepdims=True), np.float32(1e-30))
+    seen = att @ v
+    c = (seen + r[..., 3 * w :]).reshape(-1, w)
+    h = c @ p["mix"]
+    h += p["mix_bias"]
+    np.tanh(h, out=h)
+    goal = targets.ravel()
+    high, low, n = goal // SIDE, goal % SIDE, np.arange(targets.size)
+    out = np.hstack([p["high"], p["low"]])
+    dz = h @ out
+    dz[:, :SIDE] += p["high_bias"]
+    dz[:, SIDE:] += p["low_bias"][high]
+    np.minimum(dz, 60, out=dz)
+    np.exp(dz, out=dz)
+    dz[:, :SIDE] /= dz[:, :SIDE].sum(axis=1, keepdims=True)
+    dz[:, SIDE:] /= dz[:, SIDE:].sum(axis=1, keepdims=True)
+    dz[n, high] -= 1
+    dz[n, SIDE + low] -= 1
+    dz *= (weight / max(weight.sum(), 1)).astype(np.float32).reshape(-1, 1)
+    of_out = h.T @ dz
     g = {
-        "high": rows(h).T @ rows(dzh),
-        "high_bias": rows(dzh).sum(axis=0),
-        "low": rows(h).T @ rows(dzl),
-        "low_bias": np.zeros(SHAPES["low_bias"], np.float32),
-        "embed": np.zeros(SHAPES["embed"], np.float32),
+        "high": of_out[:, :SIDE],
+        "low": of_out[:, SIDE:],
+        "high_bias": dz[:, :SIDE].sum(axis=0),
+        "low_bias": (high[:, None] == _HIGH).astype(np.float32).T @ dz[:, SIDE:],
     }
-    np.add.at(g["low_bias"], high.ravel(), rows(dzl))
-    du = (dzh @ p["high"].T + dzl @ p["low"].T) * (1 - h * h)
-    g["mix"], g["mix_bias"] = rows(c).T @ rows(du), rows(du).sum(axis=0)
-    de = du @ p["mix"].T
-    datt = de @ v.transpose(0, 2, 1)
-    dv = att.transpose(0, 2, 1) @ de
-    da = att * (datt - (datt * att).sum(axis=-1, keepdims=True))
+    du = dz @ out.T
+    du *= 1 - h * h
+    g["mix"], g["mix_bias"] = c.T @ du, du.sum(axis=0)
+    de = (du @ p["mix"].T).reshape(seen.shape)
+    da = de @ v.transpose(0, 2, 1)
+    da -= np.einsum("bij,bij->bi", de, seen)[..., None]
+    da *= att
     g["bias"] = np.bincount(_DISTANCE.ravel(), da.sum(axis=0).ravel(), LENGTH).astype(np.float32)
-    dq, dk = (da @ k) * scale, da.transpose(0, 2, 1) @ q
-    g["query"], g["key"], g["value"] = (rows(e).T @ rows(x) for x in (dq, dk, dv))
-    de = de + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
-    np.add.at(g["embed"], inputs.ravel(), rows(de))
+    back = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, att.transpose(0, 2, 1) @ de, de], axis=-1).reshape(-1, 4 * w)
+    # Sums over the places of each slot.
+    flat_in = inputs.ravel()
+    order = np.argsort(flat_in, kind="stable")
+    slots, first = np.unique(flat_in[order], return_index=True)
+    summed = np.add.reduceat(back[order], first, axis=0)
+    own = p["embed"][slots]
+    of_q, of_k, of_v = summed[:, :w] * scale, summed[:, w : 2 * w], summed[:, 2 * w : 3 * w]
+    g["query"], g["key"], g["value"] = own.T @ of_q, own.T @ of_k, own.T @ of_v
+    g["embed"] = np.zeros(SHAPES["embed"], np.float32)
+    g["embed"][slots] = of_q @ p["query"].T + of_k @ p["key"].T + of_v @ p["value"].T + summed[:, 3 * w :]
     return g
 
 
+class Descent:
+    """Adam over a stream of windows of ``LENGTH + 1`` slots, in steps of ``batch`` windows.
+
+    How the stream is cut in calls of ``feed`` makes no difference.
+    """
+
+    def __init__(self, params: Params, rate: float, batch: int = 128) -> None:
+        self.params = {name: value.copy() for name, value in params.items()}
+        self.first = {name: np.zeros_like(v) for name, v in params.items()}
+        self.second = {name: np.zeros_like(v) for name, v in params.items()}
+        self.rate, self.batch, self.step = rate, batch, 0
+        self.windows = np.zeros((0, LENGTH + 1), np.int64)
+        self.weight = np.zeros((0, LENGTH), np.float32)
+
+    def feed(self, windows: np.ndarray, weight: np.ndarray) -> None:
+        self.windows, self.weight = np.concatenate([self.windows, windows]), np.concatenate([self.weight, weight])
+        whole = len(self.windows) // self.batch * self.batch
+        for at in range(0, whole, self.batch):
+            self._move(self.windows[at : at + self.batch], self.weight[at : at + self.batch])
+        self.windows, self.weight = self.windows[whole:], self.weight[whole:]
+
+    def end(self) -> Params:
+        if len(self.windows):
+            self._move(self.windows, self.weight)
+        return self.params
+
+    def _move(self, windows: np.ndarray, weight: np.ndarray) -> None:
+        self.step += 1
+        g = slopes(self.params, windows[:, :-1], windows[:, 1:], weight)
+        for name, value in g.items():
+            first, second = self.first[name], self.second[name]
+            first += 0.1 * (value - first)
+            second += 0.01 * (value * value - second)
+            mean, var = first / (1 - 0.9**self.step), second / (1 - 0.99**self.step)
+            self.params[name] -= self.rate * mean / (np.sqrt(var) + 1e-6)
+
+
 def descend(params: Params, windows: np.ndarray, weight: np.ndarray, rate: float, batch: int = 128) -> Params:
     """One pass of Adam over windows of ``LENGTH + 1`` slots."""
-    params = {name: value.copy() for name, value in params.items()}
-    first = {name: np.zeros_like(v) for name, v in params.items()}
-    second = {name: np.zeros_like(v) for name, v in params.items()}
-    for step, at in enumerate(range(0, len(windows), batch), 1):
-        some = windows[at : at + batch]
-        g = slopes(params, some[:, :-1], some[:, 1:], weight[at : at + batch])
-        for name, value in g.items():
-            first[name] += 0.1 * (value - first[name])
-            second[name] += 0.01 * (value * value - second[name])
-            mean, var = first[name] / (1 - 0.9**step), second[name] / (1 - 0.99**step)
-            params[name] -= rate * mean / (np.sqrt(var) + 1e-6)
-    return params
+    descent = Descent(params, rate, batch)
+    descent.feed(windows, weight)
+    return descent.end()
 
 
 class Scorer:

@@ -5,9 +5,11 @@ counts are summed per task before the shuffle, and no table of words goes to the
 same pass takes all windows of the training documents for the model.
 
 *Model.*  Ids with the most counts have a slot each, the rest share one, in which an id has its
-own frequency; so a probability is given for every id.  Rounds of training run in parallel: each
-task descends over its windows, and the weights, of fixed size, are averaged by the number of
-windows.
+own frequency; so a probability is given for every id.  Windows are dealt to shards by a hash of
+their text and number; how many shards there are follows from the number of windows, and a shard
+has its windows in the order of the hash.  Rounds of training run in parallel: a task descends
+over a shard, and the shards' weights, of fixed size, are averaged by their windows.  So the model
+depends on the documents alone, not on how they are partitioned.
 
 *Scores.*  Texts are cut into windows that overlap by the context; every token is scored once.
 Words with the highest counts (at most ``FREQUENT``, a bound on the broadcast) are looked up
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from vecprune.llm import attention as net
 from vecprune.llm.bpe import Encoder, read_ranks
 from vecprune.llm.langid import in_fold
-from vecprune.llm.text import Words, chunks
+from vecprune.llm.text import Words, chunks, mix, span_hash
 from vecprune.session import ship_package
 from vecprune.staging import stage_table
 
@@ -44,6 +46,7 @@ CHUNK = 4 << 20
 N_IDS = 1 << 16
 END, BEFORE, PAD = N_IDS - 3, N_IDS - 2, N_IDS - 1
 WORD, SUBWORD, WINDOW = 0, 1, 2
+SHARD_WINDOWS = 1 << 17
 
 
 class Subwords:
@@ -142,7 +145,7 @@ def _reader(file: bytes) -> Subwords:
 def gather(train: DataFrame, file, text_col: str) -> DataFrame:
     """A stage table of counts and windows of the training documents.
 
-    Rows are (WORD, hash, count), (SUBWORD, id, count) and (WINDOW, NULL, NULL, ids).
+    Rows are (WORD, hash, count), (SUBWORD, id, count) and (WINDOW, hash, NULL, ids).
     """
     schema = "kind int, key long, n long, ids binary"
 
@@ -171,10 +174,11 @@ def gather(train: DataFrame, file, text_col: str) -> DataFrame:
                         held, held_rows = [], 0
                 pick = np.arange(len(chunk.owner))
                 ids, _ = chunk.windows(pick)
-                empty = pa.nulls(len(pick), pa.int64())
-                blobs = pa.array([row.tobytes() for row in ids], pa.binary())
+                text = span_hash(chunk.words.prefix, chunk.words.offsets[:-1], chunk.words.offsets[1:])
+                key = mix(text[chunk.owner] + mix(chunk.nth)).view(np.int64)
                 kind = pa.array(np.full(len(pick), WINDOW, np.int32))
-                yield pa.RecordBatch.from_arrays([kind, empty, empty, blobs], names=["kind", "key", "n", "ids"])
+                columns = [kind, pa.array(key), pa.nulls(len(pick), pa.int64()), blobs_of(ids)]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "ids"])
         if held:
             yield rows(WORD, *_summed(held))
         seen = np.flatnonzero(subwords)
@@ -183,6 +187,21 @@ def gather(train: DataFrame, file, text_col: str) -> DataFrame:
     return stage_table(train.select(text_col).mapInArrow(kernel, schema), "lm-gathered")
 
 
+def blobs_of(ids: np.ndarray) -> pa.Array:
+    """Rows of 16-bit ids as bytes."""
+    data = np.ascontiguousarray(ids, np.uint16)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * (2 * data.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def ids_of(blobs: pa.Array, width: int) -> np.ndarray:
+    """The rows again."""
+    if not len(blobs):
+        return np.zeros((0, width), np.uint16)
+    at = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint16).reshape(-1, width)
+
+
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
     n = np.bincount(which, np.concatenate([n for _, n in held]), len(keys))
@@ -211,58 +230,63 @@ class Slots:
         return np.where(real, self.slot[windows], 0), real
 
 
-def train_model(windows: DataFrame, slots: Slots) -> net.Params:
-    """Rounds of parallel descent; after each the tasks' weights are averaged."""
+def train_model(windows: DataFrame, slots: Slots, shard_windows: int = SHARD_WINDOWS) -> net.Params:
+    """Rounds of parallel descent over ``(key, ids)``; after each the shards' weights are averaged."""
     spark = windows.sparkSession
     params = net.initial(slots.counts)
-    size = len(net.flat(params))
     part = 1024
-
+    shards = -(-windows.count() // shard_windows)
+    if not shards:
+        return params
+    dealt = windows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "ids")
+    # Equal keys are windows of equal texts, so this order is that of the data.
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
     for rate in RATES[:ROUNDS]:
         sent = spark.sparkContext.broadcast((params, slots))
 
         def kernel(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
             params, slots = sent.value
-            seen = 0
-            for batch in batches:
-                blob = b"".join(batch.column("ids").to_pylist())
-                ids = np.frombuffer(blob, np.uint16).reshape(-1, net.LENGTH + 1)
-                window, real = slots.of(ids)
-                params = net.descend(params, window, real[:, 1:].astype(np.float32), rate)
-                seen += len(ids)
-            if seen:
-                flat = net.flat(params).astype(np.float64) * seen
+            shard, descent, seen = None, None, 0
+
+            def weights() -> pa.RecordBatch:
+                flat = net.flat(descent.end()).astype(np.float64) * seen
                 cut = [flat[i : i + part].tobytes() for i in range(0, len(flat), part)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(len(cut), dtype=np.int64)),
-                        pa.array(np.full(len(cut), seen, np.int64)),
-                        pa.array(cut, pa.binary()),
-                    ],
-                    names=["part", "n", "weights"],
-                )
+                columns = [np.arange(len(cut)), np.full(len(cut), shard), np.full(len(cut), seen)]
+                arrays = [pa.array(c.astype(np.int64)) for c in columns]
+                return pa.RecordBatch.from_arrays([*arrays, pa.array(cut, pa.binary())], names=["part", "shard", "n", "weights"])
+
+            for batch in batches:
+                numbers = batch.column("shard").to_numpy()
+                starts = np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1))
+                for a, b in zip(starts, [*starts[1:], len(numbers)]):
+                    if shard != numbers[a]:
+                        if descent is not None:
+                            yield weights()
+                        shard, descent, seen = int(numbers[a]), net.Descent(params, rate), 0
+                    ids = ids_of(batch.column("ids").slice(a, b - a), net.LENGTH + 1)
+                    window, real = slots.of(ids)
+                    descent.feed(window, real[:, 1:].astype(np.float32))
+                    seen += len(ids)
+            if descent is not None:
+                yield weights()
 
         def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, sums = 0, 0
-            number = 0
+            number, found = 0, []
             for batch in rows:
-                if batch.num_rows:
-                    number = batch.column("part")[0].as_py()
-                    n += sum(batch.column("n").to_pylist())
-                    sums = sums + sum(np.frombuffer(b) for b in batch.column("weights").to_pylist())
-            mean = (sums / n).astype(np.float32)
+                for part, shard, n, weights in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "n", "weights"))):
+                    number = part
+                    found.append((shard, n, weights))
+            # In the order of the shards, so that the sum is the same each time.
+            found.sort()
+            mean = sum(np.frombuffer(w) for *_, w in found) / sum(n for _, n, _ in found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["part", "weights"]
+                [pa.array([number], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())],
+                names=["part", "weights"],
             )
 
-        schema = "part long, n long, weights binary"
-        made = windows.mapInArrow(kernel, schema).groupBy("part").applyInArrow(total, "part long, weights binary")
-        rows = sorted(made.collect())
-        if not rows:
-            return params
-        flat = np.concatenate([np.frombuffer(r.weights, np.float32) for r in rows])
-        assert len(flat) == size
-        params = net.unflat(flat)
+        schema = "part long, shard long, n long, weights binary"
+        made = dealt.mapInArrow(kernel, schema).groupBy("part").applyInArrow(total, "part long, weights binary")
+        params = net.unflat(np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(made.collect())]))
     return params
 
 
@@ -300,7 +324,7 @@ def scores(
     for key, n in found:
         subwords[key] = n
     slots = Slots(subwords, n_ids)
-    params = train_model(gathered.filter(F.col("kind") == WINDOW).select("ids"), slots)
+    params = train_model(gathered.filter(F.col("kind") == WINDOW).select("key", "ids"), slots)
 
     counts = stage_table(
         gathered.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "lm-counts"
