@@ -68,65 +68,75 @@ def unflat(values: np.ndarray) -> Params:
 
 
 _HIGH = np.arange(SIDE)
+BLOCK = 32
 
 
 def slopes(params: Params, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> Params:
     """Gradient of the mean negative log-probability of the targets.
 
-    What depends on a slot alone is computed per slot, forwards and backwards.
+    What depends on a slot alone is computed per slot, forwards and backwards.  Windows are taken
+    in blocks whose arrays stay in the cache; a block adds to the sums.
     """
     p, w, scale = params, WIDTH, np.float32(1 / np.sqrt(WIDTH))
     table = np.hstack([(p["embed"] @ p["query"]) * scale, p["embed"] @ p["key"], p["embed"] @ p["value"], p["embed"]])
-    r = table[inputs]
-    q, k, v = r[..., :w], r[..., w : 2 * w], r[..., 2 * w : 3 * w]
-    att = q @ k.transpose(0, 2, 1)
-    att += p["bias"][_DISTANCE] + _MASK
-    np.minimum(att, 60, out=att)
-    np.exp(att, out=att)
-    att /= np.maximum(att.sum(axis=-1, keepdims=True), np.float32(1e-30))
-    seen = att @ v
-    c = (seen + r[..., 3 * w :]).reshape(-1, w)
-    h = c @ p["mix"]
-    h += p["mix_bias"]
-    np.tanh(h, out=h)
-    goal = targets.ravel()
-    high, low, n = goal // SIDE, goal % SIDE, np.arange(targets.size)
-    out = np.hstack([p["high"], p["low"]])
-    dz = h @ out
-    dz[:, :SIDE] += p["high_bias"]
-    dz[:, SIDE:] += p["low_bias"][high]
-    np.minimum(dz, 60, out=dz)
-    np.exp(dz, out=dz)
-    dz[:, :SIDE] /= dz[:, :SIDE].sum(axis=1, keepdims=True)
-    dz[:, SIDE:] /= dz[:, SIDE:].sum(axis=1, keepdims=True)
-    dz[n, high] -= 1
-    dz[n, SIDE + low] -= 1
-    dz *= (weight / max(weight.sum(), 1)).astype(np.float32).reshape(-1, 1)
-    of_out = h.T @ dz
-    g = {
-        "high": of_out[:, :SIDE],
-        "low": of_out[:, SIDE:],
-        "high_bias": dz[:, :SIDE].sum(axis=0),
-        "low_bias": (high[:, None] == _HIGH).astype(np.float32).T @ dz[:, SIDE:],
-    }
-    du = dz @ out.T
-    du *= 1 - h * h
-    g["mix"], g["mix_bias"] = c.T @ du, du.sum(axis=0)
-    de = (du @ p["mix"].T).reshape(seen.shape)
-    da = de @ v.transpose(0, 2, 1)
-    da -= np.einsum("bij,bij->bi", de, seen)[..., None]
-    da *= att
-    g["bias"] = np.bincount(_DISTANCE.ravel(), da.sum(axis=0).ravel(), LENGTH).astype(np.float32)
-    back = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, att.transpose(0, 2, 1) @ de, de], axis=-1).reshape(-1, 4 * w)
+    offset = p["bias"][_DISTANCE] + _MASK
+    out, share = np.hstack([p["high"], p["low"]]), (weight / max(weight.sum(), 1)).astype(np.float32)
+    g = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
+    of_out, of_distance = np.zeros_like(out), np.zeros((LENGTH, LENGTH), np.float32)
+    back = np.empty((*inputs.shape, 4 * w), np.float32)
+    for at in range(0, len(inputs), BLOCK):
+        rows = slice(at, at + BLOCK)
+        r = table[inputs[rows]]
+        q, k, v = r[..., :w], r[..., w : 2 * w], r[..., 2 * w : 3 * w]
+        att = q @ k.transpose(0, 2, 1)
+        att += offset
+        np.minimum(att, 60, out=att)
+        np.exp(att, out=att)
+        att /= np.maximum(att.sum(axis=-1, keepdims=True), np.float32(1e-30))
+        seen = att @ v
+        c = (seen + r[..., 3 * w :]).reshape(-1, w)
+        h = c @ p["mix"]
+        h += p["mix_bias"]
+        np.tanh(h, out=h)
+        goal = targets[rows].ravel()
+        high, low, n = goal // SIDE, goal % SIDE, np.arange(len(goal))
+        dz = h @ out
+        dz[:, :SIDE] += p["high_bias"]
+        dz[:, SIDE:] += p["low_bias"][high]
+        np.minimum(dz, 60, out=dz)
+        np.exp(dz, out=dz)
+        halves = dz.reshape(-1, 2, SIDE)
+        weights = share[rows].reshape(-1, 1)
+        halves *= (weights / halves.sum(axis=2))[..., None]
+        dz[n, high] -= weights[:, 0]
+        dz[n, SIDE + low] -= weights[:, 0]
+        of_out += h.T @ dz
+        g["high_bias"] += dz[:, :SIDE].sum(axis=0)
+        g["low_bias"] += (high[:, None] == _HIGH).astype(np.float32).T @ dz[:, SIDE:]
+        du = dz @ out.T
+        h *= h
+        du -= du * h
+        g["mix"] += c.T @ du
+        g["mix_bias"] += du.sum(axis=0)
+        de = (du @ p["mix"].T).reshape(seen.shape)
+        da = de @ v.transpose(0, 2, 1)
+        da -= np.einsum("bij,bij->bi", de, seen)[..., None]
+        da *= att
+        of_distance += da.sum(axis=0)
+        back[rows, :, :w] = da @ k
+        back[rows, :, w : 2 * w] = da.transpose(0, 2, 1) @ q
+        back[rows, :, 2 * w : 3 * w] = att.transpose(0, 2, 1) @ de
+        back[rows, :, 3 * w :] = de
+    g["high"], g["low"] = of_out[:, :SIDE], of_out[:, SIDE:]
+    g["bias"] = np.bincount(_DISTANCE.ravel(), of_distance.ravel(), LENGTH).astype(np.float32)
     # Sums over the places of each slot.
     flat_in = inputs.ravel()
     order = np.argsort(flat_in, kind="stable")
     slots, first = np.unique(flat_in[order], return_index=True)
-    summed = np.add.reduceat(back[order], first, axis=0)
+    summed = np.add.reduceat(back.reshape(-1, 4 * w)[order], first, axis=0)
     own = p["embed"][slots]
     of_q, of_k, of_v = summed[:, :w] * scale, summed[:, w : 2 * w], summed[:, 2 * w : 3 * w]
     g["query"], g["key"], g["value"] = own.T @ of_q, own.T @ of_k, own.T @ of_v
-    g["embed"] = np.zeros(SHAPES["embed"], np.float32)
     g["embed"][slots] = of_q @ p["query"].T + of_k @ p["key"].T + of_v @ p["value"].T + summed[:, 3 * w :]
     return g
 
@@ -191,7 +201,7 @@ class Scorer:
         self.high_bias, self.low_bias = params["high_bias"], params["low_bias"]
         self.halves = np.repeat(np.eye(2, dtype=np.float32), SIDE, axis=0)
 
-    def score(self, inputs: np.ndarray, targets: np.ndarray, batch: int = 512) -> np.ndarray:
+    def score(self, inputs: np.ndarray, targets: np.ndarray, batch: int = 4 * BLOCK) -> np.ndarray:
         """Natural logarithm of the probability of each target, given the slots up to its input."""
         out = np.empty(targets.shape, np.float32)
         for at in range(0, len(inputs), batch):
