@@ -93,3 +93,14 @@ def test_parts_of_a_large_benchmark(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"{prose(k, 9)} {t} {prose(k, 5)}") for k, t in enumerate(items)], "doc_id long, text string")
     assert sorted(tuple(r)[:2] for r in decontaminate.benchmark_hits(docs, benchmark).collect()) == [(k, k) for k in range(12)]
     assert decontaminate.drop_contaminated(docs, benchmark).count() == 0
+
+
+def test_only_short_items():
+    search = decontaminate.Search(decontaminate.cut([(0, "Yes"), (1, None), (2, " yes "), (3, "C 3")]))
+    docs = ["oh yes.", "yesterday", "", "abc 3", "a c 3"]
+    assert search.contaminated(docs).tolist() == [True, False, False, False, True]
+    text, holder, edits, place = search.hits(docs)
+    found = zip(text.tolist(), search.pieces.item[holder].tolist(), edits.tolist(), place.tolist())
+    assert sorted(found) == [(0, 0, 0, 3), (0, 2, 0, 3), (4, 3, 0, 2)]
+    assert not search.contaminated([]).size and not len(search.hits([])[0])
+    assert decontaminate.cut([(0, None), (1, " ")]) is None
