@@ -18,10 +18,18 @@ from pyspark.sql import functions as F
 
 from vecprune.operators.kernels import STRIPE, to_matrix, unit_rows
 
-# Blocks that a task holds, and blocks that stream past them.
+# Rows that a task holds, and rows that stream past them, in whole blocks: the smaller the
+# blocks, the more of them go together, so that the copies of a row don't grow in number.
+HELD_ROWS, STREAMED_ROWS = 1 << 14, 1 << 17
+# At least so many blocks.
 HELD, STREAMED = 2, 16
 
 
+def tile_blocks(block: int) -> tuple[int, int]:
+    """How many blocks of so many rows a tile holds, and how many stream past them."""
+    return max(HELD, HELD_ROWS // block), max(STREAMED, STREAMED_ROWS // block)
+
+
 def ddl_of(df: DataFrame, names: Sequence[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join(f"`{n}` {types[n]}" for n in names)
@@ -188,8 +196,8 @@ def pair_stats(
     largest: int,
     block: int,
     normalize: bool = True,
-    held: int = HELD,
-    streamed: int = STREAMED,
+    held: int | None = None,
+    streamed: int | None = None,
 ) -> DataFrame:
     """``(keys, id, _max, _min, _best)``: largest, smallest and largest earlier product of each
     row with the others of its group, from one pass over all pairs; 0 counts for each.
@@ -202,6 +210,8 @@ def pair_stats(
     ddl = f"{ddl_of(rows, keep)}, _max double, _min double, _best double"
     if largest <= block:
         return rows.groupBy(*keys).applyInArrow(_inside(keep, normalize), ddl)
+    usual = tile_blocks(block)
+    held, streamed = held or usual[0], streamed or usual[1]
     group = F.expr(f"_blk div {held}")
     stretch = F.expr(f"_blk div {streamed}")
     columns = [*keep, "_pos", "_vec"]
