@@ -34,7 +34,7 @@ from vecprune.functions.names import eps_column
 from vecprune.operators.joins import join_on_keys
 from vecprune.operators.kernels import best_earlier, to_matrix, unit_rows
 from vecprune.operators.ordinal import largest_group
-from vecprune.operators.pairs import HELD, STREAMED, ddl_of, earlier_in_tiles, tile_name
+from vecprune.operators.pairs import HELD, ddl_of, earlier_in_tiles, tile_blocks, tile_name
 from vecprune.options import check_eps
 from vecprune.staging import stage_table
 
@@ -183,28 +183,33 @@ def max_earlier_sim(
     if n_open == 0:
         return finish(settled)
 
-    # 3. What is still open against the earlier blocks.
-    of_pack = join_on_keys(packs.where("_n_open > 0"), ranges, [*keys, "_blk"])
-    pack_ranges = of_pack.groupBy(*keys, "_pack").agg(
-        F.min("_near").alias("_pack_near"), F.max("_far").alias("_pack_far"), F.max("_blk").alias("_last_blk")
+    # 3. What is still open against the earlier blocks, in runs of blocks and groups of packs
+    # that fill a tile.  Two neighbouring groups are held together, unless the angles choose.
+    held, streamed = tile_blocks(block)
+    run = held // HELD
+    together = run if prune_pairs else held
+    run_of = F.expr(f"_blk div {run}").alias("_run")
+    runs = ranges.groupBy(*keys, run_of).agg(
+        F.min("_near").alias("_near"), F.max("_far").alias("_far"), F.min("_blk").alias("_first_blk")
+    )
+    group_of = F.expr(f"_pack div {together}")
+    of_group = join_on_keys(packs.where("_n_open > 0").withColumn("_group", group_of), ranges, [*keys, "_blk"])
+    groups = of_group.groupBy(*keys, "_group").agg(
+        F.min("_near").alias("_group_near"), F.max("_far").alias("_group_far"), F.max("_blk").alias("_last_blk")
     )
     reach = float(np.arccos(np.clip(floor, -1.0, 1.0))) + ANGLE_MARGIN if prune_pairs else float("inf")
-    gap = F.greatest(F.col("_pack_near") - F.col("_far"), F.col("_near") - F.col("_pack_far"))
-    pairs = join_on_keys(ranges, pack_ranges, keys).where((F.col("_blk") < F.col("_last_blk")) & (gap <= reach))
-    pairs = stage_table(pairs.select(*keys, F.col("_blk").alias("_early_blk"), "_pack"), "pairs")
-    # Neighbouring packs are held together, unless the angles have chosen among their blocks.
-    together = 1 if prune_pairs else HELD
-    pairs = pairs.withColumn("_group", F.expr(f"_pack div {together}"))
-    tiles = pairs.withColumn("_stretch", F.expr(f"_early_blk div {STREAMED}"))
+    gap = F.greatest(F.col("_group_near") - F.col("_far"), F.col("_near") - F.col("_group_far"))
+    pairs = join_on_keys(runs, groups, keys).where((F.col("_first_blk") < F.col("_last_blk")) & (gap <= reach))
+    pairs = stage_table(pairs.select(*keys, "_run", "_group"), "pairs")
+    tiles = pairs.withColumn("_stretch", F.expr(f"_run div {streamed // run}"))
     name = tile_name(*keys, "_group", "_stretch").alias("_tile")
     columns = [*narrow, "_vec"]
-    packed = join_on_keys(open_rows, packs.select(*keys, "_blk", "_pack"), [*keys, "_blk"])
-    packed = packed.withColumn("_group", F.expr(f"_pack div {together}"))
-    # A pack meets a stretch of earlier blocks if any of them can matter to it.
-    late = join_on_keys(packed, tiles.select(*keys, "_pack", "_stretch").distinct(), [*keys, "_pack"])
+    packed = join_on_keys(open_rows, packs.select(*keys, "_blk", group_of.alias("_group")), [*keys, "_blk"])
+    # A group meets a stretch of earlier runs if any of them can matter to it.
+    late = join_on_keys(packed, tiles.select(*keys, "_group", "_stretch").distinct(), [*keys, "_group"])
     late = late.select(*columns, F.lit(True).alias("_held"), name)
-    early_blocks = tiles.select(*keys, F.col("_early_blk").alias("_blk"), "_group", "_stretch").distinct()
-    early = join_on_keys(base, early_blocks, [*keys, "_blk"]).select(*columns, F.lit(False).alias("_held"), name)
+    early = join_on_keys(base.select("*", run_of), tiles, [*keys, "_run"])
+    early = early.select(*columns, F.lit(False).alias("_held"), name)
     dealt = late.unionByName(early).repartition("_tile").sortWithinPartitions("_tile", F.desc("_held"))
     partial = dealt.mapInArrow(earlier_in_tiles(narrow, normalize), ddl_of(rows, narrow) + ", _best double")
     compared = (
