@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from vecprune.operators.kernels import to_lists, unit_rows
 
-# Words whose bucket a task remembers; most words of a text have been seen before.
-REMEMBERED_WORDS = 1_000_000
-
+# Words whose bucket a task remembers, some 40 MB; most words of a text have been seen before.
+REMEMBERED_WORDS = 1 << 18
+# Text whose words are counted at once; the arrays for them take about twenty times as many.
+COUNTED_BYTES = 1 << 21
 
 # Contents of a call of the encoder, about.
 CALL_BYTES = 8 << 20
@@ -35,7 +36,8 @@ def _worker_encoder(digest: str, make_encoder: Callable) -> Callable:
 
 def _calls(contents: pa.Array, limit: int) -> Iterator[slice]:
     """Stretches of contents of about ``limit`` bytes together, one item at least."""
-    if not (pa.types.is_string(contents.type) or pa.types.is_binary(contents.type)):
+    kinds = (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)
+    if not any(is_kind(contents.type) for is_kind in kinds):
         yield slice(0, len(contents))
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(contents), 0).to_numpy(zero_copy_only=False))
@@ -83,29 +85,31 @@ def _bucket(word: str, dim: int) -> int:
 
 
 def _bag_counts(dim: int, normalize: bool):
+    def count(texts: pa.Array, known: dict[str, int]) -> pa.Array:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        # Only the different words are looked at one by one.
+        distinct = words.dictionary.to_pylist()
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+        for word in distinct:
+            if word not in known:
+                known[word] = _bucket(word, dim)
+        bucket = np.array([known[w] for w in distinct], np.int64)
+        counted = np.array([w != "" for w in distinct], bool)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        real = counted[code] if len(code) else np.zeros(0, bool)
+        cells = row[real] * dim + bucket[code[real]] if len(code) else np.zeros(0, np.int64)
+        counts = np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float64)
+        return to_lists(unit_rows(counts)) if normalize else to_lists(counts).cast(pa.list_(pa.float32()))
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
         for texts in batches:
-            split = pc.ascii_split_whitespace(texts)
-            words = split.flatten().dictionary_encode()
-            # Only the different words of a batch are looked at one by one.
-            distinct = words.dictionary.to_pylist()
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            for word in distinct:
-                if word not in known:
-                    known[word] = _bucket(word, dim)
-            bucket = np.array([known[w] for w in distinct], np.int64)
-            counted = np.array([w != "" for w in distinct], bool)
-            code = words.indices.to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-            real = counted[code] if len(code) else np.zeros(0, bool)
-            cells = row[real] * dim + bucket[code[real]] if len(code) else np.zeros(0, np.int64)
-            counts = np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float64)
-            if normalize:
-                yield to_lists(unit_rows(counts))
-            else:
-                yield to_lists(counts).cast(pa.list_(pa.float32()))
+            # A batch holds thousands of texts; their words are never all there together.
+            parts = [count(texts.slice(p.start, p.stop - p.start), known) for p in _calls(texts, COUNTED_BYTES)]
+            yield pa.concat_arrays(parts) if parts else count(texts, known)
 
     # Declared nondeterministic so that no optimizer rule (a filter on the result, an
     # explode of it) makes Spark encode a text twice.
