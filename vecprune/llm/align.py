@@ -3,6 +3,11 @@
 *Links.*  Token ends of both tokenizers cut a text in stretches, each of which lies in one token
 of either; so a stretch is a link, and both tokenizers' common ends cut the tokens into groups.
 
+*Pieces.*  Where both tokenizers always cut before a single blank between printable ASCII
+characters, which their files tell, a text is the sequence of its pieces between such blanks; a
+worker aligns each different piece once and remembers it, in bounded memory.  Otherwise, and in
+scripts without blanks, a piece is as long as the text.
+
 *Spilled runs.*  A task packs the links of its documents into records (pair, document, times).
 When its buffer is full, the records are sorted, dealt by the B id into ``RADIX`` parts and
 written as zstd runs to a stage table: a directory of pairs with their links, and the documents.
@@ -27,8 +32,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json as jsons
 import os
 import pathlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -52,6 +59,10 @@ RUNS_PER_SPLIT = 128
 BLOCK = 1 << 12
 COUNTS_PER_BLOCK = 1 << 18
 CHUNK = 1 << 20
+# What a worker remembers of pieces, and what one takes besides its text, links and groups, about.
+MEMO_BYTES = 96 << 20
+PIECE_BYTES = 280
+BLOCK_PIECES = 1024
 MAX_FILE_BYTES = 64 << 20
 
 
@@ -86,30 +97,58 @@ class Tokens:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(n) else piece.replace("▁", " ").encode())
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides for each text; none where the bytes are not a blank and the text."""
-        spaced = [" " + t for t in texts]
-        found = []
-        for text, a, b in zip(
-            spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)
-        ):
-            data, a_ids = text.encode(), a.ids
-            same = b"".join(map(self.a_bytes.__getitem__, a_ids)) == data
-            same = same and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            found.append((a_ids, b) if same else ([], []))
+        self.apart = a_apart(json) and b_apart(model)
+
+    def encode(self, blocks: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, list[int]]]:
+        """For runs of blocks: ids of both sides and the sizes of the pieces they are of.
+
+        A block's pieces, each with a blank before it, are encoded as one text.  Pieces that a
+        tokenizer does not give back byte by byte get no ids.
+        """
+        spaced = [b"".join(block) for block in blocks]
+        texts = [data.decode() for data in spaced]
+        left = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        right = self.b.encode([t[1:] for t in texts], num_threads=1)
+        none, found = np.zeros(0, np.int64), []
+        for block, data, a, b in zip(blocks, spaced, left, right):
+            ids = a.ids
+            same = b"".join(map(self.a_bytes.__getitem__, ids)) == data
+            if same and b"".join(map(self.b_bytes.__getitem__, b)) == data:
+                found.append((np.array(ids, np.int64), np.array(b, np.int64), list(map(len, block))))
+            elif len(block) > 1:
+                found += self.encode([[piece] for piece in block])
+            else:
+                found.append((none, none, [0]))
         return found
 
 
-_tokens: dict[tuple[bytes, bytes], Tokens] = {}
+def a_apart(json: bytes) -> bool:
+    """Does the tokenizer cut before each blank between printable ASCII characters, in any text?
 
-
-def _both(files: tuple[bytes, bytes]) -> Tokens:
-    """The tokenizers of two files; a worker keeps them from task to task."""
-    if files not in _tokens:
-        _tokens.clear()
-        _tokens[files] = Tokens(*files)
-    return _tokens[files]
+    Byte-level patterns take a blank only as the first character of what is no blank space.
+    """
+    file = jsons.loads(json)
+    before, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = not any(file.get(x) for x in ("normalizer", "truncation", "padding"))
+    plain = plain and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    # Special tokens are plain text here; other added ones are matched before the pattern.
+    plain = plain and model["type"] == "BPE" and all(x["special"] for x in file.get("added_tokens") or ())
+    return plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+
+
+def b_apart(model: bytes) -> bool:
+    """The same of a sentencepiece model: no entry goes on after a character with a blank."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    file = sentencepiece_model_pb2.ModelProto()
+    file.ParseFromString(model)
+    trainer, rules = file.trainer_spec, file.normalizer_spec
+    plain = trainer.model_type == trainer.BPE and not trainer.treat_whitespace_as_suffix
+    plain = plain and not rules.precompiled_charsmap and not rules.remove_extra_whitespaces
+    plain = plain and rules.add_dummy_prefix and rules.escape_whitespaces
+    return plain and not any(re.search("[^▁]▁", x.piece) for x in file.pieces)
 
 
 _DIGITS = np.array([list(str(n).ljust(5).encode()) for n in range(1 << 16)], np.uint8)
@@ -117,29 +156,29 @@ _N_DIGITS = np.array([len(str(n)) for n in range(1 << 16)])
 
 
 class Aligned:
-    """Links and groups of the documents of a chunk, whose bytes stand one after the other."""
+    """Links and groups of pieces, whose bytes stand one after the other."""
 
-    def __init__(self, tokens: Tokens, encoded: list[tuple[list[int], list[int]]]) -> None:
-        self.n_a = np.array([len(a) for a, _ in encoded], np.int64)
-        self.n_b = np.array([len(b) for _, b in encoded], np.int64)
-        a_ids = self.a_ids = np.array([x for a, _ in encoded for x in a], np.int64)
-        b_ids = self.b_ids = np.array([x for _, b in encoded for x in b], np.int64)
+    def __init__(self, tokens: Tokens, encoded: list[tuple[np.ndarray, np.ndarray, list[int]]]) -> None:
+        size = np.array([n for *_, sizes in encoded for n in sizes], np.int64)
+        a_ids = self.a_ids = np.concatenate([a for a, *_ in encoded])
+        b_ids = self.b_ids = np.concatenate([b for _, b, _ in encoded])
         a_end, b_end = np.cumsum(tokens.a_size[a_ids]), np.cumsum(tokens.b_size[b_ids])
+        ends = np.cumsum(size)
+        self.n_a, self.n_b = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (a_end, b_end))
         total = int(a_end[-1]) if len(a_end) else 0
         ends_a, ends_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
         ends_a[a_end], ends_b[b_end] = True, True
         stretch = np.flatnonzero(ends_a | ends_b)
-        self.link_a, self.link_b = np.searchsorted(a_end, stretch), np.searchsorted(b_end, stretch)
-        doc_of_a = np.repeat(np.arange(len(encoded)), self.n_a)
-        self.doc = doc_of_a[self.link_a]
-        self.pair = (b_ids[self.link_b] << 16 | a_ids[self.link_a]).astype(np.uint32)
+        link_a, link_b = np.searchsorted(a_end, stretch), np.searchsorted(b_end, stretch)
+        of_a = np.repeat(np.arange(len(size)), self.n_a)
+        self.pair = (b_ids[link_b] << 16 | a_ids[link_a]).astype(np.uint32)
         common = np.flatnonzero(ends_a & ends_b)
-        self.n_groups = np.bincount(doc_of_a[np.searchsorted(a_end, common)], minlength=len(encoded))
-        self.n_links = np.bincount(self.doc, minlength=len(encoded))
+        self.n_groups = np.bincount(of_a[np.searchsorted(a_end, common)], minlength=len(size))
+        self.n_links = np.bincount(of_a[link_a], minlength=len(size))
         self.group_a, self.group_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
 
-    def group_digests(self) -> list[str]:
-        """Digest of each document's groups as text; that of a document without tokens is empty."""
+    def group_texts(self) -> list[bytes]:
+        """Each piece's groups as text."""
         group_a, group_b = self.group_a, self.group_b
         n_groups = len(group_a) and int(group_a[-1]) + 1
         before_b = np.searchsorted(group_b, np.arange(n_groups))  # B tokens before each group
@@ -161,7 +200,105 @@ class Aligned:
         out[end - 1] = sign
         data = out.tobytes()
         bounds = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
-        return [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(bounds, bounds[1:])]
+        return [data[x : y - 1] if y > x else b"" for x, y in zip(bounds, bounds[1:])]
+
+
+def piece_starts(data: np.ndarray, starts: np.ndarray, apart: bool) -> np.ndarray:
+    """Where pieces begin in texts that begin at ``starts``: there, and before the blanks that cut."""
+    if not apart or len(data) < 3:
+        return starts
+    shown = (data > 0x20) & (data < 0x7F)
+    cuts = np.zeros(len(data), bool)
+    cuts[1:-1] = shown[:-2] & (data[1:-1] == 0x20) & shown[2:]
+    cuts[starts] = True
+    return np.flatnonzero(cuts)
+
+
+def in_blocks(pieces: list[bytes], apart: bool) -> list[list[bytes]]:
+    """Pieces that tokenizers cut off wherever they stand, many to a block, and the others alone."""
+    if not apart:
+        return [[p] for p in pieces]
+    shown = [len(p) > 1 and 0x20 < p[1] < 0x7F and 0x20 < p[-1] < 0x7F for p in pieces]
+    clean = [p for p, yes in zip(pieces, shown) if yes]
+    blocks = [clean[i : i + BLOCK_PIECES] for i in range(0, len(clean), BLOCK_PIECES)]
+    return blocks + [[p] for p, yes in zip(pieces, shown) if not yes]
+
+
+class Pieces:
+    """Alignments of pieces, which are remembered until they take ``limit`` bytes."""
+
+    def __init__(self, tokens: Tokens, limit: int = MEMO_BYTES) -> None:
+        self.tokens, self.limit = tokens, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.groups: list[bytes] = []
+        # Of each piece: A tokens, B tokens, groups, links, and where its links begin.
+        self.sizes = np.zeros((5, 0), np.int64)
+        self.pairs = np.zeros(0, np.uint32)
+        self.held = 0
+
+    def look_up(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of the pieces; each is a blank and more."""
+        if self.held > self.limit:
+            self.forget()
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if new:
+            blocks = in_blocks(new, self.tokens.apart)
+            new = [p for block in blocks for p in block]
+            found = Aligned(self.tokens, self.tokens.encode(blocks))
+            groups = found.group_texts()
+            begin = len(self.pairs) + np.cumsum(found.n_links) - found.n_links
+            sizes = np.stack([found.n_a, found.n_b, found.n_groups, found.n_links, begin])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.groups += groups
+            self.sizes, self.pairs = np.hstack([self.sizes, sizes]), np.concatenate([self.pairs, found.pair])
+            self.held += sum(map(len, new)) + sum(map(len, groups)) + found.pair.nbytes + PIECE_BYTES * len(new)
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+
+class Documents:
+    """Links, groups and token counts of texts, from those of their pieces."""
+
+    def __init__(self, pieces: Pieces, texts: list[str]) -> None:
+        spaced = [b" " + t.encode() for t in texts]
+        filled = np.flatnonzero([len(t) > 1 for t in spaced])
+        spaced = [spaced[i] for i in filled.tolist()]
+        ends = np.cumsum([len(t) for t in spaced], dtype=np.int64)
+        starts = ends - np.array([len(t) for t in spaced], np.int64)
+        data = b"".join(spaced)
+        cuts = piece_starts(np.frombuffer(data, np.uint8), starts, pieces.tokens.apart)
+        at = [*cuts.tolist(), len(data)]
+        which = pieces.look_up([data[a:b] for a, b in zip(at, at[1:])])
+        owner = filled[np.searchsorted(starts, cuts, side="right") - 1]
+        # A text that a tokenizer does not give back has a piece without tokens, and none itself.
+        whole = np.ones(len(texts), bool)
+        whole[owner[pieces.sizes[0, which] == 0]] = False
+        which, owner = which[whole[owner]], owner[whole[owner]]
+        sizes = pieces.sizes[:, which]
+        self.n_a, self.n_b, self.n_groups, self.n_links = (
+            np.bincount(owner, n, len(texts)).astype(np.int64) for n in sizes[:4]
+        )
+        links, begin = sizes[3], sizes[4]
+        place = np.repeat(begin - (np.cumsum(links) - links), links) + np.arange(links.sum())
+        self.pair, self.doc = pieces.pairs[place], np.repeat(owner, links)
+        groups = list(map(pieces.groups.__getitem__, which.tolist()))
+        first = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        self.digests = [
+            hashlib.sha256(b";".join(groups[a:b])).hexdigest() if b > a else "" for a, b in zip(first, first[1:])
+        ]
+
+
+_pieces: dict[tuple[bytes, bytes], Pieces] = {}
+
+
+def _both(files: tuple[bytes, bytes]) -> Pieces:
+    """Pieces by the tokenizers of two files; a worker keeps them from task to task."""
+    if files not in _pieces:
+        _pieces.clear()
+        _pieces[files] = Pieces(Tokens(*files))
+    return _pieces[files]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -296,23 +433,18 @@ def encode_documents(docs: DataFrame, files, id_col: str, text_col: str, radix:
         )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, spilled = _both(files.value), Runs(radix, run_links)
+        pieces, spilled = _both(files.value), Runs(radix, run_links)
         row = TaskContext.get().partitionId() << 33
         id_type = None
         for batch in batches:
             for part in chunks(batch, text_col, CHUNK):
-                texts = [t or "" for t in part.column(text_col).to_pylist()]
-                filled = [i for i, t in enumerate(texts) if t]
-                encoded = [([], [])] * len(texts)
-                for i, both in zip(filled, tokens.encode([texts[i] for i in filled])):
-                    encoded[i] = both
-                aligned = Aligned(tokens, encoded)
-                n, id_type = len(texts), part.column(id_col).type
+                aligned = Documents(pieces, [t or "" for t in part.column(text_col).to_pylist()])
+                n, id_type = part.num_rows, part.column(id_col).type
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([DOC] * n, pa.int32()), pa.array(row + np.arange(n)), part.column(id_col),
                         pa.array(aligned.n_a), pa.array(aligned.n_b), pa.array(aligned.n_groups), pa.array(aligned.n_links),
-                        pa.array(aligned.group_digests(), pa.string()), pa.nulls(n, pa.int32()),
+                        pa.array(aligned.digests, pa.string()), pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                     ],
                     names=names,
