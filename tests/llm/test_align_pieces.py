@@ -20,7 +20,7 @@ def tokens():
 
 def _texts():
     rng = random.Random(11)
-    signs = ["a", "b's", "I'll", " ", "  ", "\n", "\t", "\xa0", " ", "▁", "́", "é", "中", "7", "...", "<s>", "\x00"]
+    signs = ["a", "b's", "I'll", " ", "  ", "\n", "\t", "\xa0", " ", "▁", "́", "é", "ñ", "à", "ж", "ب", "\x85", "\u2003", "\u3000", "中", "7", "...", "<s>", "\x00"]
     texts = ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(400)]
     texts += [" ".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(400)]
     return texts + [t or "" for _, t, *_ in hard_rows() if len(t or "") < 20_000] + [prose(5, 900), "<|endoftext|> x", " ", "y "]

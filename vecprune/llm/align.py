@@ -3,8 +3,8 @@
 *Links.*  Token ends of both tokenizers cut a text in stretches, each of which lies in one token
 of either; so a stretch is a link, and both tokenizers' common ends cut the tokens into groups.
 
-*Pieces.*  Where both tokenizers always cut before a single blank between printable ASCII
-characters, which their files tell, a text is the sequence of its pieces between such blanks; a
+*Pieces.*  Where both tokenizers always cut before a single blank between letters or signs
+(up to U+07FF), which their files tell, a text is the sequence of its pieces between such blanks; a
 worker aligns each different piece once and remembers it, in bounded memory.  Otherwise, and in
 scripts without blanks, a piece is as long as the text.
 
@@ -123,7 +123,7 @@ class Tokens:
 
 
 def a_apart(json: bytes) -> bool:
-    """Does the tokenizer cut before each blank between printable ASCII characters, in any text?
+    """Does the tokenizer cut before each single blank, in any text?
 
     Byte-level patterns take a blank only as the first character of what is no blank space.
     """
@@ -203,13 +203,23 @@ class Aligned:
         return [data[x : y - 1] if y > x else b"" for x, y in zip(bounds, bounds[1:])]
 
 
+# First bytes of characters of two bytes from U+00C0 on; none of these is a blank of any kind.
+_TWO = np.zeros(256, bool)
+_TWO[0xC3:0xE0] = True
+_LAST = np.zeros(256, bool)
+_LAST[0x21:0x7F] = True
+_FIRST = _TWO | _LAST
+_FIRSTS, _LASTS, _TWOS = (frozenset(np.flatnonzero(x).tolist()) for x in (_FIRST, _LAST, _TWO))
+
+
 def piece_starts(data: np.ndarray, starts: np.ndarray, apart: bool) -> np.ndarray:
     """Where pieces begin in texts that begin at ``starts``: there, and before the blanks that cut."""
     if not apart or len(data) < 3:
         return starts
-    shown = (data > 0x20) & (data < 0x7F)
+    first, last = _FIRST[data], _LAST[data]
+    last[1:] |= _TWO[data[:-1]]
     cuts = np.zeros(len(data), bool)
-    cuts[1:-1] = shown[:-2] & (data[1:-1] == 0x20) & shown[2:]
+    cuts[1:-1] = last[:-2] & (data[1:-1] == 0x20) & first[2:]
     cuts[starts] = True
     return np.flatnonzero(cuts)
 
@@ -218,7 +228,7 @@ def in_blocks(pieces: list[bytes], apart: bool) -> list[list[bytes]]:
     """Pieces that tokenizers cut off wherever they stand, many to a block, and the others alone."""
     if not apart:
         return [[p] for p in pieces]
-    shown = [len(p) > 1 and 0x20 < p[1] < 0x7F and 0x20 < p[-1] < 0x7F for p in pieces]
+    shown = [len(p) > 1 and p[1] in _FIRSTS and (p[-1] in _LASTS or p[-2] in _TWOS) for p in pieces]
     clean = [p for p, yes in zip(pieces, shown) if yes]
     blocks = [clean[i : i + BLOCK_PIECES] for i in range(0, len(clean), BLOCK_PIECES)]
     return blocks + [[p] for p, yes in zip(pieces, shown) if not yes]
