@@ -7,7 +7,8 @@ same pass takes all windows of the training documents for the model.
 *Model.*  Ids with the most counts have a slot each, the rest share one, in which an id has its
 own frequency; so a probability is given for every id.  Windows are dealt to shards by a hash of
 their text and number; how many shards there are follows from the number of windows, and a shard
-has its windows in the order of the hash.  Rounds of training run in parallel: a task descends
+has its windows in the order of the hash.  On disk the ids of a text stand once, windows are made
+from them on the way to the shards, and a shard is one compressed row that all rounds read.  Rounds of training run in parallel: a task descends
 over a shard, and the shards' weights, of fixed size, are averaged by their windows.  So the model
 depends on the documents alone, not on how they are partitioned.
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from vecprune.llm.bpe import Encoder, read_ranks
 from vecprune.llm.langid import in_fold
 from vecprune.llm.text import Words, chunks, mix, span_hash
 from vecprune.session import ship_package
-from vecprune.staging import stage_table
+from vecprune.staging import drop_stage, stage_table
 
 ROUNDS = 2
 RATES = (0.02, 0.006)
@@ -47,6 +49,9 @@ N_IDS = 1 << 16
 END, BEFORE, PAD = N_IDS - 3, N_IDS - 2, N_IDS - 1
 WORD, SUBWORD, WINDOW = 0, 1, 2
 SHARD_WINDOWS = 1 << 17
+# Windows that a task deals out at once.
+DEALT_WINDOWS = 1 << 18
+FED_WINDOWS = 1 << 13
 
 
 class Subwords:
@@ -108,9 +113,10 @@ class Subwords:
         return Chunk(words, hashes, which, ids, np.concatenate([[0], total[text_end]]))
 
 
-class Chunk:
-    def __init__(self, words: Words, hashes, which, ids: np.ndarray, offsets: np.ndarray) -> None:
-        self.words, self.hashes, self.which = words, hashes, which
+class Texts:
+    """Ids of texts, one after the other, and the windows in them."""
+
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray) -> None:
         self.ids, self.offsets = ids, offsets
         size = np.diff(offsets)
         count = 1 + np.maximum(0, -(-(size - net.LENGTH) // net.STRIDE))
@@ -131,6 +137,12 @@ class Chunk:
         return ids, scored
 
 
+class Chunk(Texts):
+    def __init__(self, words: Words, hashes, which, ids: np.ndarray, offsets: np.ndarray) -> None:
+        super().__init__(ids, offsets)
+        self.words, self.hashes, self.which = words, hashes, which
+
+
 _subwords: dict[bytes, Subwords] = {}
 
 
@@ -142,11 +154,60 @@ def _reader(file: bytes) -> Subwords:
     return _subwords[file]
 
 
+def packed(longs: np.ndarray, ids: np.ndarray) -> bytes:
+    """64-bit values and 16-bit ids, by their high and low bytes, in one zstd frame."""
+    flat = np.ascontiguousarray(ids, np.uint16).ravel()
+    halves = [(flat >> 8).astype(np.uint8).tobytes(), flat.astype(np.uint8).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([longs.astype(np.int64).tobytes(), *halves]))
+
+
+def unpacked(blob: bytes, n_longs: int) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    high, low = np.frombuffer(data, np.uint8, offset=8 * n_longs).reshape(2, -1).astype(np.uint16)
+    return np.frombuffer(data, np.int64, n_longs), high << 8 | low
+
+
 def gather(train: DataFrame, file, text_col: str) -> DataFrame:
-    """A stage table of counts and windows of the training documents.
+    """Counts and windows of the training documents.
 
     Rows are (WORD, hash, count), (SUBWORD, id, count) and (WINDOW, hash, NULL, ids).
     """
+    return unfolded(gather_texts(train, file, text_col))
+
+
+def windows_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and ids of the windows in packed texts, some at a time."""
+    for batch in batches:
+        for texts, blob in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist()):
+            longs, ids = unpacked(blob, 2 * texts)
+            found = Texts(ids, np.concatenate([[0], np.cumsum(longs[texts:])]))
+            key = mix(longs[:texts].view(np.uint64)[found.owner] + mix(found.nth)).view(np.int64)
+            for at in range(0, len(key), FED_WINDOWS):
+                pick = np.arange(at, min(at + FED_WINDOWS, len(key)))
+                yield key[pick], found.windows(pick)[0]
+
+
+def windows_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same from a row for each window."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.column("key").to_numpy(), ids_of(batch.column("ids"), net.LENGTH + 1)
+
+
+def unfolded(gathered: DataFrame) -> DataFrame:
+    """The rows of ``gather``, in which windows are made from the texts' ids as they are read."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids in windows_of_texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key), blobs_of(ids)], names=["key", "ids"])
+
+    windows = gathered.filter(F.col("kind") == WINDOW).select("key", "ids").mapInArrow(kernel, "key long, ids binary")
+    windows = windows.select(F.lit(WINDOW).alias("kind"), "key", F.lit(None).cast("long").alias("n"), "ids")
+    return gathered.filter(F.col("kind") != WINDOW).unionByName(windows)
+
+
+def gather_texts(train: DataFrame, file, text_col: str) -> DataFrame:
+    """A stage table of counts and of texts as (WINDOW, number of texts, of windows, hashes and ids)."""
     schema = "kind int, key long, n long, ids binary"
 
     def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -172,13 +233,11 @@ def gather(train: DataFrame, file, text_col: str) -> DataFrame:
                     if held_rows > HELD_WORDS // 2:
                         yield rows(WORD, *held[0])
                         held, held_rows = [], 0
-                pick = np.arange(len(chunk.owner))
-                ids, _ = chunk.windows(pick)
                 text = span_hash(chunk.words.prefix, chunk.words.offsets[:-1], chunk.words.offsets[1:])
-                key = mix(text[chunk.owner] + mix(chunk.nth)).view(np.int64)
-                kind = pa.array(np.full(len(pick), WINDOW, np.int32))
-                columns = [kind, pa.array(key), pa.nulls(len(pick), pa.int64()), blobs_of(ids)]
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "ids"])
+                longs = np.concatenate([text.view(np.int64), np.diff(chunk.offsets)])
+                columns = [[WINDOW], [len(text)], [len(chunk.owner)], [packed(longs, chunk.ids)]]
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "n", "ids"])
         if held:
             yield rows(WORD, *_summed(held))
         seen = np.flatnonzero(subwords)
@@ -230,45 +289,81 @@ class Slots:
         return np.where(real, self.slot[windows], 0), real
 
 
+def shards_of(source: DataFrame, windows_of, shards: int) -> DataFrame:
+    """A stage table of ``shard, n, ids``: all windows of a shard by their keys, in one row.
+
+    ``windows_of`` reads them from the batches of ``source``.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            key, ids = (np.concatenate(x) for x in zip(*held))
+            shard = key % shards
+            order = np.argsort(shard, kind="stable")
+            number, first, n = np.unique(shard[order], return_index=True, return_counts=True)
+            cuts = [order[a : a + m] for a, m in zip(first.tolist(), n.tolist())]
+            blobs = pa.array([packed(key[cut], ids[cut]) for cut in cuts], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(number), pa.array(n), blobs], names=["shard", "n", "ids"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for key, ids in windows_of(batches):
+            held.append((key, ids))
+            size += len(key)
+            if size >= DEALT_WINDOWS:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, rows = None, [], []
+        for batch in batches:
+            for shard, n, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "ids"))):
+                key, ids = unpacked(blob, n)
+                keys.append(key)
+                rows.append(ids.reshape(n, -1))
+        # Equal keys are windows of equal texts, so this order is that of the data.
+        key = np.concatenate(keys)
+        ids = np.concatenate(rows)[np.argsort(key, kind="stable")]
+        columns = [pa.array([shard], pa.int64()), pa.array([len(key)], pa.int64()), pa.array([packed(key[:0], ids)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["shard", "n", "ids"])
+
+    schema = "shard long, n long, ids binary"
+    dealt = source.select("key", "ids").mapInArrow(deal, schema).repartition(shards, "shard")
+    return stage_table(dealt.groupBy("shard").applyInArrow(join, schema), "lm-shards")
+
+
 def train_model(windows: DataFrame, slots: Slots, shard_windows: int = SHARD_WINDOWS) -> net.Params:
-    """Rounds of parallel descent over ``(key, ids)``; after each the shards' weights are averaged."""
-    spark = windows.sparkSession
+    """The model from windows as rows ``(key, ids)``."""
+    shards = -(-windows.count() // shard_windows)
+    return train_rounds(windows, windows_of_rows, shards, slots)
+
+
+def train_rounds(source: DataFrame, windows_of, shards: int, slots: Slots) -> net.Params:
+    """Rounds of parallel descent over shards of windows; after each their weights are averaged."""
+    spark = source.sparkSession
     params = net.initial(slots.counts)
     part = 1024
-    shards = -(-windows.count() // shard_windows)
     if not shards:
         return params
-    dealt = windows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "ids")
-    # Equal keys are windows of equal texts, so this order is that of the data.
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+    dealt = shards_of(source, windows_of, shards)
     for rate in RATES[:ROUNDS]:
         sent = spark.sparkContext.broadcast((params, slots))
 
         def kernel(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
             params, slots = sent.value
-            shard, descent, seen = None, None, 0
-
-            def weights() -> pa.RecordBatch:
-                flat = net.flat(descent.end()).astype(np.float64) * seen
-                cut = [flat[i : i + part].tobytes() for i in range(0, len(flat), part)]
-                columns = [np.arange(len(cut)), np.full(len(cut), shard), np.full(len(cut), seen)]
-                arrays = [pa.array(c.astype(np.int64)) for c in columns]
-                return pa.RecordBatch.from_arrays([*arrays, pa.array(cut, pa.binary())], names=["part", "shard", "n", "weights"])
-
             for batch in batches:
-                numbers = batch.column("shard").to_numpy()
-                starts = np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1))
-                for a, b in zip(starts, [*starts[1:], len(numbers)]):
-                    if shard != numbers[a]:
-                        if descent is not None:
-                            yield weights()
-                        shard, descent, seen = int(numbers[a]), net.Descent(params, rate), 0
-                    ids = ids_of(batch.column("ids").slice(a, b - a), net.LENGTH + 1)
-                    window, real = slots.of(ids)
-                    descent.feed(window, real[:, 1:].astype(np.float32))
-                    seen += len(ids)
-            if descent is not None:
-                yield weights()
+                for shard, seen, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "ids"))):
+                    ids, descent = unpacked(blob, 0)[1].reshape(seen, -1), net.Descent(params, rate)
+                    for at in range(0, seen, FED_WINDOWS):
+                        window, real = slots.of(ids[at : at + FED_WINDOWS])
+                        descent.feed(window, real[:, 1:].astype(np.float32))
+                    flat = net.flat(descent.end()).astype(np.float64) * seen
+                    cut = [flat[i : i + part].tobytes() for i in range(0, len(flat), part)]
+                    columns = [np.arange(len(cut)), np.full(len(cut), shard), np.full(len(cut), seen)]
+                    arrays = [pa.array(c.astype(np.int64)) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(cut, pa.binary())], names=["part", "shard", "n", "weights"])
 
         def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, found = 0, []
@@ -287,6 +382,7 @@ def train_model(windows: DataFrame, slots: Slots, shard_windows: int = SHARD_WIN
         schema = "part long, shard long, n long, weights binary"
         made = dealt.mapInArrow(kernel, schema).groupBy("part").applyInArrow(total, "part long, weights binary")
         params = net.unflat(np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(made.collect())]))
+    drop_stage(dealt)
     return params
 
 
@@ -318,17 +414,20 @@ def scores(
     if n_ids > END:
         raise ValueError("ids of the tokenizer must fit 16 bits")
     file = spark.sparkContext.broadcast(content)
-    gathered = gather(train, file, text_col)
+    gathered = gather_texts(train, file, text_col)
     found = gathered.filter(F.col("kind") == SUBWORD).groupBy("key").agg(F.sum("n")).collect()
     subwords = np.zeros(N_IDS, np.int64)
     for key, n in found:
         subwords[key] = n
     slots = Slots(subwords, n_ids)
-    params = train_model(gathered.filter(F.col("kind") == WINDOW).select("key", "ids"), slots)
-
     counts = stage_table(
         gathered.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "lm-counts"
     )
+    texts = gathered.filter(F.col("kind") == WINDOW)
+    shards = -(-(texts.agg(F.sum("n")).first()[0] or 0) // SHARD_WINDOWS)
+    # One kernel makes windows and deals them: a second one would be a second worker for each task.
+    params = train_rounds(texts, windows_of_texts, shards, slots)
+    drop_stage(gathered)
     words = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     ends = int(subwords[END])
     train_tokens, distinct = (words.n or 0) + ends, words.v + (ends > 0)
