@@ -44,13 +44,14 @@ RATES = (0.02, 0.006)
 FREQUENT = 1 << 19
 HELD_WORDS = 1 << 20
 REMEMBERED = 1_500_000
-CHUNK = 4 << 20
+# Bytes of text read at once; the arrays for them take about fifty times as many.
+CHUNK = 2 << 20
 N_IDS = 1 << 16
 END, BEFORE, PAD = N_IDS - 3, N_IDS - 2, N_IDS - 1
 WORD, SUBWORD, WINDOW = 0, 1, 2
 SHARD_WINDOWS = 1 << 17
 # Windows that a task deals out at once.
-DEALT_WINDOWS = 1 << 18
+DEALT_WINDOWS = 1 << 16
 FED_WINDOWS = 1 << 13
 
 
@@ -353,6 +354,8 @@ def train_rounds(source: DataFrame, windows_of, shards: int, slots: Slots) -> ne
 
         def kernel(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
             params, slots = sent.value
+            # Training needs the room of the words that this worker remembers from the counts.
+            _subwords.clear()
             for batch in batches:
                 for shard, seen, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "ids"))):
                     ids, descent = unpacked(blob, 0)[1].reshape(seen, -1), net.Descent(params, rate)
