@@ -23,6 +23,8 @@ table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ FREQUENT = 1 << 19
 HELD_WORDS = 1 << 20
 REMEMBERED = 1_500_000
 # Bytes of text read at once; the arrays for them take about fifty times as many.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 N_IDS = 1 << 16
 END, BEFORE, PAD = N_IDS - 3, N_IDS - 2, N_IDS - 1
 WORD, SUBWORD, WINDOW = 0, 1, 2
@@ -155,6 +157,13 @@ def _reader(file: bytes) -> Subwords:
     return _subwords[file]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: the executor and its other workers have one limit together."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def packed(longs: np.ndarray, ids: np.ndarray) -> bytes:
     """64-bit values and 16-bit ids, by their high and low bytes, in one zstd frame."""
     flat = np.ascontiguousarray(ids, np.uint16).ravel()
@@ -223,6 +232,7 @@ def gather_texts(train: DataFrame, file, text_col: str) -> DataFrame:
         held_rows = 0
         subwords = np.zeros(N_IDS, np.int64)
         for batch in batches:
+            give_back()
             for part in chunks(batch, text_col, CHUNK):
                 chunk = reader.ids(part.column(text_col))
                 subwords += np.bincount(chunk.ids, minlength=N_IDS)
@@ -306,6 +316,7 @@ def shards_of(source: DataFrame, windows_of, shards: int) -> DataFrame:
             blobs = pa.array([packed(key[cut], ids[cut]) for cut in cuts], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(number), pa.array(n), blobs], names=["shard", "n", "ids"])
 
+        give_back()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for key, ids in windows_of(batches):
@@ -357,6 +368,7 @@ def train_rounds(source: DataFrame, windows_of, shards: int, slots: Slots) -> ne
             # Training needs the room of the words that this worker remembers from the counts.
             _subwords.clear()
             for batch in batches:
+                give_back()
                 for shard, seen, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "ids"))):
                     ids, descent = unpacked(blob, 0)[1].reshape(seen, -1), net.Descent(params, rate)
                     for at in range(0, seen, FED_WINDOWS):
@@ -444,16 +456,20 @@ def scores(
         logs = np.append(np.log10(n + 0.5), 0.0)
         end_log = np.log10(ends + 0.5)
         for batch in batches:
+            give_back()
             for part in chunks(batch, text_col, CHUNK):
                 chunk = reader.ids(part.column(text_col))
                 texts = part.num_rows
                 model = np.zeros(texts)
-                for at in range(0, len(chunk.owner), 4096):
-                    pick = np.arange(at, min(at + 4096, len(chunk.owner)))
-                    ids, scored = chunk.windows(pick)
-                    slot, _ = slots.of(ids)
-                    value = scorer.score(slot[:, :-1], slot[:, 1:]) + slots.within[ids[:, 1:]]
-                    np.add.at(model, chunk.owner[pick], (value * scored).sum(axis=1))
+                # The context of a later window is scored in the window before.
+                for first, some in ((0, chunk.nth == 0), (net.CONTEXT, chunk.nth > 0)):
+                    among = np.flatnonzero(some)
+                    for at in range(0, len(among), 4096):
+                        pick = among[at : at + 4096]
+                        ids, scored = chunk.windows(pick)
+                        slot, _ = slots.of(ids)
+                        value = scorer.score(slot[:, :-1], slot[:, 1:], first) + slots.within[ids[:, 1 + first :]]
+                        np.add.at(model, chunk.owner[pick], (value * scored[:, first:]).sum(axis=1))
                 # The base: words in the broadcast here, the others later.
                 mine = chunk.hashes.view(np.int64)
                 spot = np.searchsorted(keys, mine)
