@@ -184,7 +184,9 @@ class Forward:
         return e, c, h, z
 
 
-def slopes(params: Params, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, room: Room | None = None) -> Params:
+def slopes(
+    params: Params, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, room: Room | None = None
+) -> Params:
     """Gradient of the mean negative log-probability of the targets.
 
     Windows are taken in blocks whose arrays stay in the cache; a block adds to the sums.
@@ -235,9 +237,11 @@ def slopes(params: Params, inputs: np.ndarray, targets: np.ndarray, weight: np.n
         of_project += _across(e, back)
         de += _times(back, back_of_project, room("more", n, w))
         # Pairs of entries are added at once, as if they were complex.
-        np.add.at(g["embed"].ravel().view(np.complex64), (given.reshape(-1, 1) * (w // 2) + pairs).ravel(), de.ravel().view(np.complex64))
+        places = (given.reshape(-1, 1) * (w // 2) + pairs).ravel()
+        np.add.at(g["embed"].ravel().view(np.complex64), places, de.ravel().view(np.complex64))
     g["high"], g["low"] = of_out[:, :SIDE], of_out[:, SIDE:]
-    g["query"], g["key"], g["value"] = of_project[:, :w] / np.float32(np.sqrt(w)), of_project[:, w : 2 * w], of_project[:, 2 * w :]
+    g["query"] = of_project[:, :w] / np.float32(np.sqrt(w))
+    g["key"], g["value"] = of_project[:, w : 2 * w], of_project[:, 2 * w :]
     g["bias"] = np.bincount(_DISTANCE.ravel(), of_distance.ravel(), LENGTH).astype(np.float32)
     return g
 
@@ -291,7 +295,7 @@ class Scorer:
         self.forward = Forward(params, Room())
 
     def score(self, inputs: np.ndarray, targets: np.ndarray, first: int = 0) -> np.ndarray:
-        """Natural logarithm of the probability of each target from the first place on, given the slots up to its input."""
+        """Logarithm of the probability of each target from the first place on, given the slots up to its input."""
         out = np.empty((len(inputs), LENGTH - first), np.float32)
         for at in range(0, len(inputs), BLOCK):
             out[at : at + BLOCK] = self._score(inputs[at : at + BLOCK], targets[at : at + BLOCK, first:], first)
