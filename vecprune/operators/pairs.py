@@ -23,6 +23,21 @@ from vecprune.operators.kernels import STRIPE, to_matrix, unit_rows
 HELD_ROWS, STREAMED_ROWS = 1 << 14, 1 << 17
 # At least so many blocks.
 HELD, STREAMED = 2, 16
+# Where only flags are wanted, a task holds a sixteenth of the largest group up to these bytes of
+# vectors: up to there a row is sent to a number of tiles that does not grow with the group.
+HELD_PARTS, HELD_BYTES = 16, 64 << 20
+# Coordinates of a vector that bound its products, more of them that bound those of rows for which
+# many are left, and streamed rows that are bounded at once.
+LEADING, MORE, COLUMNS = 96, 256, 2048
+# Rows that the axes of these coordinates are made from, and that are turned at once.
+TURNED_ROWS = 8192
+# Pairs that are bounded by more coordinates, or multiplied as a whole, in about the time that one
+# pair picked out takes.
+BOUNDED_PAIRS, DENSE_PAIRS = 256, 32
+# Numbers of vectors picked out at once.
+PICKED_CELLS = 1 << 22
+# A cosine is near 1 or -1 by this much for rounding where its angle is taken.
+ANGLE_MARGIN = 1e-3
 
 
 def tile_blocks(block: int) -> tuple[int, int]:
@@ -30,6 +45,12 @@ def tile_blocks(block: int) -> tuple[int, int]:
     return max(HELD, HELD_ROWS // block), max(STREAMED, STREAMED_ROWS // block)
 
 
+def held_for_flags(block: int, largest: int, vector_bytes: int) -> int:
+    """How many blocks' rows a tile holds where only flags are wanted."""
+    rows = max(HELD_ROWS, min(largest // HELD_PARTS, HELD_BYTES // max(1, vector_bytes)))
+    return max(HELD, rows // block)
+
+
 def ddl_of(df: DataFrame, names: Sequence[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join(f"`{n}` {types[n]}" for n in names)
@@ -111,6 +132,169 @@ def earlier_in_tiles(keep: list[str], normalize: bool):
     return kernel
 
 
+def leading_axes(x: np.ndarray, number: int) -> np.ndarray:
+    """Orthonormal axes as columns: the first along the sum of the rows, the others about where
+    they vary most.  Which axes are taken changes the work, not the result."""
+    number = min(number, x.shape[1])
+    axes = np.random.default_rng(0).normal(size=(x.shape[1], number))
+    for _ in range(2):
+        axes, _ = np.linalg.qr(np.column_stack([x.sum(axis=0), x.T @ (x @ axes[:, 1:])]))
+    return axes
+
+
+def leading(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates of unit rows along the axes, and the length of what is left, in single precision.
+
+    By Cauchy and Schwarz the product of two such rows is at least that of the vectors.
+    """
+    out = np.empty((len(x), axes.shape[1] + 1), np.float32)
+    for lo in range(0, len(x), TURNED_ROWS):
+        some = x[lo : lo + TURNED_ROWS]
+        turned = some @ axes
+        left = np.einsum("ij,ij->i", some, some) - np.einsum("ij,ij->i", turned, turned)
+        out[lo : lo + TURNED_ROWS, :-1] = turned
+        out[lo : lo + TURNED_ROWS, -1] = np.sqrt(np.maximum(left, 0.0) + 1e-12)
+    return out
+
+
+def _angles(rows: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows[:, 0].astype(np.float64), -1.0, 1.0))
+
+
+class Flagged:
+    """The held rows of a tile, of which only is asked which levels their largest earlier product is above.
+
+    A row is open for the lowest level that it is not known to be above.  Its product with a streamed
+    row is made only if the angles to the first axis and the leading coordinates leave it
+    possible that it is above that level, beyond rounding.  Rows above all levels are left out.
+    """
+
+    def __init__(self, levels: list[float]) -> None:
+        self.levels = np.array([*sorted(levels), np.inf])
+        self.tables, self.parts = [], []
+        self.axes = None
+
+    def add(self, rows: pa.RecordBatch, keep: list[str]) -> None:
+        column = rows.column("_vec")
+        kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
+        self.parts.append(to_matrix(column).astype(kind))
+        self.tables.append(pa.Table.from_batches([rows]).select(list(dict.fromkeys([*keep, "_pos", "_best"]))))
+
+    def close(self) -> None:
+        """Called once all held rows are there."""
+        self.table = pa.concat_tables(self.tables)
+        self.vectors = np.concatenate(self.parts)
+        self.tables, self.parts = [], []
+        self.pos, self.best = self.table["_pos"].to_numpy(), self.table["_best"].to_numpy().copy()
+        self.axes = leading_axes(self.units(slice(None, None, -(-len(self.vectors) // TURNED_ROWS))), MORE)
+        # What the rounding of a bound may hide, many times over.
+        self.margin = (self.axes.shape[1] + 8) * 2.0**-22
+        lead = self.turned(self.axes[:, :LEADING])
+        # Rows of about the same angle go together.
+        self.live = np.argsort(_angles(lead), kind="stable")
+        self.lead, self.more = lead[self.live], None
+        self.angle = _angles(self.lead)
+        self.need = self.needed(self.live)
+
+    def units(self, rows) -> np.ndarray:
+        return unit_rows(self.vectors[rows].astype(np.float64))
+
+    def turned(self, axes: np.ndarray) -> np.ndarray:
+        starts = range(0, len(self.vectors), TURNED_ROWS)
+        return np.concatenate([leading(self.units(slice(lo, lo + TURNED_ROWS)), axes) for lo in starts])
+
+    def needed(self, rows: np.ndarray) -> np.ndarray:
+        """What a bound must be above to matter; infinite for rows above all levels."""
+        return self.levels[np.searchsorted(self.levels, self.best[rows], side="left")] - self.margin
+
+    def meet(self, y: np.ndarray, pos: np.ndarray) -> None:
+        """Compare with unit rows ``y``, of which those of lower ``pos`` count."""
+        lead = leading(y, self.axes[:, :LEADING])
+        angle = _angles(lead)
+        order = np.argsort(angle, kind="stable")
+        lead, angle, y, pos = lead[order], angle[order], y[order], pos[order]
+        more, before = None, pos.max() < self.pos.min()
+        for lo in range(0, len(self.live), STRIPE):
+            some = slice(lo, lo + STRIPE)
+            least = self.need[some].min()
+            if least == np.inf:
+                continue
+            reach = np.arccos(np.clip(least, -1.0, 1.0)) + ANGLE_MARGIN
+            a, b = np.searchsorted(angle, [self.angle[lo] - reach, self.angle[some][-1] + reach])
+            for at in range(a, b, COLUMNS):
+                end = min(at + COLUMNS, b)
+                bounds = self.lead[some] @ lead[at:end].T
+                near = np.flatnonzero(bounds.max(axis=1) > self.need[some])
+                if len(near):
+                    possible = bounds[near] > self.need[some][near, None]
+                    if not before:
+                        possible &= pos[None, at:end] < self.pos[self.live[lo + near]][:, None]
+                    columns = np.flatnonzero(possible.any(axis=0))
+                    possible = possible[:, columns]
+                    if np.count_nonzero(possible) * BOUNDED_PAIRS > possible.size and LEADING < self.axes.shape[1]:
+                        more = leading(y, self.axes) if more is None else more
+                        possible &= self.bounded_closer(lo + near) @ more[at + columns].T > self.need[lo + near, None]
+                    self.compare(lo + near, possible, y, at + columns)
+        if np.count_nonzero(self.need == np.inf) * 4 > len(self.live):
+            still = np.flatnonzero(self.need < np.inf)
+            self.live, self.lead, self.angle, self.need = self.live[still], self.lead[still], self.angle[still], self.need[still]
+            self.more = None if self.more is None else self.more[still]
+
+    def bounded_closer(self, at: np.ndarray) -> np.ndarray:
+        """More coordinates of held rows, made when they are first asked for."""
+        if self.more is None:
+            self.more = self.turned(self.axes)[self.live]
+        return self.more[at]
+
+    def compare(self, at: np.ndarray, possible: np.ndarray, y: np.ndarray, columns: np.ndarray) -> None:
+        """The products of held rows with the streamed rows ``columns`` that are possible for them."""
+        rows, number = self.live[at], np.count_nonzero(possible)
+        if number == 0:
+            return
+        if number * DENSE_PAIRS < possible.size:
+            i, j = np.nonzero(possible)
+            there, i = np.unique(i, return_inverse=True)
+            x, step = self.units(rows[there]), max(1, PICKED_CELLS // y.shape[1])
+            for lo in range(0, number, step):
+                some = slice(lo, lo + step)
+                products = np.einsum("ij,ij->i", x[i[some]], y[columns[j[some]]])
+                np.maximum.at(self.best, rows[there[i[some]]], products)
+        else:
+            sims = self.units(rows) @ y[columns].T
+            sims[~possible] = 0.0
+            self.best[rows] = np.maximum(self.best[rows], sims.max(axis=1))
+        self.need[at] = self.needed(rows)
+
+
+def flags_in_tiles(keep: list[str], levels: list[float]):
+    """Kernel: for each held row a product with an earlier streamed row, or its ``_best`` so far, that
+    is above the same ``levels`` as the largest of them."""
+
+    def finish(rows: Flagged) -> Iterator[pa.RecordBatch]:
+        if rows.axes is not None:
+            found = rows.table.select(keep).append_column("_best", pa.array(rows.best))
+            yield from found.to_batches()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, Flagged(levels)
+        for name, part in tile_runs(batches):
+            if name != tile:
+                yield from finish(rows)
+                tile, rows = name, Flagged(levels)
+            held, streamed = split_held(part)
+            if held.num_rows:
+                rows.add(held, keep)
+            if not streamed.num_rows or not (rows.parts or rows.axes is not None):
+                continue
+            if rows.axes is None:
+                rows.close()
+            if len(rows.live):
+                rows.meet(unit_rows(to_matrix(streamed.column("_vec"))), streamed.column("_pos").to_numpy())
+        yield from finish(rows)
+
+    return kernel
+
+
 def pair_values(x: np.ndarray, y: np.ndarray, x_pos: np.ndarray, y_pos: np.ndarray, diagonal: bool):
     """Largest, smallest and largest earlier product of each row of ``x`` and of ``y``, from 0 on.
 

@@ -11,8 +11,8 @@ blocks:
    the open rows of a cluster are packed together and compared again.  A flood of copies
    melts by about the block size in every round, so it never costs n² products.
 3. The open rows that are left meet the earlier blocks of their cluster, which stream past
-   them (``pairs``).  Where only flags are
-   wanted and the rows know their angle to a common pivot (the centroid), pairs of blocks whose
+   them (``pairs``).  Where only flags are wanted, products are made only where a few leading
+   coordinates leave it possible that they matter.  Where moreover the rows know their angle to a common pivot (the centroid), pairs of blocks whose
    angles are too far apart for any duplicate are left out: the angle between two vectors is
    at least the difference of their angles to a third.  In the order of the distance to the
    centroid a block covers a narrow range of angles.
@@ -34,7 +34,7 @@ from vecprune.functions.names import eps_column
 from vecprune.operators.joins import join_on_keys
 from vecprune.operators.kernels import best_earlier, to_matrix, unit_rows
 from vecprune.operators.ordinal import largest_group
-from vecprune.operators.pairs import HELD, ddl_of, earlier_in_tiles, tile_blocks, tile_name
+from vecprune.operators.pairs import HELD, ddl_of, earlier_in_tiles, flags_in_tiles, held_for_flags, tile_blocks, tile_name
 from vecprune.options import check_eps
 from vecprune.staging import stage_table
 
@@ -106,7 +106,7 @@ def max_earlier_sim(
     largest: int | None = None,
     carry: Sequence[str] = (),
     pivot_dist: str | None = None,
-    floor: float | None = None,
+    levels: Sequence[float] | None = None,
 ) -> DataFrame:
     """``(keys, id, order, carry, max_earlier_sim)``: the largest similarity of each item to any
     item earlier in its group, 0 for the first and never below 0.
@@ -115,9 +115,9 @@ def max_earlier_sim(
     run of a cluster.  ``carry`` names narrow columns to pass through.
     Vectors are normalized first; ``normalize=False`` gives the raw inner product.
     ``settle_at`` stops the search for an item once that similarity is found, the result
-    then being at least ``settle_at`` rather than the exact maximum.  Similarities up to
-    ``floor`` need not be found; ``pivot_dist`` names a carried column with the cosine distance
-    to a point that a group has in common.
+    then being at least ``settle_at`` rather than the exact maximum.  With ``levels`` the result
+    need only be above the same of them as the maximum; ``pivot_dist`` names a carried column with
+    the cosine distance to a point that a group has in common.
     """
     keys = list(keys)
     if settle_at is None:
@@ -156,7 +156,8 @@ def max_earlier_sim(
     state = stage_table(base.groupBy(*keys, "_blk").applyInArrow(inside, state_ddl), "inside")
     result = [*narrow, "_best"]
     done = [state.where("not _open").select(*result)]
-    prune_pairs = normalize and floor is not None and pivot_dist is not None
+    flags_only = normalize and levels is not None
+    prune_pairs = flags_only and pivot_dist is not None
     angle = F.acos(F.least(F.greatest(1.0 - F.col(pivot_dist), F.lit(-1.0)), F.lit(1.0))) if prune_pairs else F.lit(0.0)
     ranges = base.groupBy(*keys, "_blk").agg(F.min(angle).alias("_near"), F.max(angle).alias("_far"))
     ranges = stage_table(ranges, "ranges")
@@ -184,10 +185,13 @@ def max_earlier_sim(
         return finish(settled)
 
     # 3. What is still open against the earlier blocks, in runs of blocks and groups of packs
-    # that fill a tile.  Two neighbouring groups are held together, unless the angles choose.
+    # that fill a tile.
     held, streamed = tile_blocks(block)
-    run = held // HELD
-    together = run if prune_pairs else held
+    run, together = held // HELD, held
+    if flags_only:
+        width = base.select(F.size("_vec")).first()[0]
+        number = 4 if base.schema["_vec"].dataType.simpleString() == "array<float>" else 8
+        together = held_for_flags(block, largest, width * number)
     run_of = F.expr(f"_blk div {run}").alias("_run")
     runs = ranges.groupBy(*keys, run_of).agg(
         F.min("_near").alias("_near"), F.max("_far").alias("_far"), F.min("_blk").alias("_first_blk")
@@ -197,21 +201,22 @@ def max_earlier_sim(
     groups = of_group.groupBy(*keys, "_group").agg(
         F.min("_near").alias("_group_near"), F.max("_far").alias("_group_far"), F.max("_blk").alias("_last_blk")
     )
-    reach = float(np.arccos(np.clip(floor, -1.0, 1.0))) + ANGLE_MARGIN if prune_pairs else float("inf")
+    reach = float(np.arccos(np.clip(min(levels), -1.0, 1.0))) + ANGLE_MARGIN if prune_pairs else float("inf")
     gap = F.greatest(F.col("_group_near") - F.col("_far"), F.col("_near") - F.col("_group_far"))
     pairs = join_on_keys(runs, groups, keys).where((F.col("_first_blk") < F.col("_last_blk")) & (gap <= reach))
     pairs = stage_table(pairs.select(*keys, "_run", "_group"), "pairs")
     tiles = pairs.withColumn("_stretch", F.expr(f"_run div {streamed // run}"))
     name = tile_name(*keys, "_group", "_stretch").alias("_tile")
-    columns = [*narrow, "_vec"]
+    columns = [*narrow, "_vec", "_best"]
     packed = join_on_keys(open_rows, packs.select(*keys, "_blk", group_of.alias("_group")), [*keys, "_blk"])
     # A group meets a stretch of earlier runs if any of them can matter to it.
     late = join_on_keys(packed, tiles.select(*keys, "_group", "_stretch").distinct(), [*keys, "_group"])
     late = late.select(*columns, F.lit(True).alias("_held"), name)
-    early = join_on_keys(base.select("*", run_of), tiles, [*keys, "_run"])
+    early = join_on_keys(base.select("*", run_of, F.lit(0.0).alias("_best")), tiles, [*keys, "_run"])
     early = early.select(*columns, F.lit(False).alias("_held"), name)
     dealt = late.unionByName(early).repartition("_tile").sortWithinPartitions("_tile", F.desc("_held"))
-    partial = dealt.mapInArrow(earlier_in_tiles(narrow, normalize), ddl_of(rows, narrow) + ", _best double")
+    kernel = flags_in_tiles(narrow, list(levels)) if flags_only else earlier_in_tiles(narrow, normalize)
+    partial = dealt.mapInArrow(kernel, ddl_of(rows, narrow) + ", _best double")
     compared = (
         partial.unionByName(open_rows.select(*result))
         .groupBy(*narrow)
@@ -236,7 +241,7 @@ def prune_table(df: DataFrame, eps_list: Sequence[float], **options) -> DataFram
     if options.get("normalize", True):
         # The next number above the threshold, because the comparison is strict.
         options.setdefault("settle_at", float(np.nextafter(1.0 - min(eps_list), 2.0)))
-        options.setdefault("floor", 1.0 - max(eps_list))
+        options.setdefault("levels", [1.0 - e for e in eps_list])
     return flag_duplicates(max_earlier_sim(df, **options), eps_list).drop("max_earlier_sim")
 
 
