@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from vecprune.operators.kernels import to_lists, unit_rows
 
-# Words whose bucket a task remembers, some 40 MB; most words of a text have been seen before.
-REMEMBERED_WORDS = 1 << 18
+# Words that are hashed at once, so that the numbers of a step stay in the processor cache, and the
+# longest word in bytes that fills a single block of MD5.
+HASHED_WORDS, BLOCK_BYTES = 1 << 13, 55
 # Text whose words are counted at once; the arrays for them take about twenty times as many.
 COUNTED_BYTES = 1 << 21
 
@@ -80,36 +81,80 @@ def embed(
     return df.select(id_col, content_col).mapInArrow(run, f"`{id_col}` {id_type}, embedding array<float>")
 
 
-def _bucket(word: str, dim: int) -> int:
-    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim
+# MD5: rotations, constants and the word read by each step.
+_TURNS = np.array([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4, np.uint32)
+_ADDED = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint32)
+_READ = [*range(16), *((5 * i + 1) % 16 for i in range(16)), *((3 * i + 5) % 16 for i in range(16)), *(7 * i % 16 for i in range(16))]
+
+
+def _md5_heads(blocks: np.ndarray) -> np.ndarray:
+    """First 8 hex digits of the MD5 of messages of a single block, as numbers; ``blocks`` has 16 rows
+    of 32-bit words, and a column per message."""
+    start = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+    a, b, c, d = (np.full(blocks.shape[1], v) for v in start)
+    for i in range(64):
+        if i < 16:
+            f = d ^ (b & (c ^ d))
+        elif i < 32:
+            f = c ^ (d & (b ^ c))
+        elif i < 48:
+            f = b ^ c ^ d
+        else:
+            f = c ^ (b | ~d)
+        f += a
+        f += blocks[_READ[i]]
+        f += _ADDED[i]
+        a, d, c = d, c, b
+        b = b + ((f << _TURNS[i]) | (f >> (np.uint32(32) - _TURNS[i])))
+    return (a + start[0]).byteswap()
+
+
+def _bucket(word: str | bytes, dim: int) -> int:
+    word = word.encode() if isinstance(word, str) else word
+    return int.from_bytes(hashlib.md5(word).digest()[:4], "big") % dim
+
+
+def _buckets(words: pa.Array, dim: int) -> np.ndarray:
+    """``_bucket`` of each word, many words at once."""
+    words = words.cast(pa.binary())
+    _, offsets, content = words.buffers()
+    at = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    content = np.frombuffer(content, np.uint8) if content is not None and content.size else np.zeros(0, np.uint8)
+    length = np.diff(at)
+    out = np.empty(len(words), np.int64)
+    short = np.flatnonzero(length <= BLOCK_BYTES)
+    for lo in range(0, len(short), HASHED_WORDS):
+        some = short[lo : lo + HASHED_WORDS]
+        size = length[some]
+        row = np.repeat(np.arange(len(some)), size)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        padded = np.zeros((len(some), 64), np.uint8)
+        padded[row, column] = content[np.repeat(at[some], size) + column]
+        padded[np.arange(len(some)), size] = 0x80
+        blocks = padded.view("<u4")
+        blocks[:, 14] = size * 8
+        out[some] = _md5_heads(np.ascontiguousarray(blocks.T)) % dim
+    for i in np.flatnonzero(length > BLOCK_BYTES):
+        out[i] = _bucket(content[at[i] : at[i + 1]].tobytes(), dim)
+    return out
 
 
 def _bag_counts(dim: int, normalize: bool):
-    def count(texts: pa.Array, known: dict[str, int]) -> pa.Array:
+    def count(texts: pa.Array) -> pa.Array:
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        # Only the different words are looked at one by one.
-        distinct = words.dictionary.to_pylist()
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        for word in distinct:
-            if word not in known:
-                known[word] = _bucket(word, dim)
-        bucket = np.array([known[w] for w in distinct], np.int64)
-        counted = np.array([w != "" for w in distinct], bool)
-        code = words.indices.to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        real = counted[code] if len(code) else np.zeros(0, bool)
-        cells = row[real] * dim + bucket[code[real]] if len(code) else np.zeros(0, np.int64)
-        counts = np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float64)
+        # Only the different words are hashed; what is between two blanks counts in a bucket of its own.
+        bucket = np.where(pc.binary_length(words.dictionary).to_numpy() > 0, _buckets(words.dictionary, dim), dim)
+        cells = bucket[words.indices.to_numpy(zero_copy_only=False)]
+        cells += np.repeat(np.arange(len(texts)) * (dim + 1), np.diff(split.offsets.to_numpy()))
+        counts = np.bincount(cells, minlength=len(texts) * (dim + 1)).reshape(-1, dim + 1)[:, :dim].astype(np.float64)
         return to_lists(unit_rows(counts)) if normalize else to_lists(counts).cast(pa.list_(pa.float32()))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, int] = {}
         for texts in batches:
             # A batch holds thousands of texts; their words are never all there together.
-            parts = [count(texts.slice(p.start, p.stop - p.start), known) for p in _calls(texts, COUNTED_BYTES)]
-            yield pa.concat_arrays(parts) if parts else count(texts, known)
+            parts = [count(texts.slice(p.start, p.stop - p.start)) for p in _calls(texts, COUNTED_BYTES)]
+            yield pa.concat_arrays(parts) if parts else count(texts)
 
     # Declared nondeterministic so that no optimizer rule (a filter on the result, an
     # explode of it) makes Spark encode a text twice.
